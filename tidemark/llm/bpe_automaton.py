@@ -32,7 +32,7 @@ from .shared import fresh
 CACHE_WORDS, CACHE_BYTES = 250_000, 64
 #: Texts a batch: bounds what a worker holds, however long the table.
 BATCH_ROWS = 400
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
 
