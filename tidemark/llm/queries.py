@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, media, simhash
+from . import bpe_automaton, embeddings, media, mixing, quality, simhash
+from .shared import crc32_of
 
 #: Where the public tokenizers' files are, on every machine; a parameter.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = media.to_png(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
@@ -31,10 +36,40 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(line, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, quality.learners(labels))
+    held = F.pmod(crc32_of("doc_id"), F.lit(5)) == 0
+    return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    shards = F.array_join(F.col("copies.shard").cast("array<string>"), ",")
+    return rows.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size(F.filter("copies", lambda c: c["shard"].isNotNull()))).alias("taken"), shards.alias("shards"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op3_media": op3_media, "op5_bpe": op5_bpe, "op9_simhash": op9_simhash}
+QUERIES = {"op1_embeddings": op1_embeddings, "op3_media": op3_media, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash}
 SQL: dict[str, str] = {}
+
+SQL["op1_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine
+  FROM embeddings),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.fine AND b.fine AND len(a.e) = len(b.e)
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept
+FROM v JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+SQL["op7_mixing"] = mixing.sql()
