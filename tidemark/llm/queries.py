@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, embeddings, media, mixing, quality, simhash
+from . import bpe_automaton, embeddings, media, mixing, quality, simhash, token_files
 from .shared import crc32_of
 
 #: Where the public tokenizers' files are, on every machine; a parameter.
@@ -54,7 +57,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op1_embeddings": op1_embeddings, "op3_media": op3_media, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = token_files.store(docs, f"{TOKENIZERS}/byte_bpe_50k.json", end_id=2)
+
+    @F.arrow_udf("long")
+    def crc(ids: pa.Array) -> pa.Array:
+        flat, ends = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+        return pa.array([zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:])], pa.int64())
+
+    return back.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+
+
+QUERIES = {"op1_embeddings": op1_embeddings, "op3_media": op3_media, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_token_files": op10_token_files}
 SQL: dict[str, str] = {}
 
 SQL["op1_embeddings"] = """
