@@ -14,8 +14,8 @@ from tidemark.llm import bpe_automaton, mixing, quality, simhash
 from tidemark.llm.queries import TOKENIZERS
 from tidemark.llm.shared import scratch
 
-#: Near-duplicate stages on word shingles take five words.
-SHINGLE = 5
+#: Near-duplicate stages on word shingles take five words and this similarity.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least id."""
-    return simhash.keep_one(docs, shingle=SHINGLE)
+    return simhash.keep_one(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,16 @@
 """SimHash near-dedup by bit-sliced comparison (operator 9).
 
-Fingerprints come from word shingles (repeats included) hashed by XXH64; equal fingerprints become one row before any
-comparison. Candidates share two of four 16-bit parts, which any two fingerprints at distance 2 or less must. Inside a
-bucket the fingerprints of a block lie as bit planes: 64 of them in each machine word of a plane. A query's distance to
-the whole block is counted by bitwise carry-save adders, plane after plane, and a block is left as soon as all its
-distances exceed the radius. A bucket with more than BLOCK fingerprints is cut into blocks, and pairs of blocks are
-dealt to different tasks, so that no task's size follows a bucket's and nothing is lost.
+Fingerprints come from word shingles hashed by XXH64; equal fingerprints become one row before any comparison. Two
+forms exist. Of 64 bits, repeats included: candidates share two of four 16-bit parts, which any two fingerprints at
+distance 2 or less must, so none is missed. Of 512 bits over distinct shingles, for a similarity (Jaccard) of 0.8 or
+more, which moves about 78 bits: candidates share one of 16 keys, each made of the least of five permuted shingle
+hashes (at 0.8 all but 0.2 % of pairs do, nearer pairs surely); the estimate from 512 bits is right to about 0.04.
+
+Inside a bucket the fingerprints of a block lie as bit planes: 64 of them in each machine word of a plane. A query's
+distance to the whole block is counted by bitwise carry-save adders, plane after plane, and a block is left as soon as
+all its distances exceed the radius; pairs of small buckets are laid side by side in one block. A bucket with more than
+BLOCK fingerprints is cut into blocks, and pairs of blocks are dealt to different tasks, so that no task's size follows
+a bucket's and nothing is lost. A task returns a spanning forest of the links it found, not the links.
 
 Rows: a null text counts as empty; texts without words have fingerprint zero and link like any other; shorter texts than
 a shingle use all their words; repeated rows each get their row; null ids link and keep their rows, and count for no
@@ -14,6 +19,7 @@ component id (null where a component has no other); other columns are left out,
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -24,72 +30,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import connected_components, saved
+from .shared import connected_components, fresh, saved
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 PARTS, PART_BITS = 4, 16
-BLOCK, TILE, BATCH_ROWS = 4096, 256, 512
+WIDE_WORDS, BANDS, BAND_ROWS = 8, 16, 5
+BLOCK, TILE, SMALL, PAIRS, BATCH_ROWS = 4096, 256, 48, 1 << 17, 512
+_ODD = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 TABLES = tuple(combinations(range(PARTS), 2))
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a text in UTF-8, as a signed integer."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included, as big-endian words; shorter texts give one of all their words."""
     words = text.lower().split()
     if not words:
-        return 0
-    if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    raw = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), np.uint8).reshape(-1, 8)
+        return np.empty(0, ">u8")
+    grams = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), ">u8")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
+    """The 64-bit fingerprint of a text in UTF-8: a bit is 1 if set in over half the shingles' hashes."""
+    raw = shingle_hashes(text, shingle).view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(raw), 1 << 15):
         ones += np.unpackbits(raw[at : at + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big", signed=True)
+    return np.packbits(2 * ones > len(raw)).tobytes()
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[bytes, np.ndarray]:
+    """512 bits over distinct shingles, and the candidate keys."""
+    h = np.unique(shingle_hashes(text, shingle)).astype(np.uint64)
+    ones, least = np.zeros(64 * WIDE_WORDS, np.int64), np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    mixers, perms = _ODD[:WIDE_WORDS], _ODD[WIDE_WORDS : WIDE_WORDS + BANDS * BAND_ROWS]
+    for at in range(0, len(h), 4096):
+        x = h[at : at + 4096]
+        y = x ^ (x >> np.uint64(32))
+        z = y[:, None] * mixers
+        z ^= z >> np.uint64(29)
+        ones += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+        np.minimum(least, (y * perms[:, None]).min(axis=1), out=least)
+    bands = (least.reshape(BANDS, BAND_ROWS) * _ODD[128 : 128 + BAND_ROWS]).sum(axis=1) ^ _ODD[192 : 192 + BANDS]
+    return np.packbits(2 * ones > len(h)).tobytes(), bands.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, text: str, out: str, shingle: int = SHINGLE) -> DataFrame:
-    """docs with a long column more."""
+def radius_of(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
+    """Bits that fingerprints of sets with a Jaccard similarity differ in, on the whole: the angle's share of a half turn."""
+    return math.ceil(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
-    @F.arrow_udf(T.LongType())
+
+def fingerprints(docs: DataFrame, text: str, out: str, shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """docs with a struct more: the fingerprint as bytes, a number for it, and its candidate keys."""
+
+    @F.arrow_udf(T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
     def prints(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t or b"", shingle) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
+        data = texts.cast(pa.binary()).to_pylist()
+        if wide:
+            got = [wide_fingerprint(t or b"", shingle) for t in data]
+            keys = pa.ListArray.from_arrays(np.arange(len(got) + 1, dtype=np.int32) * BANDS, pa.array(np.concatenate([k for _, k in got]) if got else np.empty(0, np.int64)))
+            return pa.StructArray.from_arrays([pa.array([f for f, _ in got], pa.binary()), keys], ["fp", "keys"])
+        return pa.StructArray.from_arrays([pa.array([fingerprint(t or b"", shingle) for t in data], pa.binary()), pa.nulls(len(data), pa.list_(pa.int64()))], ["fp", "keys"])
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.withColumn(out, prints(F.col(f"`{text}`").cast("string")))
 
 
+def _bits(prints: np.ndarray) -> np.ndarray:
+    return np.unpackbits(prints, axis=1)
+
+
 def planes(prints: np.ndarray) -> np.ndarray:
-    """Bit planes, highest bit first: 64 rows, each with a bit for every fingerprint, in 64-bit words (filled up with zeros)."""
+    """Bit planes of fingerprints (rows of bytes), highest bit first: each plane holds a bit of every fingerprint, in 64-bit words (filled up with zeros)."""
     n = -(-len(prints) // 64) * 64
-    bits = np.zeros((64, n), np.uint8)
-    bits[:, : len(prints)] = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).T
+    bits = np.zeros((8 * prints.shape[1], n), np.uint8)
+    bits[:, : len(prints)] = _bits(prints).T
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
-def within(queries: np.ndarray, block: np.ndarray, count: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(query, member) of all pairs at the radius or less. block: planes of count fingerprints; queries: unsigned fingerprints."""
-    bits = -np.unpackbits(queries.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
-    masks = bits.view(np.uint64)  # all ones where a query's bit is set
-    shape = (len(queries), block.shape[1])
+def _near(different, bits: int, shape, radius: int) -> np.ndarray | None:
+    """Words whose bits are set where a distance is the radius or less; None as soon as all exceed it. different(p): plane p of the differences."""
     digits = [np.zeros(shape, np.uint64) for _ in range(max(1, radius.bit_length()))]
     far = np.zeros(shape, np.uint64)  # distances past what the digits hold
-    for p in range(64):
-        carry = block[p][None, :] ^ masks[:, p][:, None]
+    for p in range(bits):
+        carry = different(p)
         for d in digits:
+            held = d & carry
             d ^= carry
-            carry &= ~d
-        far |= carry
-        if p % 8 == 7 and p < 63 and (_over(digits, far, radius) == _FULL).all():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-    near = ~_over(digits, far, radius)
-    q, word = np.nonzero(near)
-    which = np.unpackbits(near[q, word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    k, bit = np.nonzero(which)
-    member = word[k] * 64 + bit
-    there = member < count
-    return q[k][there], member[there]
+            carry = held
+            if not carry.any():
+                break
+        else:
+            far |= carry
+        if p % 16 == 15 and (_over(digits, far, radius) == _FULL).all():
+            return None
+    return ~_over(digits, far, radius)
 
 
 def _over(digits: list[np.ndarray], far: np.ndarray, radius: int) -> np.ndarray:
@@ -104,68 +139,124 @@ def _over(digits: list[np.ndarray], far: np.ndarray, radius: int) -> np.ndarray:
     return more | far
 
 
-def _links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links inside the buckets of a group: each bucket's or pair of blocks' rows are compared bit-sliced, in tiles."""
-    out_a, out_b = [], []
+def within(queries: np.ndarray, block: np.ndarray, count: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) of all pairs at the radius or less. block: planes of count fingerprints; queries: fingerprints as rows of bytes."""
+    masks = (-_bits(queries).astype(np.int64)).view(np.uint64)  # all ones where a query's bit is set
+    near = _near(lambda p: block[p][None, :] ^ masks[:, p][:, None], len(block), (len(queries), block.shape[1]), radius)
+    if near is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    q, word = np.nonzero(near)
+    k, bit = np.nonzero(np.unpackbits(near[q, word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    member = word[k] * 64 + bit
+    there = member < count
+    return q[k][there], member[there]
+
+
+def pairs_within(prints: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs (a, b) of rows are at the radius or less; the pairs' differences lie side by side in planes."""
+    block = planes(prints[a] ^ prints[b])
+    near = _near(lambda p: block[p], len(block), (block.shape[1],), radius)
+    if near is None:
+        return np.zeros(len(a), bool)
+    return np.unpackbits(near.astype("<u8").view(np.uint8), bitorder="little")[: len(a)].astype(bool)
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of linked rows."""
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        np.minimum.at(root, a, np.minimum(x, y))
+        np.minimum.at(root, b, np.minimum(x, y))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _links(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """A spanning forest of the links inside the buckets of a group."""
     pdf = pdf.sort_values(["bucket", "i", "j", "side"], kind="stable")
-    fp = pdf["fp"].to_numpy(np.int64)
+    cls, side = pdf["cls"].to_numpy(np.int64), pdf["side"].to_numpy()
+    if not len(cls):
+        return pd.DataFrame({"a": cls, "b": cls})
+    prints = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(len(cls), -1)
     key = pdf[["bucket", "i", "j"]].to_numpy()
-    side = pdf["side"].to_numpy()
     starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-    for lo, hi in zip(starts, np.r_[starts[1:], len(fp)]):
-        if hi - lo < 2:
+    ends = np.r_[starts[1:], len(cls)]
+    two, root = key[starts, 1] != key[starts, 2], np.arange(len(cls))
+    small = (ends - starts < SMALL) & ~two
+    for size in np.unique((ends - starts)[small]):  # buckets of a size give their pairs together
+        if size < 2:
             continue
-        mid = lo + int((side[lo:hi] == 0).sum())
-        left, right = fp[lo:mid], fp[mid:hi]
-        other = right if key[lo, 1] != key[lo, 2] else left
-        if not len(other) or not len(left):
+        at = starts[small & (ends - starts == size)]
+        x, y = np.triu_indices(size, 1)
+        step = max(1, PAIRS // len(x))
+        for k in range(0, len(at), step):
+            a, b = (at[k : k + step, None] + x).ravel(), (at[k : k + step, None] + y).ravel()
+            near = pairs_within(prints, a, b, radius)
+            _join(root, a[near], b[near])
+    for lo, hi, parted in zip(starts[~small], ends[~small], two[~small]):
+        mid = lo + int((side[lo:hi] == 0).sum()) if parted else lo
+        top = mid if parted else hi
+        if mid >= hi or top <= lo:
             continue
-        block = planes(other.view(np.uint64))
-        for at in range(0, len(left), TILE):
-            q, m = within(left[at : at + TILE].view(np.uint64), block, len(other))
-            a, b = left[at + q], other[m]
-            out_a.append(np.maximum(a, b)[a != b])
-            out_b.append(np.minimum(a, b)[a != b])
-    if not out_a:
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
-
-
-def near_pairs(prints: DataFrame, fp: str = "fp") -> DataFrame:
-    """(a, b): the distinct fingerprints at the radius or less, each pair once and the lesser second."""
-    n = F.lit(0xFFFF)
-    part = lambda k: F.shiftrightunsigned(F.col(fp), PART_BITS * (PARTS - 1 - k)).bitwiseAND(n)
-    keys = F.array(*(F.lit(t).cast("long") * (1 << 32) + part(x) * (1 << 16) + part(y) for t, (x, y) in enumerate(TABLES)))
-    rows = prints.select(fp).distinct().select(F.col(fp).alias("fp"), F.explode(keys).alias("bucket"))
+        block = planes(prints[mid:hi])
+        for at in range(lo, top, TILE):
+            q, m = within(prints[at : min(at + TILE, top)], block, hi - mid, radius)
+            _join(root, at + q, mid + m)
+    linked = root != np.arange(len(root))
+    return pd.DataFrame({"a": cls[linked], "b": cls[root[linked]]}).drop_duplicates()
+
+
+def near_links(prints: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links that join exactly the fingerprints which links at the radius or less join. prints: cls, fp, keys, each fingerprint once."""
+    rows = prints.select("cls", "fp", F.explode("keys").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
-    dealt = dealt.select("fp", "bucket", F.explode(pairs).alias("p")).select("fp", "bucket", "p.*")
-    groups = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    spread = dealt.withColumn("g", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups * 4)))
-    return spread.groupBy("g").applyInPandas(lambda pdf: _links(pdf), "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(the id, fingerprint as 16 hex digits, component_id, fp_root): a row for each row of docs. fp_root names the component even where ids are null."""
-    rows = fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", "fp", shingle)
-    rows = saved(rows.select("id", "fp"))
-    links = near_pairs(rows)
-    parts = connected_components(links)
-    prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    prints = prints.join(parts.withColumnRenamed("id", "fp"), "fp", "left").withColumn("fp_root", F.coalesce("component", "fp"))
-    named = prints.groupBy("fp_root").agg(F.min("least").alias("component_id"))
-    prints = prints.select("fp", "fp_root").join(named, "fp_root")
-    return rows.join(prints, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp_root")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    dealt = dealt.select("cls", "fp", "bucket", F.explode(pairs).alias("p")).select("cls", "fp", "bucket", "p.*")
+    groups = 4 * max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spread = dealt.withColumn("g", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
+    return spread.groupBy("g").applyInPandas(lambda pdf: _links(pdf, radius), "a long, b long")
+
+
+def _parts() -> F.Column:
+    """Bucket keys of a 64-bit fingerprint: every two of its four parts, numbered."""
+    n = F.conv(F.hex("fp"), 16, -10).cast("long")
+    part = lambda k: F.shiftrightunsigned(n, PART_BITS * (PARTS - 1 - k)).bitwiseAND(F.lit(0xFFFF))
+    return F.array(*(F.lit(t).cast("long") * (1 << 32) + part(x) * (1 << 16) + part(y) for t, (x, y) in enumerate(TABLES)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """(the id, fingerprint in hex, component_id, root, text_hash): a row for each row of docs.
+
+    Without a similarity, 64-bit fingerprints link at 2 or fewer differing bits; with one, 512-bit fingerprints link at
+    radius_of(similarity). root names the component even where ids are null.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = fingerprints(rows, "text", "p", shingle, similarity is not None)
+    rows = saved(rows.select("id", F.xxhash64("text").alias("text_hash"), "p.fp", "p.keys"))
+    keys = F.first("keys") if similarity is not None else F.lit(None)
+    prints = rows.groupBy("fp").agg(F.min("id").alias("least"), keys.alias("keys")).withColumn("cls", F.xxhash64("fp"))
+    if similarity is None:
+        prints = prints.withColumn("keys", _parts())
+    parts = connected_components(near_links(prints.select("cls", "fp", "keys"), RADIUS if similarity is None else radius_of(similarity)))
+    prints = prints.select("fp", "least", "cls").join(parts.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
+    named = prints.groupBy("root").agg(F.min("least").alias("component_id"))
+    prints = prints.select("fp", "root").join(named, "root")
+    return rows.join(prints, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "root", "text_hash")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """The rows of docs of which one stays in each component: that with the least id (null last), then the least text hash; repeated rows once."""
-    groups = near_duplicates(docs.withColumn(id_col, F.col(f"`{id_col}`")), id_col, text, shingle)
-    stay = groups.groupBy("fp_root").agg(F.min(F.struct(F.col(f"`{id_col}`").isNull().alias("no"), F.col(f"`{id_col}`").alias("id"), "fingerprint")).alias("s")).select("s.id", "s.fingerprint")
-    k, f, x = "_keep_id", "_keep_print", "_print"
-    stay = saved(stay.select(F.col("id").alias(k), F.col("fingerprint").alias(f)))
-    same_id = docs.join(stay.select(k), F.col(f"`{id_col}`").eqNullSafe(F.col(k)), "left_semi")  # few rows are left before texts are hashed again
-    printed = fingerprints(same_id, text, x, shingle).withColumn(x, F.lower(F.lpad(F.hex(x), 16, "0")))
-    kept = printed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(k)) & (F.col(x) == F.col(f)), "left_semi")
-    return kept.dropDuplicates([id_col, x]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    key, hashed = fresh(docs.columns, "row_key", "text_hash")
+    groups = near_duplicates(docs, id_col, text, shingle, similarity)
+    own = F.col(f"`{id_col}`")
+    stay = groups.groupBy("root").agg(F.min(F.struct(own.isNull().alias("no"), own.alias("id"), F.col("text_hash"))).alias("s"))
+    stay = stay.select(F.xxhash64("s.id", F.lit(1)).alias(key), F.col("s.text_hash").alias(hashed)).distinct()
+    marked = docs.withColumn(hashed, F.xxhash64(F.col(f"`{text}`").cast("string"))).withColumn(key, F.xxhash64(own, F.lit(1)))
+    kept = marked.join(stay, [key, hashed], "left_semi")  # partitioned as dropDuplicates needs it
+    return kept.dropDuplicates([key, hashed]).select(*(F.col(f"`{c}`") for c in docs.columns))
