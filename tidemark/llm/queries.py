@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, embeddings, media, mixing, quality, simhash, token_files
+from . import bpe_automaton, embeddings, language_model, media, mixing, quality, simhash, token_files
 from .shared import crc32_of
 
 #: Where the public tokenizers' files are, on every machine; a parameter.
@@ -52,6 +52,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size(F.filter("copies", lambda c: c["shard"].isNotNull()))).alias("taken"), shards.alias("shards"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents").select("doc_id", "text"), language_model.learners())
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
@@ -69,7 +73,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_embeddings": op1_embeddings, "op3_media": op3_media, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op9_simhash": op9_simhash, "op10_token_files": op10_token_files}
+QUERIES = {"op1_embeddings": op1_embeddings, "op3_media": op3_media, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_lm": op8_lm, "op9_simhash": op9_simhash, "op10_token_files": op10_token_files}
 SQL: dict[str, str] = {}
 
 SQL["op1_embeddings"] = """
