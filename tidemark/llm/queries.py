@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, embeddings, language_model, media, mixing, quality, simhash, token_files
+from . import bpe_automaton, embeddings, language_model, media, mixing, quality, simhash, token_counts, token_files, url_filters
 from .shared import crc32_of
 
 #: Where the public tokenizers' files are, on every machine; a parameter.
@@ -25,6 +25,26 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries for the hosts of pages: md5 of a domain picks about a quarter of them, a list, and days to add, drop and add again."""
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("h")).where("h is not null").distinct()
+    parent = F.array_join(F.slice(F.split("h", r"\."), 2, 64), ".")
+    names = hosts.select(F.explode(F.array("h", parent)).alias("domain")).where("domain like '%.%'").distinct()
+    n = lambda at: F.conv(F.substring(F.md5(F.col("domain").cast("binary")), at, 4), 16, 10).cast("int")
+    day = lambda k: F.date_add(F.lit("2024-01-01").cast("date"), k.cast("int"))
+    first, second, third = n(5) % 200, n(5) % 200 + 20 + n(9) % 100, n(5) % 200 + 150 + n(9) % 100
+    events = F.array(F.struct(day(first).alias("day"), F.lit("add").alias("action")), F.struct(day(second).alias("day"), F.lit("drop").alias("action")), F.struct(day(third).alias("day"), F.lit("add").alias("action")))
+    picked = names.where(n(1) % 4 == 0).withColumn("list", F.when(n(13) % 3 == 0, "allow").otherwise("block"))
+    return picked.select("list", "domain", F.explode(F.slice(events, F.lit(1), 1 + n(13) % 3)).alias("e")).select("list", "domain", "e.day", "e.action")
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages, fetched on a day of 2024 that the id gives; the tables hold neither dates nor lists, so both are derived by rule."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")))
+    return url_filters.judge(captures, list_entries(pages)).select("page_id", "host", "fetched", "verdict", "listed_domain", "since")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = media.to_png(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
@@ -32,6 +52,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.lower(F.hex("low_hash")).alias("feature"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_words", "n_tokens", "score")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe_automaton.encode_decode(docs, f"{TOKENIZERS}/word_bpe_49k.json")
@@ -73,7 +98,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_embeddings": op1_embeddings, "op3_media": op3_media, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_lm": op8_lm, "op9_simhash": op9_simhash, "op10_token_files": op10_token_files}
+QUERIES = {"op1_embeddings": op1_embeddings, "op2_url_filters": op2_url_filters, "op3_media": op3_media, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_lm": op8_lm, "op9_simhash": op9_simhash, "op10_token_files": op10_token_files}
 SQL: dict[str, str] = {}
 
 SQL["op1_embeddings"] = """
@@ -92,3 +117,22 @@ FROM v JOIN comp USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
 SQL["op7_mixing"] = mixing.sql()
+
+SQL["op2_url_filters"] = r"""
+WITH p AS (SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched,
+                  nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '') AS host FROM pages),
+h AS (SELECT DISTINCT host FROM p WHERE host IS NOT NULL),
+n AS (SELECT DISTINCT domain FROM (SELECT host AS domain FROM h UNION ALL SELECT array_to_string(list_slice(string_split(host, '.'), 2, 64), '.') FROM h) WHERE domain LIKE '%.%'),
+x AS (SELECT domain, CAST('0x' || substr(md5(domain), 1, 4) AS INTEGER) AS a, CAST('0x' || substr(md5(domain), 5, 4) AS INTEGER) % 200 AS b,
+             CAST('0x' || substr(md5(domain), 9, 4) AS INTEGER) % 100 AS c, CAST('0x' || substr(md5(domain), 13, 4) AS INTEGER) % 3 AS k FROM n),
+e AS (SELECT domain, CASE WHEN k = 0 THEN 'allow' ELSE 'block' END AS list, i, CASE i WHEN 1 THEN 'drop' ELSE 'add' END AS action,
+             DATE '2024-01-01' + CAST(CASE i WHEN 0 THEN b WHEN 1 THEN b + 20 + c ELSE b + 150 + c END AS INTEGER) AS day
+      FROM x, (SELECT unnest(range(0, 3)) AS i) WHERE a % 4 = 0 AND i <= k),
+t AS (SELECT *, lead(day) OVER (PARTITION BY list, domain ORDER BY day) AS until FROM e),
+v AS (SELECT p.host, p.fetched, t.list, t.domain, t.day AS since,
+             row_number() OVER (PARTITION BY p.host, p.fetched ORDER BY length(t.domain) DESC, t.list, t.domain, t.day) AS r
+      FROM (SELECT DISTINCT host, fetched FROM p) p JOIN t ON t.action = 'add' AND t.day <= p.fetched AND (t.until IS NULL OR p.fetched < t.until)
+       AND (p.host = t.domain OR ends_with(p.host, '.' || t.domain)))
+SELECT p.page_id, p.host, p.fetched, v.list AS verdict, v.domain AS listed_domain, v.since
+FROM p LEFT JOIN v ON p.host = v.host AND p.fetched = v.fetched AND v.r = 1
+"""
