@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .shared import scratch
 
-BLOCK, CHUNK_IDS, LANE_IDS, BATCH_ROWS = 4096, 1 << 18, 1 << 23, 400
-CACHE_WORDS, CACHE_BYTES = 600_000, 48
+BLOCK, CHUNK_IDS, LANE_IDS, BATCH_ROWS = 4096, 1 << 18, 1 << 22, 200
+CACHE_WORDS, CACHE_BYTES = 300_000, 48
 _T1, _T2, _T0, _ONE, _TOP, _BOT = 11, 12, 10, 1 << 14, np.uint32(1 << 24), np.uint32(1 << 16)
 #: Blanks amid white space, and white space other than blank and bytes 9 to 13 in UTF-8.
 _UNCUT = re.compile(rb"[\t-\r] [\t-\r]|[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -320,7 +320,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lengths), r["part"])), pa.array(r["doc_ids"], pa.int64()), pa.array(r["ids_before"] + ends[:-1]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["part", "doc_id", "local", "ids"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 32)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
     chunks = spark.read.parquet(path)
     sums = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each written partition
     before = sums.select(F.col("part").alias("part_"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
