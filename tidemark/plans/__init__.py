@@ -1 +1,17 @@
-"""See the modules of this package."""
+"""The registered queries of the ledger engine and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+def queries() -> dict[str, Callable]:
+    from . import profiles
+
+    return dict(profiles.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    from . import profiles
+
+    return dict(profiles.SQL)
