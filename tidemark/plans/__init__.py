@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
-    from . import profiles
+    from . import lenses
 
-    return dict(profiles.QUERIES)
+    return dict(lenses.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import profiles
+    from . import lenses
 
-    return dict(profiles.SQL)
+    return dict(lenses.SQL)
