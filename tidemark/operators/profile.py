@@ -43,7 +43,7 @@ def daily_stats(daily: DataFrame) -> DataFrame:
         "in_days": "count_if(cur and inflow_count > 0)", "gap_mean": "avg(gap)", "gap_sd": "stddev_pop(gap)", "net_sd": "stddev_pop(if(cur, net, null))", "negative": "count_if(cur and eod < 0)", "islands": "count_if(opens)",
         "eod_mean": "avg(if(cur, eod, null))", "eod_min": "min(if(cur, eod, null))", "eod_last": "max_by(eod, date)", "net30": "avg(if(dbe < 30, net, null))",
         "slope": "regr_slope(if(dbe < 30, eod, null), if(dbe < 30, pos, null))", "n_op": "count_if(cur and not weekend)", "gaps_op": "count_if(cur and not weekend and inflow_count + outflow_count = 0)",
-        "autocorr": "corr(net, net7)", "pairs7": "count(net7)", "down2": "sum(if(cur and net < 0, pow(net / 100.0D, 2), 0.0D))", "up2": "sum(if(cur and net > 0, pow(net / 100.0D, 2), 0.0D))",
+        "autocorr": "try_divide(covar_pop(net, net7), stddev_pop(if(net7 is null, null, net)) * stddev_pop(net7))", "pairs7": "count(net7)", "down2": "sum(if(cur and net < 0, pow(net / 100.0D, 2), 0.0D))", "up2": "sum(if(cur and net > 0, pow(net / 100.0D, 2), 0.0D))",
         "days": "array_sort(collect_list(if(cur, struct(date, inflow, outflow, recurring, net, eod), null)))",
     }
     d = d.withColumn("weekend", F.expr("if(data_source = 'external_real', weekday(date) in (5, 6), weekday(date) in (4, 5))"))
@@ -58,7 +58,7 @@ def longest_run() -> Column:
 
 def cusum_recency() -> Column:
     """Days since the last two-sided CUSUM signal of inflow against the prior window's mean and deviation; null without one."""
-    z = "((x.inflow - prior_mean) / prior_sd)"
+    z = "try_divide(x.inflow - prior_mean, prior_sd)"
     up, down = f"greatest(0.0D, a.p + {z} - {CUSUM_K}D)", f"greatest(0.0D, a.q - {z} - {CUSUM_K}D)"
     hit = f"({up} > {CUSUM_H}D or {down} > {CUSUM_H}D)"
     step = f"(a, x) -> named_struct('p', if({hit}, 0.0D, {up}), 'q', if({hit}, 0.0D, {down}), 't', a.t + 1, 'last', if({hit}, a.t, a.last))"

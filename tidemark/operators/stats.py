@@ -24,10 +24,10 @@ def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by, rho): Pearson's correlation of mean ranks."""
+    """(by, rho): Pearson's correlation of mean ranks; null without variation."""
     d = df.where(f"{x} is not null and {y} is not null")
     d = average_rank(average_rank(d, x, "_rx", by), y, "_ry", by)
-    return d.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rho"))
+    return d.groupBy(*by).agg(F.expr("try_divide(covar_pop(_rx, _ry), stddev_pop(_rx) * stddev_pop(_ry))").alias("rho"))
 
 
 def resamples(df: DataFrame, key: str, b: int, seed: str) -> DataFrame:
