@@ -6,8 +6,8 @@ holds up to BLOCK token ids, starts from a reset model and carries a CRC-32 of i
 The model predicts an id from what followed the last two ids (order 2), the last id (order 1) and from the block's most
 frequent id (order 0). Each order keeps a distribution over four outcomes (its own and the other predictions hit, or
 none), chosen by how reliable its prediction has been; weights that follow the orders' success mix the three, and a
-range coder codes the outcome with the mixture. An id that no order predicts follows as 16 even bits (32 where ids need
-them). All arithmetic is in integers, so any machine decodes alike. Blocks are coded side by side, a lane of numpy
+range coder codes the outcome with the mixture. An id that no order predicts is 16 even bits (32 where ids need them),
+which a range coder would only copy, so those stand behind the block's coded outcomes in order. All arithmetic is in integers, so any machine decodes alike. Blocks are coded side by side, a lane of numpy
 arrays each.
 
 Rows: a null text counts as empty and gives the end id alone; documents of any length stay whole in a chunk; equal ids
@@ -18,7 +18,6 @@ wrong checksum raises ValueError.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,9 +31,9 @@ from .shared import scratch
 
 BLOCK, CHUNK_IDS, LANE_IDS, BATCH_ROWS = 4096, 1 << 18, 1 << 22, 200
 CACHE_WORDS, CACHE_BYTES = 300_000, 48
-_T1, _T2, _T0, _ONE, _TOP, _BOT = 11, 12, 10, 1 << 14, np.uint32(1 << 24), np.uint32(1 << 16)
-#: Blanks amid white space, and white space other than blank and bytes 9 to 13 in UTF-8.
-_UNCUT = re.compile(rb"[\t-\r] [\t-\r]|[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_T1, _T2, _T0, _ONE, _TOP, _BOT = 9, 10, 8, 1 << 14, np.uint32(1 << 24), np.uint32(1 << 16)
+#: Two blanks, a blank before other white space, and white space other than blank and bytes 9 to 13, in UTF-8 (E2 80 and E2 81 hold more than white space).
+_UNCUT = [b"  ", *(b" " + bytes([c]) for c in range(9, 14)), *(bytes([c]) for c in range(0x1C, 0x20)), b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 CHUNK = "part long, seq long, ids_before long, n_ids long, doc_ids array<long>, lengths array<int>, blocks array<struct<n:int,crc:long,payload:binary>>"
 _ARROW = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("crc", pa.int64()), ("payload", pa.binary())])))])
 
@@ -54,6 +53,8 @@ class _Lanes:
         self.low, self.range = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
         self.last, self.then = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.base = {k: self.rows << k for k in (_T0, _T1, _T2)}
+        self.order, self.step = np.arange(3), 0
+        self.place = self.rows * 12 + 4 * self.order[:, None]
 
     def predict(self, m: int):
         """Table places, entries, predictions, distributions and their mixture, for the first m lanes."""
@@ -61,31 +62,36 @@ class _Lanes:
         i1 = self.base[_T1][:m] + (a >> np.uint32(32 - _T1))
         i2 = self.base[_T2][:m] + ((a ^ self.then[:m] * np.uint32(2246822519)) >> np.uint32(32 - _T2))
         e1, e2 = self.t1.take(i1), self.t2.take(i2)
-        r12 = self.rows[:m] * 12
-        at = (r12 + (e2 & 3), r12 + 4 + (e1 & 3), r12 + 8 + np.minimum(self.most[:m] >> 6, 3))
-        own = [self.packed.take(i).view(np.int32).reshape(m, 4) for i in at]
-        mixed = own[0] * self.w[0, :m, None]
-        mixed += own[1] * self.w[1, :m, None]
-        mixed += own[2] * self.w[2, :m, None]
-        q = (mixed >> 14) + 16
-        return i1, i2, e1, e2, ((e2 >> 2) - 1, (e1 >> 2) - 1, self.best[:m]), at, own, mixed, np.cumsum(q.view(np.uint32), axis=1, dtype=np.uint32), q.view(np.uint32).reshape(-1)
+        at = self.place[:, :m].copy()
+        at[0] += e2 & 3
+        at[1] += e1 & 3
+        at[2] += np.minimum(self.most[:m] >> 6, 3)
+        own = self.packed.take(at).view(np.int32).reshape(3, m, 4)
+        parts = own * self.w[:, :m, None]
+        mixed = parts[0]
+        mixed += parts[1]
+        mixed += parts[2]
+        mixed >>= 14
+        mixed += 16
+        q = mixed.view(np.uint32)
+        return i1, i2, e1, e2, ((e2 >> 2) - 1, (e1 >> 2) - 1, self.best[:m]), at, own, np.cumsum(q, axis=1, dtype=np.uint32), q.reshape(-1)
 
     def learn(self, m: int, ids, sym, state) -> None:
-        """Moves distributions, weights and tables towards what came."""
-        i1, i2, e1, e2, preds, at, own, mixed, _, _ = state
+        """Moves distributions and tables towards what came, and every fourth time the weights."""
+        i1, i2, e1, e2, (p2, p1, _), at, own, _, q = state
         flat = self.rows[:m] * 4 + sym
-        whole = np.maximum(mixed.reshape(-1).take(flat) >> 14, 1)
-        for k in range(3):
-            w, f = self.w[k, :m], own[k]
-            w += ((f.reshape(-1).take(flat) * w) // whole - w) >> 5
-            np.maximum(w, 256, out=w)
-            f -= f >> 5
-            f.reshape(-1)[flat] += _ONE >> 5
-            self.packed[at[k]] = f.view(np.complex128).reshape(-1)
+        each = flat + self.order[:, None] * (4 * m)
+        if not self.step & 3:
+            w = self.w[:, :m]
+            w += ((own.reshape(-1).take(each) * w) // q.take(flat).view(np.int32) - w) >> 5
+            np.clip(w, 256, _ONE, out=w)
+        self.step += 1
+        own -= own >> 5
+        own.reshape(-1)[each] += _ONE >> 5
+        self.packed[at] = own.view(np.complex128)[:, :, 0]
         fresh = ids + 1 << 2
-        for table, i, e, p in ((self.t2, i2, e2, preds[0]), (self.t1, i1, e1, preds[1])):
-            c = e & 3
-            table[i] = np.where(p == ids, fresh | np.minimum(c + 1, 3), np.where(c > 0, e - 1, fresh))
+        self.t2[i2] = np.where(p2 == ids, e2 + ((e2 & 3) < 3), fresh)
+        self.t1[i1] = np.where(p1 == ids, e1 + ((e1 & 3) < 3), fresh)
         k = self.base[_T0][:m] + (ids & ((1 << _T0) - 1))
         count = self.t0.take(k) + np.int16(1)
         self.t0[k] = count
@@ -101,14 +107,36 @@ class _Lanes:
         return np.where(ids == p2, 0, np.where(ids == p1, 1, np.where(ids == p0, 2, 3)))
 
 
-def _spread(at: np.ndarray, low: np.ndarray, rng: np.ndarray):
-    """Lanes among `at` whose next byte is settled; a range too short across a byte's border is cut first."""
-    lo, ra = low[at], rng[at]
+def _ready(lo: np.ndarray, ra: np.ndarray) -> np.ndarray:
+    """Where the next byte is settled; a range too short across a byte's border is cut first."""
     settled = (lo ^ (lo + ra)) < _TOP
-    short = (ra < _BOT) & ~settled
+    short = ra < _BOT
+    short &= ~settled
     if short.any():
-        rng[at[short]] = (np.uint32(0) - lo[short]) & (_BOT - np.uint32(1))
-    return at[settled | short]
+        np.copyto(ra, (np.uint32(0) - lo) & (_BOT - np.uint32(1)), where=short)
+    settled |= short
+    return settled
+
+
+class _Coder:
+    """The range coder of all lanes: narrow() takes an interval for some lanes (a slice or places) and shifts settled bytes out or in."""
+
+    def __init__(self, low: np.ndarray, rng: np.ndarray, shift):
+        self.low, self.range, self.shift = low, rng, shift
+        self.rows = np.arange(len(low))
+
+    def narrow(self, at, step, cum, freq) -> None:
+        lo, ra = self.low[at] + step * cum, step * freq
+        lanes = self.rows[at]
+        done = _ready(lo, ra)
+        self.low[at], self.range[at] = lo, ra
+        lanes = lanes[done]
+        while len(lanes):
+            self.shift(lanes)
+            lo, ra = self.low[lanes] << np.uint32(8), self.range[lanes] << np.uint32(8)
+            done = _ready(lo, ra)
+            self.low[lanes], self.range[lanes] = lo, ra
+            lanes = lanes[done]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -123,38 +151,30 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for k, i in enumerate(order):
         grid[: size[k], k] = blocks[i]
     out, used = np.zeros((len(blocks), 256), np.uint8), np.zeros(len(blocks), np.int64)
-    low, rng = x.low, x.range
 
-    def code(at, cum, freq, total):
+    def write(lanes):
         nonlocal out
-        step = rng[at] // total
-        low[at] += step * cum
-        rng[at] = step * freq
-        while len(at := _spread(at, low, rng)):
-            if used[at].max() >= out.shape[1]:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
-            out[at, used[at]] = (low[at] >> np.uint32(24)).astype(np.uint8)
-            used[at] += 1
-            low[at] <<= np.uint32(8)
-            rng[at] <<= np.uint32(8)
+        place = used[lanes]
+        if place.max() >= out.shape[1]:
+            out = np.concatenate([out, np.zeros_like(out)], axis=1)
+        out[lanes, place] = x.low[lanes] >> np.uint32(24)
+        used[lanes] = place + 1
 
+    coder, plain = _Coder(x.low, x.range, write), np.zeros(grid.shape, bool)
     for step in range(len(grid)):
         m = int(np.searchsorted(-size, -step, "left"))
         ids = grid[step, :m]
         state = x.predict(m)
-        sym, c = x.symbols(ids, state[4]), state[8]
+        sym, c = x.symbols(ids, state[4]), state[7]
         flat = x.rows[:m] * 4 + sym
-        own = state[9].take(flat)
-        code(x.rows[:m], c.reshape(-1).take(flat) - own, own, c[:, 3])
-        lit = np.flatnonzero(sym == 3)
-        if len(lit):
-            if wide:
-                code(lit, (ids[lit] >> 16).astype(np.uint32), np.uint32(1), np.uint32(1 << 16))
-            code(lit, (ids[lit] & 0xFFFF).astype(np.uint32), np.uint32(1), np.uint32(1 << 16))
+        own = state[8].take(flat)
+        coder.narrow(slice(0, m), x.range[:m] // c[:, 3], c.reshape(-1).take(flat) - own, own)
+        plain[step, :m] = sym == 3
         x.learn(m, ids, sym, state)
     done = [b""] * len(blocks)
     for k, i in enumerate(order):
-        done[i] = bytes([wide]) + out[k, : used[k]].tobytes() + int(low[k]).to_bytes(4, "big")
+        coded = out[k, : used[k]].tobytes() + int(x.low[k]).to_bytes(4, "big")
+        done[i] = bytes([wide]) + len(coded).to_bytes(4, "big") + coded + grid[plain[:, k], k].astype("<u4" if wide else "<u2").tobytes()
     return done
 
 
@@ -168,44 +188,39 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         order = sorted(chosen, key=lambda i: -sizes[i])
         size = np.array([sizes[i] for i in order])
         x = _Lanes(len(order), wide)
-        longest = max(len(coded[i]) for i in order) + 8
+        ends = [5 + int.from_bytes(coded[i][1:5], "big") for i in order]
+        longest = max(ends) + 8
         data = np.zeros((len(order), longest), np.uint8)
-        for k, i in enumerate(order):
-            data[k, : len(coded[i]) - 1] = np.frombuffer(coded[i], np.uint8)[1:]
+        plain = [np.frombuffer(coded[i], "<u4" if wide else "<u2", offset=e) for i, e in zip(order, ends)]
+        at = np.cumsum([0, *map(len, plain)])[:-1]  # the next plain id of each lane
+        plain = np.concatenate(plain).astype(np.int64 if wide else np.int32)
+        for k, (i, e) in enumerate(zip(order, ends)):
+            data[k, : e - 5] = np.frombuffer(coded[i], np.uint8)[5:e]
         value = (data[:, :4].astype(np.uint32) << np.array([24, 16, 8, 0], np.uint32)).sum(axis=1, dtype=np.uint32)
         used = np.full(len(order), 4)
-        low, rng = x.low, x.range
         grid = np.zeros((size[0], len(order)), np.int64 if wide else np.int32)
 
-        def take(at, cum, freq, step):
-            low[at] += step * cum
-            rng[at] = step * freq
-            while len(at := _spread(at, low, rng)):
-                value[at] = (value[at] << np.uint32(8)) | data[at, np.minimum(used[at], longest - 1)]
-                used[at] += 1
-                low[at] <<= np.uint32(8)
-                rng[at] <<= np.uint32(8)
+        def fetch(lanes):
+            place = used[lanes]
+            value[lanes] = (value[lanes] << np.uint32(8)) | data[lanes, np.minimum(place, longest - 1)]
+            used[lanes] = place + 1
 
+        coder = _Coder(x.low, x.range, fetch)
         for k in range(len(grid)):
             m = int(np.searchsorted(-size, -k, "left"))
             state = x.predict(m)
-            c = state[8]
-            step = rng[:m] // c[:, 3]
-            seen = (value[:m] - low[:m]) // step
+            c = state[7]
+            step = x.range[:m] // c[:, 3]
+            seen = (value[:m] - x.low[:m]) // step
             sym = np.minimum((seen[:, None] >= c[:, :3]).sum(axis=1), 3)
             flat = x.rows[:m] * 4 + sym
-            own = state[9].take(flat)
-            take(x.rows[:m], c.reshape(-1).take(flat) - own, own, step)
+            own = state[8].take(flat)
+            coder.narrow(slice(0, m), step, c.reshape(-1).take(flat) - own, own)
             p2, p1, p0 = state[4]
             ids = np.where(sym == 0, p2, np.where(sym == 1, p1, p0))
             lit = np.flatnonzero(sym == 3)
-            if len(lit):
-                ids[lit] = 0
-                for _ in range(1 + wide):
-                    step = rng[lit] >> np.uint32(16)
-                    seen = np.minimum((value[lit] - low[lit]) // step, np.uint32(0xFFFF))
-                    take(lit, seen, np.uint32(1), step)
-                    ids[lit] = (ids[lit] << 16) | seen
+            ids[lit] = plain[at[lit]]
+            at[lit] += 1
             x.learn(m, ids, sym, state)
             grid[k, :m] = ids
         for k, i in enumerate(order):
@@ -231,18 +246,24 @@ class _Pieces:
         """Ids of whole texts as 32-bit integers.
 
         A pre-token of the file's pattern begins at a blank between marks, so texts are cut there and each piece is
-        encoded once; texts in which blanks meet other white space, or with rarer white space, go to the library whole.
+        encoded once; texts with two blanks, a blank before other white space, or rarer white space go to the library whole.
         """
-        cut = [None if b"  " in t or _UNCUT.search(t) else t.split(b" ") for t in texts]
+        cut = [None if any(x in t for x in _UNCUT) else t.split(b" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list({p for c in cut if c for p in c[1:]}.difference(self.known))
+        known = self.known.get
+        found = [None if c is None else list(map(known, c[1:])) for c in cut]
+        new = list({p for c, f in zip(cut, found) if c and None in f for p, g in zip(c[1:], f) if g is None})
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for p, e in zip(part, self.tok.encode_batch_fast([" " + p.decode("utf-8", "replace") for p in part], add_special_tokens=False)):
                 self.known[p] = np.array(e.ids, "<i4").tobytes()
-        ids = self.known.__getitem__
-        out = [self.whole(t) if c is None else self.whole(c[0]) + b"".join(map(ids, c[1:])) for t, c in zip(texts, cut)]
+        out = []
+        for t, c, f in zip(texts, cut, found):
+            if c is None:
+                out.append(self.whole(t))
+            else:
+                out.append(self.whole(c[0]) + b"".join(map(known, c[1:]) if None in f else f))
         for p in new:
             if len(p) > CACHE_BYTES:
                 del self.known[p]
