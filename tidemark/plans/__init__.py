@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
-    from . import lenses
+    from . import adapters
 
-    return dict(lenses.QUERIES)
+    return dict(adapters.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import lenses
+    from . import adapters
 
-    return dict(lenses.SQL)
+    return dict(adapters.SQL)
