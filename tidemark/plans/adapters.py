@@ -102,8 +102,8 @@ def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("status", "feature").agg(F.count("*").alias("businesses"), F.expr("count_if(reason is null)").alias("present"))
 
 
-@register(_DAILY_SQL + """, g AS (SELECT business_id, array_to_string(list_slice(list_filter([CASE WHEN status = 'insufficient_data' THEN 'connect_more_history' END, CASE WHEN days_negative_balance_90d > 20 THEN 'reduce_overdraft_days' END, CASE WHEN net30 < 0 AND runway_days_current_balance < 30 THEN 'extend_runway' END,
-  CASE WHEN inflow_outflow_ratio < 1 THEN 'cover_outflows' END, CASE WHEN recurring_expense_ratio > 0.5 THEN 'review_fixed_costs' END, CASE WHEN inflow_regularity_score < 0.3 THEN 'steady_receipts' END, CASE WHEN revenue_growth_90d < -20 THEN 'revenue_falling' END], lambda x: x IS NOT NULL), 1, 3), ',') AS guidance FROM f) SELECT * FROM g""")
+@register(_DAILY_SQL + """, held AS (SELECT business_id, array_to_string(list_slice(list_filter([CASE WHEN status = 'insufficient_data' THEN 'connect_more_history' END, CASE WHEN days_negative_balance_90d > 20 THEN 'reduce_overdraft_days' END, CASE WHEN net30 < 0 AND runway_days_current_balance < 30 THEN 'extend_runway' END,
+  CASE WHEN inflow_outflow_ratio < 1 THEN 'cover_outflows' END, CASE WHEN recurring_expense_ratio > 0.5 THEN 'review_fixed_costs' END, CASE WHEN inflow_regularity_score < 0.3 THEN 'steady_receipts' END, CASE WHEN revenue_growth_90d < -20 THEN 'revenue_falling' END], lambda x: x IS NOT NULL), 1, 3), ',') AS guidance FROM f) SELECT * FROM held""")
 def guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three of seven rules that hold, in their order."""
     rules = {"connect_more_history": "status = 'insufficient_data'", "reduce_overdraft_days": "days_negative_balance_90d > 20", "extend_runway": "net30 < 0 and runway_days_current_balance < 30", "cover_outflows": "inflow_outflow_ratio < 1", "review_fixed_costs": "recurring_expense_ratio > 0.5", "steady_receipts": "inflow_regularity_score < 0.3", "revenue_falling": "revenue_growth_90d < -20"}
