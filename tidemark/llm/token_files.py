@@ -18,6 +18,7 @@ wrong checksum raises ValueError.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -238,6 +239,23 @@ class _Pieces:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.known: dict[bytes, bytes] = {}  # of words after a blank
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        # a character of a token's name stands for one byte, and special tokens are ASCII
+        self.bytes_of = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)])
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encodes words after a blank in one text; where a word doesn't end at a token's end, each alone."""
+        text = "".join([" " + w.decode("utf-8", "replace") for w in words])
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
+        ends, want = np.cumsum(self.bytes_of[ids]), np.cumsum([len(w) + 1 for w in words])
+        at = np.searchsorted(ends, want)
+        if b"" not in words and len(ids) and ends[-1] == want[-1] and (ends[at] == want).all():
+            raw, cut = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+            self.known.update(zip(words, [raw[a:b] for a, b in zip(cut, cut[1:])]))
+            return
+        for w, e in zip(words, self.tok.encode_batch_fast([" " + w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<i4").tobytes()
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<i4").tobytes()
@@ -254,10 +272,8 @@ class _Pieces:
         known = self.known.get
         found = [None if c is None else list(map(known, c[1:])) for c in cut]
         new = list({p for c, f in zip(cut, found) if c and None in f for p, g in zip(c[1:], f) if g is None})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tok.encode_batch_fast([" " + p.decode("utf-8", "replace") for p in part], add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<i4").tobytes()
+        for at in range(0, len(new), 1024):
+            self.learn(new[at : at + 1024])
         out = []
         for t, c, f in zip(texts, cut, found):
             if c is None:
