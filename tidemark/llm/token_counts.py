@@ -40,7 +40,7 @@ class TrieCounter:
 
     def __init__(self, scores: dict[str, int], byte_score: int):
         self.scores, self.byte_score = scores, byte_score
-        self.longest = max(map(len, scores), default=1)
+        self.tails = {p[k:] for p in scores for k in range(len(p))}  # what a piece may end in
         self.root: list = [{}, 0, 0]
         self.nodes = 0
         self.known: dict[bytes, tuple[int, int]] = {}
@@ -62,8 +62,10 @@ class TrieCounter:
     def _node(self, word: str, i: int, path: list) -> list:
         n = len(word[i - 1].encode("utf-8", "replace"))
         score, tokens = path[i - 1][1] + n * self.byte_score, path[i - 1][2] + n
-        for j in range(max(0, i - self.longest), i):
-            if (s := self.scores.get(word[j:i])) is not None:
+        for j in range(i - 1, -1, -1):
+            if (piece := word[j:i]) not in self.tails:
+                break
+            if (s := self.scores.get(piece)) is not None:
                 new, k = path[j][1] + s, path[j][2] + 1
                 if new > score or (new == score and k < tokens):
                     score, tokens = new, k
