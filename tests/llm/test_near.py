@@ -115,3 +115,29 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum() - 1, want[i], want[i] == i)
         assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(900, 905))
     assert E.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_similarity_is_decided_exactly(spark, monkeypatch):
+    """Pairs around 0.8, on both sides, of long and of very short texts, against all pairs by definition."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for n in [4, 5, 6, 9, 12, 20, 40, 90, 200, 400] * 6:  # distinct shingles of the text
+        w = [f"u{len(texts)}w{k}" for k in range(n + 4)]
+        texts += [" ".join(w), " ".join([*w, "more"])]
+        for share in rng.uniform(0.75, 0.9, 4):  # a tail replaced, so that the similarity is near the share
+            kept = round(2 * n * share / (1 + share))
+            texts.append(" ".join([*w[: kept + 4], *(f"v{len(texts)}x{k}" for k in range(n - kept))]))
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [grams(t) for t in texts]
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])]
+    want = groups(range(len(texts)), linked)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block, small in ((4096, 48), (2, 2)):
+        monkeypatch.setattr(S, "BLOCK", block)
+        monkeypatch.setattr(S, "SMALL", small)
+        assert {r.doc_id: r.component_id for r in S.near_duplicates(docs, shingle=5, similarity=0.8).collect()} == want
+    assert {r.doc_id for r in S.keep_one(docs).collect()} == set(want.values())
