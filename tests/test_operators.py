@@ -77,6 +77,21 @@ def test_isolation_forest_finds_the_far_point():
     assert s.argmax() == 17 and (s == anomaly.isolation_scores(x, trees=100)).all()
 
 
+def test_scan_window_and_forest_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(b, 1000 * b + i, END - dt.timedelta(days=int(rng.integers(0, 250))), int(rng.integers(8, 18)), "out", int(rng.integers(5000, 9000)), f"S{i % 40}", "ab"[i % 2]) for b, n in ((1, 900), (2, 60), (3, 20)) for i in range(n)]
+    rows += [(1, 1999, END, 3, "in", 90_000_000, "X", "c"), (2, 2999, END, 12, "out", 6000, "S1", "a"), (1, 1998, END - dt.timedelta(days=179), 12, "out", 6000, "S1", "a"), (1, 1997, END - dt.timedelta(days=180), 12, "out", 6000, "S1", "a")]
+    tx = spark.createDataFrame(rows, "business_id long, transaction_id long, date date, hour int, direction string, cents long, counterparty_id string, category string")
+    kept = anomaly.scanned(tx.where("business_id < 3"))
+    ids = {r.transaction_id for r in kept.collect()}
+    assert ids == {r[1] for r in rows if r[0] < 3 and (END - r[2]).days < 180} and 1998 in ids and 1997 not in ids
+    t = anomaly.rules(anomaly.repeats(anomaly.features(anomaly.scanned(tx)))).localCheckpoint()
+    whole = sorted(map(tuple, anomaly.detect(t, trees=50).collect()))
+    assert {r[0] for r in whole} == {1, 2} and (1, 1999, 1) in {r[:3] for r in whole}
+    monkeypatch.setattr(anomaly, "ROWS", 100)
+    assert sorted(map(tuple, anomaly.detect(t, trees=50).collect())) == whole
+
+
 def test_flat_rates(spark):
     d = ledger(spark, 90, inflow=lambda i: 40 if i >= 60 else 10, outflow=lambda i: 0)
     r = {x.method: x.rate / 100 for x in forecast.flat_rates(d).collect()}

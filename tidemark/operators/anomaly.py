@@ -1,7 +1,8 @@
 """Transaction review: robust amounts, rare hours and categories, new and two-way counterparties, repeats, hard rules and an isolation forest.
 
-Everything but the forest is windows over a business (or its counterparties); medians are exact. The forest is drawn and
-scored inside each business's group, whose rows the scan window bounds.
+Everything but the forest is windows over a business (or its counterparties); medians are exact. scanned() cuts the
+ledger to the scan window before. A forest grows from bounded samples, drawn by a hash of tree and row, and scores a
+business's rows in parts of about ROWS in different tasks, each of which grows the same trees from the same sample.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REPEAT_MODES = ("off", "window", "exact", "rarity")
+ROWS, SAMPLE, BATCH = 20_000, 256, 2048
 FOREST = ["amount_z", "hour_rarity", "category_rarity", "new_counterparty", "both_directions", "direction_in"]
 
 
@@ -24,6 +26,11 @@ def _robust(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return df.withColumn(out, z).withColumn(f"{out}_n", F.expr(f"count(*) over (partition by {by})")).drop("_m", "_a", "_d", "_s")
 
 
+def scanned(tx: DataFrame, days: int = 180) -> DataFrame:
+    """The rows of the scan window: the days up to each business's last."""
+    return tx.withColumn("_last", F.expr("max(date) over (partition by business_id)")).where(F.expr(f"date > date_sub(_last, {days})")).drop("_last")
+
+
 def features(tx: DataFrame, seasons: list[tuple[str, str]] = (), burn_in: int = 30, band: float = 0.10, least: int = 3) -> DataFrame:
     """tx (business_id, transaction_id, date, hour, direction, cents, counterparty_id, category) with the six features and the recurring flag."""
     t = tx.withColumn("log_amount", F.expr("log1p(greatest(cents, 0) / 100.0D)")).withColumn("direction_in", F.expr("if(direction = 'in', 1, 0)"))
@@ -85,19 +92,18 @@ def rules(t: DataFrame, amount_z: float = 3.0, rare_hour: float = 0.01, new_z: f
     return t.withColumn("flag_reason", F.expr(reason))
 
 
-def isolation_scores(x: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 0) -> np.ndarray:
-    """Isolation scores, higher for easier to isolate: 2 to the minus mean depth over its expectation. All trees grow together, level by level."""
-    rng, (n, width) = np.random.default_rng(seed), x.shape
-    m = min(sample, n)
-    expected = lambda k: np.where(k > 2, 2 * (np.log(np.maximum(k - 1, 1)) + 0.5772156649) - 2 * (k - 1) / np.maximum(k, 1), np.where(k == 2, 1.0, 0.0))
-    drawn = rng.random((trees, n)).argsort(axis=1)[:, :m]
+def _expected(k):
+    return np.where(k > 2, 2 * (np.log(np.maximum(k - 1, 1)) + 0.5772156649) - 2 * (k - 1) / np.maximum(k, 1), np.where(k == 2, 1.0, 0.0))
+
+
+def grow(x: np.ndarray, drawn: np.ndarray, rng: np.random.Generator) -> list[tuple[np.ndarray, ...]]:
+    """By level the column, cut, end and depth of each node of the trees over the drawn rows of x (trees x sample). All trees grow together."""
+    (trees, m), width = drawn.shape, x.shape[1]
     levels = int(np.ceil(np.log2(max(m, 2))))
-    own, rows = np.zeros((trees, m), np.int64), np.zeros((trees, n), np.int64)
-    grown, open_, depth = np.ones((trees, m), bool), np.ones((trees, n), bool), np.zeros((trees, n))
-    tree = np.arange(trees)[:, None]
+    own, grown, tree, out = np.zeros((trees, m), np.int64), np.ones((trees, m), bool), np.arange(trees)[:, None], []
     for level in range(levels + 1):
         size = trees << level
-        key, all_key = (tree << level) + own, (tree << level) + rows
+        key = (tree << level) + own
         count = np.bincount(key[grown], minlength=size)
         low, high = np.full((size, width), np.inf), np.full((size, width), -np.inf)
         np.minimum.at(low, key[grown], x[drawn[grown]])
@@ -107,28 +113,75 @@ def isolation_scores(x: np.ndarray, trees: int = 200, sample: int = 256, seed: i
         width_at = spread[np.arange(size), choice]
         leaf = (width_at <= 0) | (level == levels)
         cut = np.where(leaf, 0, low[np.arange(size), choice]) + rng.random(size) * width_at
-        ended = open_ & leaf[all_key]
-        depth[ended] = level + expected(count[all_key[ended]])
-        open_ &= ~ended
+        out.append((choice, cut, leaf, level + _expected(count)))
         grown &= ~leaf[key]
-        right = x[drawn, choice[key]] >= cut[key]
-        own = 2 * own + right
-        rows = 2 * rows + (x[np.arange(n)[None, :], choice[all_key]] >= cut[all_key])
-    return 2 ** (-depth.mean(axis=0) / max(float(expected(np.array(m))), 1e-9))
+        own = 2 * own + (x[drawn, choice[key]] >= cut[key])
+    return out
+
+
+def scores_in(forest: list[tuple[np.ndarray, ...]], x: np.ndarray, trees: int, m: int) -> np.ndarray:
+    """Isolation scores of rows, higher for easier to isolate: 2 to the minus mean depth over its expectation. Rows go in batches."""
+    tree, out = np.arange(trees)[:, None], np.empty(len(x))
+    for lo in range(0, len(x), BATCH):
+        part = x[lo : lo + BATCH]
+        rows, open_, depth = np.zeros((trees, len(part)), np.int64), np.ones((trees, len(part)), bool), np.zeros((trees, len(part)))
+        for level, (choice, cut, leaf, ends) in enumerate(forest):
+            key = (tree << level) + rows
+            ended = open_ & leaf[key]
+            depth[ended] = ends[key[ended]]
+            open_ &= ~ended
+            rows = 2 * rows + (part[np.arange(len(part))[None, :], choice[key]] >= cut[key])
+        out[lo : lo + BATCH] = 2 ** (-depth.mean(axis=0) / max(float(_expected(np.array(m))), 1e-9))
+    return out
+
+
+def isolation_scores(x: np.ndarray, trees: int = 200, sample: int = SAMPLE, seed: int = 0) -> np.ndarray:
+    """Isolation scores of the rows of x by trees over samples of them."""
+    rng, m = np.random.default_rng(seed), min(sample, len(x))
+    drawn = rng.random((trees, len(x))).argsort(axis=1)[:, :m]
+    return scores_in(grow(x, drawn, rng), x, trees, m)
+
+
+def draws(h: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """A number below 1 for each row hash, by which a tree draws its sample."""
+    z = h.astype(np.uint64) ^ np.random.default_rng([seed, tree]).integers(1 << 63, dtype=np.uint64)
+    for mixer in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(mixer)
+    return (z ^ (z >> np.uint64(31))) / 2.0**64
+
+
+def scored(t: DataFrame, trees: int = 200, seed: int = 0, least: int = 30) -> DataFrame:
+    """(business_id, transaction_id, date, hour, rule_hit, flag_reason, score): the rows of businesses with `least` rows or more."""
+    kept = ["business_id", "transaction_id", "date", "hour", "rule_hit", "flag_reason"]
+    rows = t.select(*kept, *FOREST).withColumn("n", F.expr("count(*) over (partition by business_id)")).where(F.col("n") >= least)
+    rows = rows.withColumn("h", F.xxhash64("business_id", "transaction_id")).withColumn("parts", F.expr(f"int(ceil(n / {ROWS}))")).withColumn("part", F.expr("pmod(xxhash64(h), parts)"))
+
+    @F.pandas_udf("boolean")
+    def may_be_drawn(h: pd.Series, n: pd.Series) -> pd.Series:
+        # eight deviations more than a sample on the whole; the least draws of each tree are taken from these
+        share, x = (SAMPLE + 8 * SAMPLE**0.5) / n.to_numpy(), h.to_numpy()
+        drawn = share >= 1
+        for k in range(trees):
+            drawn |= draws(x, k, seed) < share
+        return pd.Series(drawn)
+
+    sample = rows.where(may_be_drawn("h", "n")).select("business_id", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"), "h", *FOREST)
+
+    def part_scores(pdf: pd.DataFrame, drawn_from: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pdf[kept].assign(score=0.0)
+        drawn_from = drawn_from.sort_values(["h", *FOREST])
+        x, h, m = drawn_from[FOREST].to_numpy(float), drawn_from["h"].to_numpy(), min(SAMPLE, len(drawn_from))
+        drawn = np.stack([np.argsort(draws(h, k, seed), kind="stable")[:m] for k in range(trees)])
+        forest = grow(x, drawn, np.random.default_rng(seed))
+        return pdf[kept].assign(score=scores_in(forest, pdf[FOREST].to_numpy(float), trees, m))
+
+    both = rows.withColumn("part", F.col("part").cast("long")).groupBy("business_id", "part").cogroup(sample.groupBy("business_id", "part"))
+    return both.applyInPandas(part_scores, "business_id long, transaction_id long, date date, hour int, rule_hit boolean, flag_reason string, score double")
 
 
 def detect(t: DataFrame, contamination: float = 0.01, most: int = 10, trees: int = 200, seed: int = 0, least: int = 30) -> DataFrame:
     """(business_id, transaction_id, rank, flag_reason): up to `most` flags a business, rule hits first and then forest outliers, most isolated first. Scores stay inside."""
-
-    def flags(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "hour", "transaction_id"])
-        if len(pdf) < least:
-            return pdf.head(0)[["business_id", "transaction_id"]].assign(rank=0, flag_reason="")
-        score = isolation_scores(pdf[FOREST].to_numpy(float), trees, seed=seed)
-        outlier = score > np.quantile(score, 1 - contamination)
-        pdf = pdf.assign(score=score)[outlier | pdf["rule_hit"].to_numpy()]
-        pdf = pdf.sort_values(["rule_hit", "score"], ascending=False, kind="stable").head(most)
-        return pdf[["business_id", "transaction_id"]].assign(rank=np.arange(1, len(pdf) + 1), flag_reason=pdf["flag_reason"])
-
-    cols = ["business_id", "transaction_id", "date", "hour", "rule_hit", "flag_reason", *FOREST]
-    return t.select(*cols).groupBy("business_id").applyInPandas(flags, "business_id long, transaction_id long, rank int, flag_reason string")
+    s = scored(t, trees, seed, least).withColumn("bound", F.expr(f"percentile(score, {1 - contamination}D) over (partition by business_id)"))
+    s = s.where("score > bound or rule_hit").withColumn("rank", F.expr("row_number() over (partition by business_id order by rule_hit desc, score desc, date, hour, transaction_id)"))
+    return s.where(F.col("rank") <= most).select("business_id", "transaction_id", "rank", "flag_reason")

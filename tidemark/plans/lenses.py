@@ -163,13 +163,13 @@ def anomaly_hits_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def anomaly_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.detect(A.rules(A.repeats(event_features(spark, sf_dir))))
+    return A.detect(A.rules(A.repeats(A.features(A.scanned(L.event_ledger(spark, sf_dir)), SEASONS, burn_in=10))))
 
 
 @register()
 def anomaly_detector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plants a copy of one outflow a business, an hour later, and an inflow fifty times too large, and scores the detector on them."""
-    e = L.event_ledger(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("business_id", "direction").orderBy(F.md5(F.col("transaction_id").cast("string").cast("binary")))))
+    e = A.scanned(L.event_ledger(spark, sf_dir)).withColumn("r", F.row_number().over(Window.partitionBy("business_id", "direction").orderBy(F.md5(F.col("transaction_id").cast("string").cast("binary")))))
     copy = e.where("r = 1 and direction = 'out' and counterparty_id is not null").withColumn("hour", F.expr("least(hour + 1, 23)")).withColumn("transaction_id", F.col("transaction_id") + 10_000_000_000).withColumn("anomaly_type", F.lit("exact_duplicate"))
     large = e.where("r = 1 and direction = 'in'").withColumn("cents", F.col("cents") * 50).withColumn("transaction_id", F.col("transaction_id") + 20_000_000_000).withColumn("anomaly_type", F.lit("large_inflow"))
     planted = copy.unionByName(large)
