@@ -138,3 +138,11 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).columns == [*columns, "ids", "decoded", "n_tokens"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, awkward(spark), SF).count() >= 1 and stage(spark, empty(spark), SF).count() == 0
+
+
+def test_entries_in_force_have_no_last_day(spark):
+    days = ["2023-12-31", "2024-01-01", "2199-12-31", "2200-01-01", "9999-12-31"]
+    captures = spark.createDataFrame([(f"http://{h}/x", d) for h in ("a.b", "c.d", "e.f") for d in days], "url string, fetched string").selectExpr("url", "cast(fetched as date) as fetched")
+    entries = spark.createDataFrame([("block", "a.b", "2024-01-01", "add"), ("block", "c.d", "2024-01-01", "add"), ("block", "c.d", "2500-01-01", "drop"), ("block", "e.f", "2300-01-01", "add")], "list string, domain string, day string, action string").selectExpr("list", "domain", "cast(day as date) as day", "action")
+    got = {(r.host, str(r.fetched)) for r in url_filters.judge(captures, entries).where("verdict = 'block'").collect()}
+    assert got == {("a.b", d) for d in days[1:]} | {("c.d", d) for d in days[1:4]} | {("e.f", days[4])}

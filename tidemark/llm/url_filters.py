@@ -6,7 +6,8 @@ was in force on the day of its fetch, for its host and each parent domain: the m
 and of equal ones "allow".
 
 Captures are first reduced to their distinct hosts and days, so a host with a third of all captures costs its days.
-Intervals are cut at multiples of SPAN days and joined by domain and span, an equi-join whatever the length of a history.
+Intervals are cut at multiples of SPAN days and joined by domain and span, an equi-join whatever the length of a history;
+the span of LAST stands for all later days.
 
 Rows: a null or unreadable URL has no host and is not listed; a null day is judged as not listed; entries with nulls or other actions
 are left out; of entries of a list and domain on one day the drop counts; an add after an add keeps the first day, an
@@ -15,12 +16,14 @@ entry that never drops stays in force; repeated rows each get their verdict; oth
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import fresh
 
-SPAN = 64
+SPAN, LAST = 64, datetime.date(2199, 12, 31)
 
 
 def host_of(url: Column) -> Column:
@@ -41,15 +44,16 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched", span: int = SPAN) -> DataFrame:
     """captures with host, verdict ("block", "allow" or null), the domain that decided and since when."""
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    part = lambda c: F.floor(F.least(day(c), day(F.lit(LAST))) / span)
     host, tmp = fresh([*captures.columns, "verdict", "domain", "since"], "host", "fetched_on")
     rows = captures.withColumn(host, host_of(F.col(f"`{url}`"))).withColumn(tmp, F.col(f"`{fetched}`").cast("date"))
     asked = rows.select(F.col(host).alias("h"), F.col(tmp).alias("d")).where("h is not null and d is not null").distinct()
     labels = F.split("h", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = asked.withColumn("part", F.floor(day(F.col("d")) / span)).withColumn("domain", F.explode(parents))
+    asked = asked.withColumn("part", part(F.col("d"))).withColumn("domain", F.explode(parents))
     held = intervals(entries)
-    last = F.greatest(F.coalesce(F.date_sub("until", 1), F.lit("2199-12-31").cast("date")), "since")
-    held = held.withColumn("part", F.explode(F.sequence(F.floor(day(F.col("since")) / span), F.floor(day(last) / span))))
+    last = F.greatest(F.coalesce(F.date_sub("until", 1), F.lit(LAST)), "since")
+    held = held.withColumn("part", F.explode(F.sequence(part(F.col("since")), part(last))))
     found = asked.join(held, ["domain", "part"]).where("since <= d and (until is null or d < until)")
     best = F.min(F.struct((-F.length("domain")).alias("n"), F.col("list").alias("verdict"), "domain", "since")).alias("x")
     verdicts = found.groupBy("h", "d").agg(best).select(F.col("h").alias("_h"), F.col("d").alias("_d"), "x.verdict", "x.domain", "x.since")
