@@ -165,9 +165,11 @@ def scored(t: DataFrame, trees: int = 200, seed: int = 0, least: int = 30) -> Da
             drawn |= draws(x, k, seed) < share
         return pd.Series(drawn)
 
-    sample = rows.where(may_be_drawn("h", "n")).select("business_id", F.explode(F.expr("sequence(0L, parts - 1L)")).alias("part"), "h", *FOREST)
+    sample = rows.where(may_be_drawn("h", "n")).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)")))
 
-    def part_scores(pdf: pd.DataFrame, drawn_from: pd.DataFrame) -> pd.DataFrame:
+    def part_scores(pdf: pd.DataFrame) -> pd.DataFrame:
+        sampled = pdf["sampled"].to_numpy(bool)
+        pdf, drawn_from = pdf[~sampled], pdf[sampled]
         if not len(pdf):
             return pdf[kept].assign(score=0.0)
         drawn_from = drawn_from.sort_values(["h", *FOREST])
@@ -176,8 +178,8 @@ def scored(t: DataFrame, trees: int = 200, seed: int = 0, least: int = 30) -> Da
         forest = grow(x, drawn, np.random.default_rng(seed))
         return pdf[kept].assign(score=scores_in(forest, pdf[FOREST].to_numpy(float), trees, m))
 
-    both = rows.withColumn("part", F.col("part").cast("long")).groupBy("business_id", "part").cogroup(sample.groupBy("business_id", "part"))
-    return both.applyInPandas(part_scores, "business_id long, transaction_id long, date date, hour int, rule_hit boolean, flag_reason string, score double")
+    both = rows.withColumn("part", F.col("part").cast("long")).withColumn("sampled", F.lit(False)).unionByName(sample.withColumn("sampled", F.lit(True)))
+    return both.groupBy("business_id", "part").applyInPandas(part_scores, "business_id long, transaction_id long, date date, hour int, rule_hit boolean, flag_reason string, score double")
 
 
 def detect(t: DataFrame, contamination: float = 0.01, most: int = 10, trees: int = 200, seed: int = 0, least: int = 30) -> DataFrame:
