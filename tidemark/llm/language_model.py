@@ -1,34 +1,41 @@
 """LM scoring by context-tree weighting (operator 8).
 
-Tokens are the lower-cased words of a text and one end. A token is coded byte by byte, each byte as eight binary
-decisions (a word ends with a blank, the end is a line feed); the context of a decision is the byte's bits so far and
-up to DEPTH bytes before it, back to the token's start. Every context of every depth keeps Krichevsky-Trofimov counts of
-the training tokens; a node's weighted probability is half its own estimate and half the product of its children's, so a
-prediction mixes the estimates of all depths on its path by their posterior weights. A depth that training never saw
-adds nothing. The log probability of a text is the sum over its tokens; divided by its bytes it is the code length.
-
-The work follows distinct words, not tokens: tasks give each of their words with its training count, counts are summed
-by word, words give (context, byte) events whose counts are summed again, the tree is evaluated in groups of contexts
-that share their last GROUP bytes and, above them, level by level, and answers go back by equi-joins to words and to the
-chunks that documents are dealt to. Nothing that grows with the corpus reaches the driver but three sums.
+A text is read as its lower-cased words, a blank before, between and behind them, and a line feed as its end. Each byte is
+binary decisions along a Huffman code of the training bytes; the context of a decision is the code's bits so far and the
+DEPTH bytes before it, across words (zeros before a text's start). Every context of every depth keeps Krichevsky-Trofimov
+counts of the training texts; a node's weighted probability is half its own estimate and half the product of its
+children's, so a prediction mixes the estimates of all depths on its path by their posterior weights. A depth that
+training never saw adds nothing. The log probability of a text is the sum over its bytes; divided by them it is the code
+length.
+
+Texts are dealt to chunks of CHUNK_BYTES. A chunk gives its distinct events (context and byte) with their training counts,
+one packed row for each group of contexts; a group, which holds the whole subtrees of its contexts' last `top` bytes, sums
+counts over chunks and evaluates its subtrees; the levels above are DataFrame aggregates and joins of their roots; then
+each group answers each chunk's events in the order asked, and a chunk adds up its texts. Words take the same way for the
+base counts. So a passage that repeats costs once a chunk, and nothing that grows with the corpus reaches the driver: only
+256 byte counts and a size do. Groups follow the size of the text, and so does `top` (cells_of).
 
 Rows: a null text counts as empty (its one token is the end); repeated rows get equal scores; null ids are scored and
 learned from as the empty id; without training rows every decision costs one bit; other columns are left out; an empty
-table gives no rows.
+table gives no rows. A text is held whole by its chunk's task, its events STEP bytes at a time.
 """
 
 from __future__ import annotations
 
+import heapq
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc32_of, scratch
+from .shared import crc32_of
 
-DEPTH, GROUP, CHUNK_BYTES, HELD, WORDS, EVENTS = 6, 3, 16 << 20, 500_000, 300_000, 250_000
+DEPTH, CHUNK_BYTES, GROUP_BYTES, WORD_GROUP_BYTES, STEP = 7, 24 << 20, 4 << 20, 16 << 20, 4 << 20
 END = b"\n"
-_LOG_PI = float(np.log(np.pi))
+_LOG_PI, _SMALL = float(np.log(np.pi)), 1 << 16
+ASK = "g long, chunk long, keys binary, counts binary"
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -41,126 +48,245 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + (1 / 12 - i * (1 / 360 - i / 1260)) / z - np.log(p)
 
 
-def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log Krichevsky-Trofimov probability of a zeros and b ones in any order."""
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - _LOG_PI
-
+_HALF, _WHOLE = _lgamma(np.arange(_SMALL) + 0.5), _lgamma(np.arange(2 * _SMALL) + 1.0)
 
-def events_of(words: list[bytes], counts: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed, which, counts): an event for each byte of each token: its context, last byte first, and the byte in the lowest eight bits."""
-    spelled = [b" " + w + (b"" if w == END else b" ") for w in words]
-    lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
-    flat = np.frombuffer(b"".join(spelled), np.uint8).astype(np.int64)
-    which = np.repeat(np.arange(len(words)), lengths)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    packed = flat.copy()
-    for d in range(1, depth + 1):
-        back = np.zeros_like(flat)
-        back[d:] = flat[:-d] if d < len(flat) else 0
-        packed |= np.where(at >= d, back, 0) << (8 * (depth - d + 1))
-    real = at > 0
-    return packed[real], which[real], counts[which[real]]
 
-
-def _decisions(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bit node, bit) of the eight decisions of each byte."""
-    bits = (symbols[:, None] >> np.arange(7, -1, -1)) & 1
-    nodes = (symbols[:, None] | 256) >> np.arange(8, 0, -1)
-    return nodes, bits
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Log Krichevsky-Trofimov probability of a zeros and b ones in any order; small counts come from a table."""
+    x, y = np.minimum(a, _SMALL - 1).astype(np.int64), np.minimum(b, _SMALL - 1).astype(np.int64)
+    out = _HALF[x] + _HALF[y] - _WHOLE[x + y] - _LOG_PI
+    big = np.flatnonzero((a >= _SMALL) | (b >= _SMALL))
+    if len(big):
+        a, b = a[big].astype(np.float64), b[big].astype(np.float64)
+        out[big] = _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - _LOG_PI
+    return out
+
+
+class Code:
+    """A Huffman code of the bytes: for each byte its decisions as (inner node, bit)."""
+
+    def __init__(self, counts):
+        heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]
+        heapq.heapify(heap)
+        children, at = [], 256
+        while len(heap) > 1:
+            (m, _, x), (n, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+            children.append((x, y))
+            heapq.heappush(heap, (m + n, at, at))
+            at += 1
+        paths: dict[int, list] = {at - 1: []}
+        for inner in range(at - 1, 255, -1):
+            for bit, child in enumerate(children[inner - 256]):
+                paths[child] = [*paths[inner], (inner - 256, bit)]
+        self.lengths = np.array([len(paths[s]) for s in range(256)])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.nodes = np.array([n for s in range(256) for n, _ in paths[s]], np.uint64)
+        self.bits = np.array([b for s in range(256) for _, b in paths[s]], np.int64)
+
+    def decisions(self, symbols: np.ndarray):
+        """(which symbol, its node, its bit) of all decisions of some symbols, in order."""
+        n = self.lengths[symbols]
+        which = np.repeat(np.arange(len(symbols)), n)
+        at = np.arange(len(which)) + np.repeat(self.starts[symbols] - np.cumsum(n) + n, n)
+        return which, self.nodes[at], self.bits[at]
+
+
+def spelled(text: bytes) -> bytes:
+    """The bytes that the model reads; the first is given, not coded."""
+    words = text.lower().split()
+    return b" " + b" ".join(words) + b" \n" if words else b" \n"
+
+
+def event_keys(streams: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(key, which stream) of each coded byte: its context, last byte first, and the byte in the lowest eight bits."""
+    flat = np.frombuffer(b"".join(streams), np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, streams), np.int64, len(streams))
+    starts = np.cumsum(lengths) - lengths
+    keys = flat.copy()
+    for d in range(1, min(depth, len(flat) - 1) + 1):
+        keys[d:] |= flat[:-d] << np.uint64(8 * (depth - d + 1))
+    for o in range(1, depth):  # contexts end at a text's start
+        at = starts[lengths > o] + o
+        keys[at] &= np.uint64(0xFFFFFFFFFFFFFFFF << 8 * (depth - o + 1) & 0xFFFFFFFFFFFFFFFF | 255)
+    coded = np.ones(len(flat), bool)
+    coded[starts] = False
+    return keys[coded], np.repeat(np.arange(len(streams)), lengths - 1)
+
+
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+
+
+def _steps(texts: list[bytes]):
+    """(first text, streams) of some texts at a time, about STEP bytes."""
+    at, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(spelled(t))
+        size += len(held[-1])
+        if size >= STEP or i == len(texts) - 1:
+            yield at, held
+            at, held, size = i + 1, [], 0
+
+
+def chunk_events(texts: list[bytes], learn: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct events of some texts in order, and their counts in those that are learned from."""
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for at, streams in _steps(texts):
+        k, which = event_keys(streams, depth)
+        told = learn[at + which]
+        parts = []
+        for x, weight in ((k[told], 1), (k[~told], 0)):
+            x.sort()
+            first = _runs(x)
+            parts.append((x[first], weight * np.diff(np.r_[first, len(x)])))
+        keys, counts = summed(np.concatenate([keys, parts[0][0], parts[1][0]]), np.concatenate([counts, parts[0][1], parts[1][1]]))[:2]
+    return keys, counts
+
+
+def summed(keys: np.ndarray, counts: np.ndarray):
+    """(distinct keys in order, summed counts, place of each key among them)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    first = _runs(ordered)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
+    return ordered[first], np.add.reduceat(counts[order], first) if len(first) else counts, place
+
+
+def planes(values: np.ndarray) -> bytes:
+    """64-bit numbers as byte planes: small ones leave planes of zeros, which the shuffle's compression takes away."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def numbers(data: bytes, kind=np.uint64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+
+
+def group_of(ctx, groups: int):
+    """The group of a context of `top` bytes, for numpy and for columns alike."""
+    return ctx * 48271 % 2147483647 % groups
 
 
 class Subtrees:
-    """The tree from depth `top` to `depth` over events that hold whole subtrees."""
+    """The tree from depth `top` to `depth` over the events of whole subtrees; nodes of each level are distinct and in order."""
 
-    def __init__(self, packed: np.ndarray, counts: np.ndarray, depth: int = DEPTH, top: int = GROUP):
-        nodes, bits = _decisions(packed & 255)
-        ctx, n = packed >> 8, counts.astype(np.float64)[:, None] * np.ones(8)
-        self.levels = []
-        child_lp, child_key = None, None
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, code: Code, depth: int = DEPTH, top: int = 3):
+        self.which, node, self.bit = code.decisions((keys & np.uint64(255)).astype(np.int64))
+        n = counts[self.which]
+        key, ones = keys[self.which] & np.uint64(0xFFFFFFFFFFFFFF00) | node, n * self.bit
+        zeros, lp, self.levels = n - ones, None, []
         for d in range(depth, top - 1, -1):
-            key = ((ctx >> (8 * (depth - d)))[:, None] << 8) | nodes
-            uniq, inv = np.unique(key.ravel(), return_inverse=True)
-            ones = np.bincount(inv, (n * bits).ravel(), len(uniq))
-            zeros = np.bincount(inv, (n * (1 - bits)).ravel(), len(uniq))
+            if d < depth:
+                key = key >> np.uint64(16) << np.uint64(8) | key & np.uint64(255)
+            order = np.argsort(key)
+            first = _runs(key[order])
+            place = np.empty(len(key), np.int64)
+            place[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
+            zeros, ones = (np.bincount(place, x, len(first)) for x in (zeros, ones))
             own = log_kt(zeros, ones)
-            if child_lp is None:
-                lp, weight = own, np.ones(len(uniq))
+            if lp is None:
+                lp, weight = own, np.ones(len(own))
             else:
-                parent = np.searchsorted(uniq, (child_key >> 16 << 8) | (child_key & 255))
-                below = np.bincount(parent, child_lp, len(uniq))
-                lp = np.logaddexp(own, below) - np.log(2)
+                lp = np.logaddexp(own, np.bincount(place, lp, len(first))) - np.log(2)
                 weight = np.exp(own - np.log(2) - lp)
-            self.levels.append((uniq, inv.reshape(key.shape), zeros, ones, weight, lp))
-            child_lp, child_key = lp, uniq
-        self.bits = bits
-
-    def roots(self):
-        """(context of `top` bytes << 8 | bit node, zeros, ones, log probability)."""
-        uniq, _, zeros, ones, _, lp = self.levels[-1]
-        return uniq, zeros, ones, lp
-
-    def ones_probability(self) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the roots, probability of a one) of each decision; nan where the root is unseen."""
-        p = np.full(self.bits.shape, np.nan)
-        for _, inv, zeros, ones, weight, _ in self.levels:
-            seen = (zeros + ones)[inv]
-            own, w = ((ones + 0.5) / (zeros + ones + 1))[inv], weight[inv]
-            p = np.where(seen == 0, np.nan, np.where(np.isnan(p), own, w * own + (1 - w) * p))
-        return self.levels[-1][1], p
-
-
-def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+            key = key[order][first]
+            self.levels.append((place, zeros + ones, (ones + 0.5) / (zeros + ones + 1), weight))
+        self.roots = key, zeros, ones, lp
+
+    def log10_of_events(self, a: np.ndarray, b: np.ndarray, stop: np.ndarray, events: int) -> np.ndarray:
+        """The log probability of each event, if a root's prediction p counts as a + b * p, and stop stands where it is unseen."""
+        for place, seen, own, weight in reversed(self.levels):
+            stop = np.where(seen > 0, a + b * own, stop)
+            a, b = a + b * weight * own, b * (1 - weight)
+            a, b, stop = a[place], b[place], stop[place]  # to the level below, at last to the decisions
+        return np.bincount(self.which, np.log10(np.where(self.bit == 1, stop, 1 - stop)), events)
+
+
+def _table(**columns) -> pa.Table:
+    return pa.table(columns)
+
+
+def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, top: int | None = None) -> DataFrame:
     """(the id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): a row for each row of docs."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"), train.alias("train"))
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
-    def counted(batches):
-        """Each word of a task's texts with its count in training texts, given up whenever HELD words are held."""
-        count: dict[bytes, int] = {}
+    def tallied(batches):
+        """A task's training bytes by value, and the size of all its texts at place 256."""
+        n = np.zeros(257, np.int64)
         for b in batches:
             for t, learn in zip(b["text"].to_pylist(), b["train"].to_pylist()):
-                words = t.lower().split()
-                words.append(END)
+                s = spelled(t)
+                n[256] += len(s)
                 if learn:
-                    for w in words:
-                        count[w] = count.get(w, 0) + 1
-                else:
-                    for w in set(words).difference(count):
-                        count[w] = 0
-            if len(count) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-                count = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-
-    words_at = scratch(spark, "lm-words")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1024)
-    rows.select("text", "train").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")).write.parquet(words_at)
-    words = spark.read.parquet(words_at)
-    distinct, known, tokens = words.agg(F.count("*"), F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0))).first()
-    words = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(max(1, -(-distinct // WORDS)))))
-
-    def part_events(table: pa.Table) -> pa.Table:
-        packed, _, n = events_of(table["word"].to_pylist(), table["c"].to_numpy(), depth)
-        uniq, inv = np.unique(packed, return_inverse=True)
-        return pa.table({"part": pa.array(np.full(len(uniq), table["part"][0].as_py(), np.int64)), "packed": pa.array(uniq), "n": pa.array(np.bincount(inv, n, len(uniq)).astype(np.int64))})
-
-    wanted_at = scratch(spark, "lm-events")
-    words.groupBy("part").applyInArrow(part_events, "part long, packed long, n long").write.parquet(wanted_at)
-    wanted = spark.read.parquet(wanted_at)
-    top_bits = 8 * (depth - GROUP + 1)
-    groups = max(1, -(-spark.read.parquet(wanted_at).count() // EVENTS))
-    events = wanted.groupBy("packed").agg(F.sum("n").alias("n")).withColumn("g", F.pmod(F.xxhash64(F.shiftright("packed", top_bits)), F.lit(groups)))
+                    n[:256] += np.bincount(np.frombuffer(s, np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257)), pa.array(n)], ["place", "n"])
 
-    def group_roots(table: pa.Table) -> pa.Table:
-        uniq, zeros, ones, lp = Subtrees(table["packed"].to_numpy(), table["n"].to_numpy(), depth).roots()
-        return pa.table({"ctx": pa.array(uniq >> 8), "node": pa.array((uniq & 255).astype(np.int32)), "zeros": pa.array(zeros), "ones": pa.array(ones), "lp": pa.array(lp)})
+    tally = {r.place: r.n for r in rows.select("text", "train").mapInArrow(tallied, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}
+    size, code = tally.get(256, 0), Code([tally.get(s, 0) for s in range(256)])
+    chunks, groups, word_groups = (max(1, -(-size // n)) for n in (CHUNK_BYTES, GROUP_BYTES, WORD_GROUP_BYTES))
+    top = min(top or top_of(size), depth)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
 
-    roots_at = scratch(spark, "lm-roots")
-    events.groupBy("g").applyInArrow(group_roots, "ctx long, node int, zeros double, ones double, lp double").write.parquet(roots_at)
-    roots = spark.read.parquet(roots_at)
+    def asked(texts: list[bytes], learn: np.ndarray):
+        """What a chunk asks: (group, keys, counts) of its events, and (group, words, counts) of its words."""
+        keys, counts = chunk_events(texts, learn, depth)
+        g = group_of((keys >> np.uint64(8 * (depth - top + 1))).astype(np.int64), groups)
+        order = np.argsort(g, kind="stable")
+        keys, counts, g = keys[order], counts[order], g[order]
+        cut = np.r_[_runs(g), len(g)]
+        events = [(int(g[lo]), keys[lo:hi], counts[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])]
+        count: dict[bytes, int] = {END: 0}
+        for t, x in zip(texts, learn.tolist()):
+            words = t.lower().split()
+            words.append(END)
+            if x:
+                for w in words:
+                    count[w] = count.get(w, 0) + 1
+            else:
+                for w in set(words).difference(count):
+                    count[w] = 0
+        named = sorted(count)
+        parts: dict[int, list[bytes]] = {}
+        for w, h in zip(named, map(zlib.crc32, named)):
+            parts.setdefault(groups + h % word_groups, []).append(w)
+        return events, [(g, ws, np.fromiter(map(count.__getitem__, ws), np.int64, len(ws))) for g, ws in sorted(parts.items())]
+
+    def ask(table: pa.Table) -> pa.Table:
+        events, words = asked(table["text"].to_pylist(), np.array(table["train"].to_pylist(), bool))
+        told = [(g, planes(np.diff(k, prepend=np.uint64(0))), planes(n)) for g, k, n in events] + [(g, b" ".join(w), planes(n)) for g, w, n in words]
+        g, keys, counts = map(list, zip(*told))
+        return _table(g=pa.array(g, pa.int64()), chunk=pa.array([table["chunk"][0].as_py()] * len(g), pa.int64()), keys=pa.array(keys, pa.binary()), counts=pa.array(counts, pa.binary()))
+
+    def gathered(table: pa.Table):
+        """A group's distinct events, their counts, and for each row asked the places of its events."""
+        keys = [np.cumsum(numbers(b.as_buffer()), dtype=np.uint64) for b in table["keys"]]
+        uniq, counts, place = summed(np.concatenate(keys), np.concatenate([numbers(b.as_buffer(), np.int64) for b in table["counts"]]))
+        return uniq, counts, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+    def word_counts(table: pa.Table):
+        """A group's words with their counts, and for each row asked its words."""
+        count: dict[bytes, int] = {}
+        lists = [b.split(b" ") for b in table["keys"].to_pylist()]
+        for words, n in zip(lists, table["counts"].to_pylist()):
+            for w, k in zip(words, numbers(n, np.int64).tolist()):
+                count[w] = count.get(w, 0) + k
+        return count, lists
+
+    def group_roots(table: pa.Table) -> pa.Table:
+        """The roots of a group's subtrees; of a group of words one row with context -1: its known words and their count."""
+        if table["g"][0].as_py() >= groups:
+            count = word_counts(table)[0]
+            known, total = sum(1 for n in count.values() if n), sum(count.values())
+            return _table(ctx=pa.array([-1], pa.int64()), node=pa.array([0], pa.int32()), zeros=pa.array([float(known)]), ones=pa.array([float(total)]), lp=pa.array([0.0]))
+        uniq, counts, _ = gathered(table)
+        key, zeros, ones, lp = Subtrees(uniq, counts, code, depth, top).roots
+        return _table(ctx=pa.array((key >> np.uint64(8)).astype(np.int64)), node=pa.array((key & np.uint64(255)).astype(np.int32)), zeros=pa.array(zeros), ones=pa.array(ones), lp=pa.array(lp))
+
+    asks = rows.groupBy("chunk").applyInArrow(ask, ASK)
+    # every reader of the roots takes all their columns, so that one exchange, and one evaluation, serves them all
+    roots = asks.groupBy("g").applyInArrow(group_roots, "ctx long, node int, zeros double, ones double, lp double")
+    roots = roots.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in roots.columns)).repartition(F.shiftright("ctx", 8))
 
     @F.arrow_udf("struct<lp double, w double>")
     def weighted(zeros: pa.Array, ones: pa.Array, below: pa.Array) -> pa.Array:
@@ -170,75 +296,76 @@ def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text: str =
 
     # the levels above: each node's counts and weight, then for each root the mixture a + b * p of its own prediction p
     upper, below = {}, roots
-    for d in range(GROUP - 1, -1, -1):
+    for d in range(top - 1, -1, -1):
         level = below.groupBy(F.shiftright("ctx", 8).alias("ctx"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("lp").alias("below"))
         level = level.withColumn("x", weighted("zeros", "ones", "below")).select("ctx", "node", "zeros", "ones", F.col("x.lp").alias("lp"), F.col("x.w").alias("w"))
         upper[d] = below = level
-    path = roots.withColumn("a", F.lit(0.0)).withColumn("b", F.when(F.col("zeros") + F.col("ones") > 0, 1.0).otherwise(0.0)).withColumn("any", F.col("zeros") + F.col("ones") > 0)
-    path = path.select("ctx", "node", "a", "b", "any")
-    for d in range(GROUP - 1, -1, -1):
+    path = roots.select("ctx", "node", "zeros", "ones", "lp", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.lit(0.5).alias("stop"))
+    for d in range(top):
         level = upper[d].select(F.col("ctx").alias("c_"), F.col("node").alias("n_"), (F.col("zeros") + F.col("ones")).alias("seen"), ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).alias("own"), "w")
-        path = path.join(level, (F.shiftright("ctx", 8 * (GROUP - d)) == F.col("c_")) & (F.col("node") == F.col("n_")))
-        own, w = F.col("own"), F.col("w")
-        path = path.select("ctx", "node", F.when(F.col("seen") == 0, F.col("a")).when(~F.col("any"), own).otherwise(w * own + (1 - w) * F.col("a")).alias("a"), F.when(F.col("any"), (1 - w) * F.col("b")).otherwise(0.0).alias("b"), (F.col("any") | (F.col("seen") > 0)).alias("any"))
-    path = path.select("ctx", "node", F.when(F.col("any"), F.col("a")).otherwise(0.5).alias("a"), "b").withColumn("g", F.pmod(F.xxhash64("ctx"), F.lit(groups)))
-
-    def group_scores(key, table: pa.Table, above: pa.Table) -> pa.Table:
-        packed = table["packed"].to_numpy()
-        if not len(packed):
-            return pa.table({"packed": pa.array([], pa.int64()), "lp": pa.array([], pa.float64())})
-        tree = Subtrees(packed, table["n"].to_numpy(), depth)
-        at, p = tree.ones_probability()
-        order = tree.roots()[0]
-        k = (above["ctx"].to_numpy() << 8) | above["node"].to_numpy()
-        sort = np.argsort(k)
-        place = sort[np.searchsorted(k, order, sorter=sort)]
-        a, b = above["a"].to_numpy()[place][at], above["b"].to_numpy()[place][at]
-        one = a + np.where(b > 0, b * np.nan_to_num(p, nan=0.5), 0)
-        return pa.table({"packed": packed, "lp": np.log10(np.where(tree.bits == 1, one, 1 - one)).sum(axis=1)})
-
-    scored = events.groupBy("g").cogroup(path.groupBy("g")).applyInArrow(group_scores, "packed long, lp double")
-    answers = wanted.select("part", "packed").join(scored, "packed")
-
-    def word_scores(key, table: pa.Table, given: pa.Table) -> pa.Table:
-        words_here = table["word"].to_pylist()
-        if not words_here:
-            return pa.table({"word": pa.array([], pa.binary()), "c": pa.array([], pa.int64()), "lp": pa.array([], pa.float64())})
-        packed, which, _ = events_of(words_here, table["c"].to_numpy(), depth)
-        k, lp = given["packed"].to_numpy(), given["lp"].to_numpy()
-        sort = np.argsort(k)
-        return pa.table({"word": table["word"], "c": table["c"], "lp": np.bincount(which, lp[sort[np.searchsorted(k, packed, sorter=sort)]], len(words_here))})
-
-    valued = words.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(word_scores, "word binary, c long, lp double")
-
-    def chunk_words(table: pa.Table) -> pa.Table:
-        """Each word of a chunk once."""
-        own = {END}
-        for t in table["text"].to_pylist():
-            own.update(t.lower().split())
-        return pa.table({"chunk": pa.array(np.full(len(own), table["chunk"][0].as_py(), np.int64)), "word": pa.array(list(own), pa.binary())})
-
-    # both this and the scores below take the documents from one exchange by chunk
-    told = rows.groupBy("chunk").applyInArrow(chunk_words, "chunk long, word binary").join(valued, "word")
-    base_of = np.log10(float(tokens) + 0.5 * (known + 1))
+        path = path.join(level, (F.shiftright("ctx", 8 * (top - d)) == F.col("c_")) & (F.col("node") == F.col("n_")))
+        a, b, own, w = F.col("a"), F.col("b"), F.col("own"), F.col("w")
+        path = path.select("ctx", "node", "zeros", "ones", "lp", (a + b * w * own).alias("a"), (b * (1 - w)).alias("b"), F.when(F.col("seen") > 0, a + b * own).otherwise(F.col("stop")).alias("stop"))
+    path = path.withColumn("g", F.when(F.col("ctx") < 0, F.lit(-1)).otherwise(group_of(F.col("ctx"), groups)).cast("long"))
+
+    def answer(key, table: pa.Table, above: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _table(chunk=pa.array([], pa.int64()), g=pa.array([], pa.int64()), told=pa.array([], pa.binary()))
+        if table["g"][0].as_py() >= groups:
+            count, lists = word_counts(table)
+            told = [planes(np.fromiter(map(count.__getitem__, ws), np.int64, len(ws))) for ws in lists]
+        else:
+            uniq, counts, places = gathered(table)
+            tree = Subtrees(uniq, counts, code, depth, top)
+            k = above["ctx"].to_numpy() << 8 | above["node"].to_numpy()
+            sort = np.argsort(k)
+            at = sort[np.searchsorted(k, tree.roots[0].astype(np.int64), sorter=sort)]
+            a, b, stop = (above[c].to_numpy()[at] for c in ("a", "b", "stop"))
+            lp = tree.log10_of_events(a, b, stop, len(uniq)).astype("<f4")
+            told = [lp[p].tobytes() for p in places]
+        return _table(chunk=table["chunk"], g=table["g"], told=pa.array(told, pa.binary()))
+
+    answers = asks.groupBy("g").cogroup(path.groupBy("g")).applyInArrow(answer, "chunk long, g long, told binary")
 
     def doc_scores(key, table: pa.Table, given: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(given["word"].to_pylist())}
-        c = given["c"].to_numpy()
-        values = np.stack([(c > 0).astype(np.float64), np.log10(c + 0.5) - base_of, given["lp"].to_numpy()])
-        out = np.zeros((4, table.num_rows))
-        for i, t in enumerate(table["text"].to_pylist()):
-            tokens_here = t.lower().split()
-            tokens_here.append(END)
-            at = np.fromiter(map(place.__getitem__, tokens_here), np.int64, len(tokens_here))
+        texts, learn = table["text"].to_pylist(), np.array(table["train"].to_pylist(), bool)
+        events, words = asked(texts, learn)
+        told = dict(zip(given["g"].to_pylist(), given["told"].to_pylist()))
+        keys, lp = np.concatenate([k for _, k, _ in events]), np.concatenate([np.frombuffer(told[g], "<f4") for g, _, _ in events])
+        order = np.argsort(keys)
+        keys, lp = keys[order], lp[order].astype(np.float64)
+        out = np.zeros((5, len(texts)))
+        for at, streams in _steps(texts):
+            k, which = event_keys(streams, depth)
+            order = np.argsort(k)
+            out[3, at : at + len(streams)] = np.bincount(which[order], lp[np.searchsorted(keys, k[order])], len(streams))
+            out[4, at : at + len(streams)] = [len(s) - 1 for s in streams]
+        place = {w: i for i, w in enumerate(w for _, ws, _ in words for w in ws)}
+        c = np.concatenate([numbers(told[g], np.int64) for g, _, _ in words])
+        values = np.stack([(c > 0).astype(np.float64), np.log10(c + 0.5)])
+        for i, t in enumerate(texts):
+            tokens = t.lower().split()
+            tokens.append(END)
+            at = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
             out[0, i] = len(at)
-            out[1:, i] = values[:, at].sum(axis=1)
-        sizes = np.array([len(t) for t in table["text"].to_pylist()]) + 1
-        return pa.table({"id": table["id"], "held_out": pa.array([not t for t in table["train"].to_pylist()], pa.bool_()), "n_tokens": out[0].astype(np.int64), "n_known": out[1].astype(np.int64), "base_score": out[2], "score": out[3], "bits_per_byte": -out[3] / np.log10(2) / sizes})
+            out[1:3, i] = values[:, at].sum(axis=1)
+        return _table(id=table["id"], held_out=pa.array(~learn), n_tokens=pa.array(out[0].astype(np.int64)), n_known=pa.array(out[1].astype(np.int64)), base=pa.array(out[2]), score=pa.array(out[3]), bits_per_byte=pa.array(-out[3] / np.log10(2) / out[4]))
 
     id_type = rows.schema["id"].dataType.simpleString()
-    result = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(doc_scores, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
-    return result.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
+    result = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(doc_scores, f"id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, bits_per_byte double")
+    words_only = lambda c: F.coalesce(F.sum(F.when((F.col("ctx") < 0) & (F.col("node") == 0) & (F.col("lp") == 0), F.col(c))), F.lit(0.0)).alias(c)
+    totals = roots.agg(F.struct(words_only("zeros"), words_only("ones"))).scalar()
+    known, tokens = totals["zeros"], totals["ones"]
+    base = F.col("base") - F.col("n_tokens") * F.log10(tokens + 0.5 * (known + 1))
+    return result.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", tokens.cast("long").alias("train_tokens"), base.alias("base_score"), "score", "bits_per_byte")
+
+
+def top_of(size: int) -> int:
+    """How many context bytes name a subtree that one group holds whole: one more for every 64-fold of 64 GB."""
+    top, limit = 3, 64 << 30
+    while size > limit and top < 5:
+        top, limit = top + 1, limit * 64
+    return top
 
 
 def learners(id_col: str = "doc_id") -> F.Column:
