@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import crc32_of
 
-DEPTH, CHUNK_BYTES, GROUP_BYTES, WORD_GROUP_BYTES, STEP = 7, 24 << 20, 4 << 20, 16 << 20, 4 << 20
+DEPTH, CHUNK_BYTES, GROUP_BYTES, WORD_GROUP_BYTES, STEP = 6, 24 << 20, 4 << 20, 16 << 20, 2 << 20
 END = b"\n"
 _LOG_PI, _SMALL = float(np.log(np.pi)), 1 << 16
 ASK = "g long, chunk long, keys binary, counts binary"
@@ -98,19 +98,24 @@ def spelled(text: bytes) -> bytes:
 
 
 def event_keys(streams: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(key, which stream) of each coded byte: its context, last byte first, and the byte in the lowest eight bits."""
-    flat = np.frombuffer(b"".join(streams), np.uint8).astype(np.uint64)
+    """(key, coded bytes of each stream): a key for each coded byte: its context of seven bytes at most, last byte first, and the byte in the lowest eight bits."""
     lengths = np.fromiter(map(len, streams), np.int64, len(streams))
     starts = np.cumsum(lengths) - lengths
-    keys = flat.copy()
-    for d in range(1, min(depth, len(flat) - 1) + 1):
-        keys[d:] |= flat[:-d] << np.uint64(8 * (depth - d + 1))
+    raw = b"\0" * 7 + b"".join(streams)
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))  # at each byte, it and the seven before
+    keys = eight << np.uint64(8)
+    keys |= eight >> np.uint64(56)
+    keys &= _context(depth)
     for o in range(1, depth):  # contexts end at a text's start
-        at = starts[lengths > o] + o
-        keys[at] &= np.uint64(0xFFFFFFFFFFFFFFFF << 8 * (depth - o + 1) & 0xFFFFFFFFFFFFFFFF | 255)
-    coded = np.ones(len(flat), bool)
+        keys[starts[lengths > o] + o] &= _context(o)
+    coded = np.ones(len(keys), bool)
     coded[starts] = False
-    return keys[coded], np.repeat(np.arange(len(streams)), lengths - 1)
+    return keys[coded], lengths - 1
+
+
+def _context(n: int) -> np.uint64:
+    """The bits of a key that hold its byte and its last n context bytes."""
+    return np.uint64((0xFFFFFFFFFFFFFFFF << 8 * (8 - n) & 0xFFFFFFFFFFFFFFFF) | 255)
 
 
 def _runs(ordered: np.ndarray) -> np.ndarray:
@@ -131,17 +136,17 @@ def _steps(texts: list[bytes]):
 
 def chunk_events(texts: list[bytes], learn: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """The distinct events of some texts in order, and their counts in those that are learned from."""
-    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for at, streams in _steps(texts):
-        k, which = event_keys(streams, depth)
-        told = learn[at + which]
-        parts = []
-        for x, weight in ((k[told], 1), (k[~told], 0)):
-            x.sort()
-            first = _runs(x)
-            parts.append((x[first], weight * np.diff(np.r_[first, len(x)])))
-        keys, counts = summed(np.concatenate([keys, parts[0][0], parts[1][0]]), np.concatenate([counts, parts[0][1], parts[1][1]]))[:2]
-    return keys, counts
+    keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for told in (True, False):
+        for _, streams in _steps([t for t, x in zip(texts, learn) if x == told]):
+            k = event_keys(streams, depth)[0]
+            k.sort()
+            first = _runs(k)
+            keys.append(k[first])
+            counts.append(told * np.diff(np.r_[first, len(k)]))
+            if sum(map(len, keys)) > 2 * len(keys[0]) + STEP:
+                keys, counts = ([x] for x in summed(np.concatenate(keys), np.concatenate(counts))[:2])
+    return summed(np.concatenate(keys), np.concatenate(counts))[:2]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray):
@@ -174,11 +179,11 @@ class Subtrees:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, code: Code, depth: int = DEPTH, top: int = 3):
         self.which, node, self.bit = code.decisions((keys & np.uint64(255)).astype(np.int64))
         n = counts[self.which]
-        key, ones = keys[self.which] & np.uint64(0xFFFFFFFFFFFFFF00) | node, n * self.bit
+        key, ones = keys[self.which] & ~np.uint64(255) | node, n * self.bit
         zeros, lp, self.levels = n - ones, None, []
         for d in range(depth, top - 1, -1):
             if d < depth:
-                key = key >> np.uint64(16) << np.uint64(8) | key & np.uint64(255)
+                key = key & _context(d)
             order = np.argsort(key)
             first = _runs(key[order])
             place = np.empty(len(key), np.int64)
@@ -231,7 +236,7 @@ def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text: str =
     def asked(texts: list[bytes], learn: np.ndarray):
         """What a chunk asks: (group, keys, counts) of its events, and (group, words, counts) of its words."""
         keys, counts = chunk_events(texts, learn, depth)
-        g = group_of((keys >> np.uint64(8 * (depth - top + 1))).astype(np.int64), groups)
+        g = group_of((keys >> np.uint64(8 * (8 - top))).astype(np.int64), groups)
         order = np.argsort(g, kind="stable")
         keys, counts, g = keys[order], counts[order], g[order]
         cut = np.r_[_runs(g), len(g)]
@@ -281,7 +286,7 @@ def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text: str =
             return _table(ctx=pa.array([-1], pa.int64()), node=pa.array([0], pa.int32()), zeros=pa.array([float(known)]), ones=pa.array([float(total)]), lp=pa.array([0.0]))
         uniq, counts, _ = gathered(table)
         key, zeros, ones, lp = Subtrees(uniq, counts, code, depth, top).roots
-        return _table(ctx=pa.array((key >> np.uint64(8)).astype(np.int64)), node=pa.array((key & np.uint64(255)).astype(np.int32)), zeros=pa.array(zeros), ones=pa.array(ones), lp=pa.array(lp))
+        return _table(ctx=pa.array((key >> np.uint64(8 * (8 - top))).astype(np.int64)), node=pa.array((key & np.uint64(255)).astype(np.int32)), zeros=pa.array(zeros), ones=pa.array(ones), lp=pa.array(lp))
 
     asks = rows.groupBy("chunk").applyInArrow(ask, ASK)
     # every reader of the roots takes all their columns, so that one exchange, and one evaluation, serves them all
@@ -317,9 +322,9 @@ def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text: str =
         else:
             uniq, counts, places = gathered(table)
             tree = Subtrees(uniq, counts, code, depth, top)
-            k = above["ctx"].to_numpy() << 8 | above["node"].to_numpy()
+            k = above["ctx"].to_numpy().astype(np.uint64) << np.uint64(8 * (8 - top)) | above["node"].to_numpy().astype(np.uint64)
             sort = np.argsort(k)
-            at = sort[np.searchsorted(k, tree.roots[0].astype(np.int64), sorter=sort)]
+            at = sort[np.searchsorted(k, tree.roots[0], sorter=sort)]
             a, b, stop = (above[c].to_numpy()[at] for c in ("a", "b", "stop"))
             lp = tree.log10_of_events(a, b, stop, len(uniq)).astype("<f4")
             told = [lp[p].tobytes() for p in places]
@@ -336,10 +341,12 @@ def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text: str =
         keys, lp = keys[order], lp[order].astype(np.float64)
         out = np.zeros((5, len(texts)))
         for at, streams in _steps(texts):
-            k, which = event_keys(streams, depth)
+            k, sizes = event_keys(streams, depth)
             order = np.argsort(k)
-            out[3, at : at + len(streams)] = np.bincount(which[order], lp[np.searchsorted(keys, k[order])], len(streams))
-            out[4, at : at + len(streams)] = [len(s) - 1 for s in streams]
+            got = np.empty(len(k))
+            got[order] = lp[np.searchsorted(keys, k[order])]
+            out[3, at : at + len(sizes)] = np.add.reduceat(got, np.cumsum(sizes) - sizes)
+            out[4, at : at + len(sizes)] = sizes
         place = {w: i for i, w in enumerate(w for _, ws, _ in words for w in ws)}
         c = np.concatenate([numbers(told[g], np.int64) for g, _, _ in words])
         values = np.stack([(c > 0).astype(np.float64), np.log10(c + 0.5)])
