@@ -3,12 +3,13 @@
 A table of chunks: whole documents in id order, each chunk with its documents' ids and lengths and its blocks. A block
 holds up to BLOCK token ids, starts from a reset model and carries a CRC-32 of its ids, so it can be read alone.
 
-The model predicts an id from what followed the last two ids (order 2), the last id (order 1) and from the block's most
-frequent id (order 0). Each order keeps a distribution over four outcomes (its own and the other predictions hit, or
-none), chosen by how reliable its prediction has been; weights that follow the orders' success mix the three, and a
-range coder codes the outcome with the mixture. An id that no order predicts is 16 even bits (32 where ids need them),
-which a range coder would only copy, so those stand behind the block's coded outcomes in order. All arithmetic is in integers, so any machine decodes alike. Blocks are coded side by side, a lane of numpy
-arrays each.
+The model predicts each id by three orders. Order 0 is an adaptive distribution over all ids, as a tree of four digits of
+16 values (eight digits where a block has ids past 65,535): each node keeps the cumulative shares of its digits, starts
+from a law of falling shares (vocabularies list frequent ids first) and moves towards what comes, less the oftener it was
+used. Orders 1 and 2 name the id that last followed the last one or two ids, with weights that follow how often ids named
+with such reliability came. Every digit is range-coded with the mixture of the three: an id named adds its weight to its
+digit, and after each digit Bayes' rule renews the weights. No id passes by the coder. All arithmetic is in integers, so any
+machine decodes alike. Blocks are coded side by side, a lane of numpy arrays each.
 
 Rows: a null text counts as empty and gives the end id alone; documents of any length stay whole in a chunk; equal ids
 are ordered by the hash of the text, null ids come first; an empty table gives no chunks; other columns are left out. A
@@ -30,9 +31,29 @@ from pyspark.sql import functions as F
 
 from .shared import scratch
 
-BLOCK, CHUNK_IDS, LANE_IDS, BATCH_ROWS = 4096, 1 << 18, 1 << 22, 200
+BLOCK, CHUNK_IDS, LANES, LANE_IDS, TEXTS, CHUNKS, PART_BYTES = 4096, 1 << 18, 1024, 1 << 22, 200, 16, 32 << 20
 CACHE_WORDS, CACHE_BYTES = 300_000, 48
-_T1, _T2, _T0, _ONE, _TOP, _BOT = 9, 10, 8, 1 << 14, np.uint32(1 << 24), np.uint32(1 << 16)
+_T1, _T2, _ONE, _SURE, _TOP, _BOT = 11, 12, np.uint32(1 << 16), np.uint32(1 << 15), np.uint32(1 << 24), np.uint32(1 << 16)
+_KEPT, _TOTAL = np.uint32(17), np.uint32((1 << 14) + 16)  # shares are coded in 14 bits, and one more for each digit
+_NODES, _FIRST = 4369, (0, 1, 17, 273)  # nodes of a half of 16 bits, and where those of each digit begin
+#: Digits of an id of one or two halves: half, place in it, shift.
+_DIGITS = {n: [(half, d, 16 * (n - 1 - half) + 12 - 4 * d) for half in range(n) for d in range(4)] for n in (1, 2)}
+_ABOVE = (np.arange(16) > np.arange(16)[:, None]).astype(np.int32) << 15  # cumulative shares that are sure of a digit
+_RATE = np.maximum((1 << 15) // (np.arange(256) + 1.6), 205).astype(np.int32)
+_HITS = np.array([2000, 12000, 24000, 40000, 8000, 30000, 45000, 58000], np.uint32)
+
+
+def _prior(flat: float = 40.0, weight: int = 2) -> np.ndarray:
+    """Order 0 before anything was seen: id i has a share like 1 / (i + flat). A row: how often it counts as used, and 15 cumulative shares."""
+    mass, rows = 1 / (np.arange(1 << 16) + flat), []
+    for d in range(4):
+        shares = mass.reshape(16 ** (d + 1), -1).sum(axis=1).reshape(-1, 16)
+        cum = np.cumsum(shares, axis=1)[:, :-1] / shares.sum(axis=1, keepdims=True)
+        rows.append(np.c_[np.full(len(cum), weight), np.round(cum * (1 << 15))])
+    return np.concatenate(rows).astype(np.uint16)
+
+
+_PRIOR = _prior()
 #: Two blanks, a blank before other white space, and white space other than blank and bytes 9 to 13, in UTF-8 (E2 80 and E2 81 hold more than white space).
 _UNCUT = [b"  ", *(b" " + bytes([c]) for c in range(9, 14)), *(bytes([c]) for c in range(0x1C, 0x20)), b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 CHUNK = "part long, seq long, ids_before long, n_ids long, doc_ids array<long>, lengths array<int>, blocks array<struct<n:int,crc:long,payload:binary>>"
@@ -42,70 +63,57 @@ _ARROW = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("ids_before", pa
 class _Lanes:
     """The models and coders of many blocks, flat; lanes are sorted by length, longest first."""
 
-    def __init__(self, lanes: int, wide: bool):
-        self.wide = wide
-        self.rows = np.arange(lanes)
-        kind = np.int64 if wide else np.int32
+    def __init__(self, lanes: int, halves: int):
+        kind = np.int64 if halves > 1 else np.int32
+        self.halves, self.rows = halves, np.arange(lanes)
+        self.order0, self.base = np.tile(_PRIOR, (lanes * halves, 1)), self.rows * (halves * _NODES)
         self.t1, self.t2 = np.zeros(lanes << _T1, kind), np.zeros(lanes << _T2, kind)
-        self.t0, self.best, self.most = np.zeros(lanes << _T0, np.int16), np.full(lanes, -1, kind), np.zeros(lanes, np.int16)
-        self.f = np.full((lanes * 12, 4), _ONE // 4, np.int32)  # lane, order and reliability; outcome
-        self.packed = self.f.view(np.complex128).reshape(-1)  # a distribution as one value, to move it at once
-        self.w = np.full((3, lanes), _ONE // 3, np.int32)
-        self.low, self.range = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
+        self.hits = np.tile(_HITS, lanes)  # by order and reliability, how often the id named came
         self.last, self.then = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.base = {k: self.rows << k for k in (_T0, _T1, _T2)}
-        self.order, self.step = np.arange(3), 0
-        self.place = self.rows * 12 + 4 * self.order[:, None]
+        self.low, self.range = np.zeros(lanes, np.uint32), np.full(lanes, 0xFFFFFFFF, np.uint32)
+        self.at16 = self.rows * 16
 
     def predict(self, m: int):
-        """Table places, entries, predictions, distributions and their mixture, for the first m lanes."""
+        """The ids that orders 1 and 2 name (-1: none) and their weights, for the first m lanes."""
         a = self.last[:m] * np.uint32(2654435761)
-        i1 = self.base[_T1][:m] + (a >> np.uint32(32 - _T1))
-        i2 = self.base[_T2][:m] + ((a ^ self.then[:m] * np.uint32(2246822519)) >> np.uint32(32 - _T2))
+        i1 = (self.rows[:m] << _T1) + (a >> np.uint32(32 - _T1))
+        i2 = (self.rows[:m] << _T2) + ((a ^ self.then[:m] * np.uint32(2246822519)) * np.uint32(2654435761) >> np.uint32(32 - _T2))
         e1, e2 = self.t1.take(i1), self.t2.take(i2)
-        at = self.place[:, :m].copy()
-        at[0] += e2 & 3
-        at[1] += e1 & 3
-        at[2] += np.minimum(self.most[:m] >> 6, 3)
-        own = self.packed.take(at).view(np.int32).reshape(3, m, 4)
-        parts = own * self.w[:, :m, None]
-        mixed = parts[0]
-        mixed += parts[1]
-        mixed += parts[2]
-        mixed >>= 14
-        mixed += 16
-        q = mixed.view(np.uint32)
-        return i1, i2, e1, e2, ((e2 >> 2) - 1, (e1 >> 2) - 1, self.best[:m]), at, own, np.cumsum(q, axis=1, dtype=np.uint32), q.reshape(-1)
-
-    def learn(self, m: int, ids, sym, state) -> None:
-        """Moves distributions and tables towards what came, and every fourth time the weights."""
-        i1, i2, e1, e2, (p2, p1, _), at, own, _, q = state
-        flat = self.rows[:m] * 4 + sym
-        each = flat + self.order[:, None] * (4 * m)
-        if not self.step & 3:
-            w = self.w[:, :m]
-            w += ((own.reshape(-1).take(each) * w) // q.take(flat).view(np.int32) - w) >> 5
-            np.clip(w, 256, _ONE, out=w)
-        self.step += 1
-        own -= own >> 5
-        own.reshape(-1)[each] += _ONE >> 5
-        self.packed[at] = own.view(np.complex128)[:, :, 0]
+        h1, h2 = self.rows[:m] * 8 + (e1 & 3), self.rows[:m] * 8 + 4 + (e2 & 3)
+        p1, p2 = (e1 >> 2) - 1, (e2 >> 2) - 1
+        w1, w2 = (self.hits.take(h) * (p >= 0) for h, p in ((h1, p1), (h2, p2)))
+        self.seen = (self.t1, i1, e1, p1, h1), (self.t2, i2, e2, p2, h2)
+        return p1, p2, (_ONE - w2) * w1 >> np.uint32(16), w2
+
+    def digit(self, m: int, half: int, d: int, node: np.ndarray):
+        """(place, row) of order 0 for digit d behind the digits in node."""
+        at = self.base[:m] + (half * _NODES + _FIRST[d]) + node
+        return at, self.order0.take(at, axis=0)
+
+    def told(self, at: np.ndarray, row: np.ndarray, s: np.ndarray) -> None:
+        """Moves rows of order 0 towards the digit that came, less the oftener they were used."""
+        wide, n = row.astype(np.int32), row[:, 0]
+        wide += (_ABOVE.take(s, axis=0) - wide) * _RATE.take(n)[:, None] >> 15
+        wide[:, 0] = np.minimum(n, 254) + 1
+        self.order0[at] = wide
+
+    def learn(self, m: int, ids: np.ndarray) -> None:
+        """Moves the tables of orders 1 and 2 and their hit rates towards the id that came."""
         fresh = ids + 1 << 2
-        self.t2[i2] = np.where(p2 == ids, e2 + ((e2 & 3) < 3), fresh)
-        self.t1[i1] = np.where(p1 == ids, e1 + ((e1 & 3) < 3), fresh)
-        k = self.base[_T0][:m] + (ids & ((1 << _T0) - 1))
-        count = self.t0.take(k) + np.int16(1)
-        self.t0[k] = count
-        more = count > self.most[:m]
-        np.copyto(self.most[:m], count, where=more)
-        np.copyto(self.best[:m], ids, where=more)
+        for table, i, e, p, h in self.seen:
+            hit = p == ids
+            table[i] = np.where(hit, e + ((e & 3) < 3), fresh)
+            now = self.hits.take(h).astype(np.int32)
+            self.hits[h] = np.where(p >= 0, now + ((hit * 65000 - now) >> 5), now)
         self.then[:m] = self.last[:m]
         self.last[:m] = ids
 
-    @staticmethod
-    def symbols(ids, preds):
-        p2, p1, p0 = preds
-        return np.where(ids == p2, 0, np.where(ids == p1, 1, np.where(ids == p0, 2, 3)))
+
+def _posterior(w1, w2, same1, same2, f0):
+    """The weights of the ids named, after a digit: by Bayes' rule, so an id with another digit has none left."""
+    a1, a2 = w1 * same1, w2 * same2
+    total = ((_ONE - w1 - w2) * f0 >> np.uint32(15)) + a1 + a2 + np.uint32(1)
+    return (a1 << np.uint32(15)) // total << np.uint32(1), (a2 << np.uint32(15)) // total << np.uint32(1)
 
 
 def _ready(lo: np.ndarray, ra: np.ndarray) -> np.ndarray:
@@ -119,39 +127,40 @@ def _ready(lo: np.ndarray, ra: np.ndarray) -> np.ndarray:
     return settled
 
 
-class _Coder:
-    """The range coder of all lanes: narrow() takes an interval for some lanes (a slice or places) and shifts settled bytes out or in."""
-
-    def __init__(self, low: np.ndarray, rng: np.ndarray, shift):
-        self.low, self.range, self.shift = low, rng, shift
-        self.rows = np.arange(len(low))
-
-    def narrow(self, at, step, cum, freq) -> None:
-        lo, ra = self.low[at] + step * cum, step * freq
-        lanes = self.rows[at]
+def _narrow(x: _Lanes, m: int, step: np.ndarray, cum: np.ndarray, freq: np.ndarray, shift) -> None:
+    """Takes an interval of the first m lanes' ranges and shifts settled bytes out or in."""
+    lo, ra = x.low[:m], x.range[:m]
+    lo += step * cum
+    np.multiply(step, freq, out=ra)
+    lanes = np.flatnonzero(_ready(lo, ra))
+    while len(lanes):
+        shift(lanes)
+        lo, ra = x.low[lanes] << np.uint32(8), x.range[lanes] << np.uint32(8)
         done = _ready(lo, ra)
-        self.low[at], self.range[at] = lo, ra
+        x.low[lanes], x.range[lanes] = lo, ra
         lanes = lanes[done]
-        while len(lanes):
-            self.shift(lanes)
-            lo, ra = self.low[lanes] << np.uint32(8), self.range[lanes] << np.uint32(8)
-            done = _ready(lo, ra)
-            self.low[lanes], self.range[lanes] = lo, ra
-            lanes = lanes[done]
+
+
+def _by_length(sizes: list[int]):
+    """(lanes' order, their sizes, for each step how many are still at work)."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    size = np.array([sizes[i] for i in order])
+    return order, size, np.searchsorted(-size, -np.arange(size[0]), "left").tolist()
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of each block of ids."""
-    if not blocks:
-        return []
-    order = np.argsort([-len(b) for b in blocks], kind="stable")
-    size = np.array([len(blocks[i]) for i in order])
-    wide = bool(max(int(b.max(initial=0)) for b in blocks) >= 1 << 16)
-    x = _Lanes(len(blocks), wide)
-    grid = np.zeros((size[0], len(blocks)), np.int64 if wide else np.int32)
+    """The coded bytes of each block of ids, LANES blocks side by side."""
+    return [c for at in range(0, len(blocks), LANES) for c in _encode_lanes(blocks[at : at + LANES])]
+
+
+def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
+    order, size, still = _by_length([len(b) for b in blocks])
+    halves = 1 + (max(int(b.max(initial=0)) for b in blocks) >= 1 << 16)
+    x = _Lanes(len(blocks), halves)
+    grid = np.zeros((len(still), len(blocks)), np.int64)
     for k, i in enumerate(order):
         grid[: size[k], k] = blocks[i]
-    out, used = np.zeros((len(blocks), 256), np.uint8), np.zeros(len(blocks), np.int64)
+    out, used = np.zeros((len(blocks), 2048), np.uint8), np.zeros(len(blocks), np.int64)
 
     def write(lanes):
         nonlocal out
@@ -161,71 +170,91 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         out[lanes, place] = x.low[lanes] >> np.uint32(24)
         used[lanes] = place + 1
 
-    coder, plain = _Coder(x.low, x.range, write), np.zeros(grid.shape, bool)
-    for step in range(len(grid)):
-        m = int(np.searchsorted(-size, -step, "left"))
+    for step, m in enumerate(still):
         ids = grid[step, :m]
-        state = x.predict(m)
-        sym, c = x.symbols(ids, state[4]), state[7]
-        flat = x.rows[:m] * 4 + sym
-        own = state[8].take(flat)
-        coder.narrow(slice(0, m), x.range[:m] // c[:, 3], c.reshape(-1).take(flat) - own, own)
-        plain[step, :m] = sym == 3
-        x.learn(m, ids, sym, state)
+        p1, p2, w1, w2 = x.predict(m)
+        for half, d, shift in _DIGITS[halves]:
+            if not d:
+                node = np.zeros(m, np.int64)
+            s, n1, n2 = ids >> shift & 15, p1 >> shift & 15, p2 >> shift & 15
+            at, row = x.digit(m, half, d, node)
+            flat, k, more = row.reshape(-1), x.at16[:m] + s, s < 15
+            lo0 = (flat.take(k) * (s > 0)).astype(np.uint32)
+            hi0 = np.where(more, flat.take(k + more), _SURE).astype(np.uint32)
+            w0, same1, same2, wide = _ONE - w1 - w2, n1 == s, n2 == s, s.astype(np.uint32)
+            named = (w1 * (n1 < s) + w2 * (n2 < s)) << np.uint32(15)
+            lo = (w0 * lo0 + named >> _KEPT) + wide
+            hi = (w0 * hi0 + (named + ((w1 * same1 + w2 * same2) << np.uint32(15))) >> _KEPT) + wide + np.uint32(1)
+            _narrow(x, m, x.range[:m] // _TOTAL, lo, hi - lo, write)
+            w1, w2 = _posterior(w1, w2, same1, same2, hi0 - lo0)
+            x.told(at, row, s)
+            node = node * 16 + s
+        x.learn(m, ids)
     done = [b""] * len(blocks)
     for k, i in enumerate(order):
-        coded = out[k, : used[k]].tobytes() + int(x.low[k]).to_bytes(4, "big")
-        done[i] = bytes([wide]) + len(coded).to_bytes(4, "big") + coded + grid[plain[:, k], k].astype("<u4" if wide else "<u2").tobytes()
+        done[i] = bytes([halves]) + out[k, : used[k]].tobytes() + int(x.low[k]).to_bytes(4, "big")
     return done
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The ids of each block."""
+    """The ids of each block, LANES blocks side by side."""
+    result: list = [None] * len(coded)
+    for halves in (1, 2):
+        chosen = [i for i, c in enumerate(coded) if c[0] == halves]
+        for at in range(0, len(chosen), LANES):
+            some = chosen[at : at + LANES]
+            for i, ids in zip(some, _decode_lanes([coded[i] for i in some], [sizes[i] for i in some], halves)):
+                result[i] = ids
+    return result
+
+
+def _decode_lanes(coded: list[bytes], sizes: list[int], halves: int) -> list[np.ndarray]:
+    order, size, still = _by_length(sizes)
+    x = _Lanes(len(order), halves)
+    longest = max(map(len, coded)) + 8
+    data = np.zeros((len(order), longest), np.uint8)
+    for k, i in enumerate(order):
+        data[k, : len(coded[i]) - 1] = np.frombuffer(coded[i], np.uint8)[1:]
+    value = (data[:, :4].astype(np.uint32) << np.array([24, 16, 8, 0], np.uint32)).sum(axis=1, dtype=np.uint32)
+    used = np.full(len(order), 4)
+    grid = np.zeros((len(still), len(order)), np.int64)
+
+    def fetch(lanes):
+        place = used[lanes]
+        value[lanes] = (value[lanes] << np.uint32(8)) | data[lanes, np.minimum(place, longest - 1)]
+        used[lanes] = place + 1
+
+    above, each = _ABOVE.astype(np.uint32), np.arange(16, dtype=np.uint32)
+    for step, m in enumerate(still):
+        p1, p2, w1, w2 = x.predict(m)
+        ids = np.zeros(m, np.int64)
+        for half, d, shift in _DIGITS[halves]:
+            if not d:
+                node = np.zeros(m, np.int64)
+            n1, n2 = p1 >> shift & 15, p2 >> shift & 15
+            at, row = x.digit(m, half, d, node)
+            own = row.astype(np.uint32)
+            own[:, 0] = 0
+            mixed = (_ONE - w1 - w2)[:, None] * own
+            mixed += w1[:, None] * above.take(n1, axis=0)
+            mixed += w2[:, None] * above.take(n2, axis=0)
+            mixed >>= _KEPT
+            mixed += each
+            part = x.range[:m] // _TOTAL
+            s = (mixed <= ((value[:m] - x.low[:m]) // part)[:, None]).sum(axis=1) - 1
+            k, more = x.at16[:m] + s, s < 15
+            lo, hi = mixed.reshape(-1).take(k), np.where(more, mixed.reshape(-1).take(k + more), _TOTAL)
+            f0 = np.where(more, own.reshape(-1).take(k + more), _SURE) - own.reshape(-1).take(k)
+            _narrow(x, m, part, lo, hi - lo, fetch)
+            w1, w2 = _posterior(w1, w2, n1 == s, n2 == s, f0)
+            x.told(at, row, s)
+            node = node * 16 + s
+            ids |= s << shift
+        x.learn(m, ids)
+        grid[step, :m] = ids
     result: list = [None] * len(coded)
-    for wide in (False, True):
-        chosen = [i for i, c in enumerate(coded) if bool(c[0]) == wide]
-        if not chosen:
-            continue
-        order = sorted(chosen, key=lambda i: -sizes[i])
-        size = np.array([sizes[i] for i in order])
-        x = _Lanes(len(order), wide)
-        ends = [5 + int.from_bytes(coded[i][1:5], "big") for i in order]
-        longest = max(ends) + 8
-        data = np.zeros((len(order), longest), np.uint8)
-        plain = [np.frombuffer(coded[i], "<u4" if wide else "<u2", offset=e) for i, e in zip(order, ends)]
-        at = np.cumsum([0, *map(len, plain)])[:-1]  # the next plain id of each lane
-        plain = np.concatenate(plain).astype(np.int64 if wide else np.int32)
-        for k, (i, e) in enumerate(zip(order, ends)):
-            data[k, : e - 5] = np.frombuffer(coded[i], np.uint8)[5:e]
-        value = (data[:, :4].astype(np.uint32) << np.array([24, 16, 8, 0], np.uint32)).sum(axis=1, dtype=np.uint32)
-        used = np.full(len(order), 4)
-        grid = np.zeros((size[0], len(order)), np.int64 if wide else np.int32)
-
-        def fetch(lanes):
-            place = used[lanes]
-            value[lanes] = (value[lanes] << np.uint32(8)) | data[lanes, np.minimum(place, longest - 1)]
-            used[lanes] = place + 1
-
-        coder = _Coder(x.low, x.range, fetch)
-        for k in range(len(grid)):
-            m = int(np.searchsorted(-size, -k, "left"))
-            state = x.predict(m)
-            c = state[7]
-            step = x.range[:m] // c[:, 3]
-            seen = (value[:m] - x.low[:m]) // step
-            sym = np.minimum((seen[:, None] >= c[:, :3]).sum(axis=1), 3)
-            flat = x.rows[:m] * 4 + sym
-            own = state[8].take(flat)
-            coder.narrow(slice(0, m), step, c.reshape(-1).take(flat) - own, own)
-            p2, p1, p0 = state[4]
-            ids = np.where(sym == 0, p2, np.where(sym == 1, p1, p0))
-            lit = np.flatnonzero(sym == 3)
-            ids[lit] = plain[at[lit]]
-            at[lit] += 1
-            x.learn(m, ids, sym, state)
-            grid[k, :m] = ids
-        for k, i in enumerate(order):
-            result[i] = grid[: size[k], k]
+    for k, i in enumerate(order):
+        result[i] = grid[: size[k], k]
     return result
 
 
@@ -316,25 +345,26 @@ def _chunks(part: int, docs: list[tuple[int | None, bytes]], seq: int, before: i
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> None:
     """Writes the chunks of docs in ascending id order to a folder that Spark can write."""
-    spark = docs.sparkSession
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, n, seq, before = TaskContext.get().partitionId(), [], 0, 0, 0
         end, pieces = np.array([end_id], "<i4").tobytes(), _pieces(tokenizer)
-        for b in batches:
-            for d, ids in zip(b["id"].to_pylist(), pieces.encode([t or b"" for t in b["text"].cast(pa.binary()).to_pylist()])):
-                held.append((d, ids + end))
-                n += len(ids) // 4 + 1
-                if n >= LANE_IDS:
-                    out = _chunks(part, held, seq, before)
-                    yield out
-                    held, n, seq, before = [], 0, seq + out.num_rows, before + n
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
+                for d, ids in zip(b["id"].to_pylist(), pieces.encode([t or b"" for t in b["text"].cast(pa.binary()).to_pylist()])):
+                    held.append((d, ids + end))
+                    n += len(ids) // 4 + 1
+                    if n >= LANE_IDS:
+                        out = _chunks(part, held, seq, before)
+                        yield out
+                        held, n, seq, before = [], 0, seq + out.num_rows, before + n
         if held:
             yield _chunks(part, held, seq, before)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // PART_BYTES))  # tasks follow the size of the texts
     rows.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").mapInArrow(coded, CHUNK).write.parquet(path)
 
 
@@ -342,22 +372,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): every document's ids, read back from the blocks after their checksums; start: the ids of all documents before it."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.to_pylist()
-            blocks = [x for r in rows for x in r["blocks"]]
-            ids = decode_blocks([x["payload"] for x in blocks], [x["n"] for x in blocks])
-            at = 0
-            for r in rows:
-                own = [i.astype("<i4") for i in ids[at : at + len(r["blocks"])]]
-                for x, i in zip(r["blocks"], own):
-                    if zlib.crc32(i.tobytes()) != x["crc"]:
-                        raise ValueError(f"wrong checksum in part {r['part']}, chunk {r['seq']}")
-                at += len(own)
-                flat, lengths = np.concatenate(own), np.array(r["lengths"], np.int64)
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lengths), r["part"])), pa.array(r["doc_ids"], pa.int64()), pa.array(r["ids_before"] + ends[:-1]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["part", "doc_id", "local", "ids"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+        for whole in batches:
+            for first in range(0, whole.num_rows, CHUNKS):
+                rows = whole.slice(first, CHUNKS).to_pylist()
+                blocks = [x for r in rows for x in r["blocks"]]
+                ids = decode_blocks([x["payload"] for x in blocks], [x["n"] for x in blocks])
+                at = 0
+                for r in rows:
+                    own = [i.astype("<i4") for i in ids[at : at + len(r["blocks"])]]
+                    for x, i in zip(r["blocks"], own):
+                        if zlib.crc32(i.tobytes()) != x["crc"]:
+                            raise ValueError(f"wrong checksum in part {r['part']}, chunk {r['seq']}")
+                    at += len(own)
+                    flat, lengths = np.concatenate(own), np.array(r["lengths"], np.int64)
+                    ends = np.concatenate([[0], np.cumsum(lengths)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lengths), r["part"])), pa.array(r["doc_ids"], pa.int64()), pa.array(r["ids_before"] + ends[:-1]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["part", "doc_id", "local", "ids"])
+
     chunks = spark.read.parquet(path)
     sums = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each written partition
     before = sums.select(F.col("part").alias("part_"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
