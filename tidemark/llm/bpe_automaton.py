@@ -4,11 +4,13 @@ The merges are compiled, one gadget after another, into a deterministic automato
 token sequences the merges yield. The gadget of merge (u, v) -> w copies the state that u leads to, takes v away from
 the copy, lets u lead to the copy instead, and lets w lead where v led. So a state is the number of the merge that made
 it (0: the first state, which lets everything pass), and what a state lets pass follows from the gadgets; each table
-entry is filled when a word first asks for it. Encoding walks a pre-split word from left to right along those arcs;
-every prefix of a word has exactly one path. Decoding emits the arcs' labels.
+entry is filled when a word first asks for it. Encoding walks a pre-split word from left to right: a second table, over
+bytes, tells which labels end at a place, and the one arc that leads there is found among them, as every prefix of a word
+has exactly one path. Decoding emits the arcs' labels.
 
 Rows: a null text counts as empty; an empty text gives no ids and an empty decoded text; repeated rows give repeated
-results; other columns pass through untouched and may have any names.
+results; other columns pass through untouched, and where they bear the names of results, those are led by an underscore.
+A worker holds a batch of texts, which Spark bounds at 10,000 rows and 64 MB, or one longer text.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import functools
 import json
 import re
 import unicodedata
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -30,8 +33,6 @@ from .shared import fresh
 
 #: Words that a worker remembers before it starts afresh, and the longest it remembers.
 CACHE_WORDS, CACHE_BYTES = 250_000, 64
-#: Texts a batch: bounds what a worker holds, however long the table.
-BATCH_ROWS = 400
 _ODD_SPACE = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
@@ -87,6 +88,55 @@ class MergeAutomaton:
         return to
 
 
+class Labels:
+    """The arcs' labels that end at a place of a word, by a table over bytes (the labels' trie with links to longest proper suffixes); entries are filled when asked for."""
+
+    def __init__(self, labels: list[tuple[bytes, int, bool]]):
+        self.child: dict[int, int] = {}  # node << 8 | byte -> node
+        self.suffix, owns = [0], [([], [])]
+        for name, token, last in labels:
+            node = 0
+            for c in name:
+                if (to := self.child.get(node << 8 | c)) is None:
+                    to = self.child[node << 8 | c] = len(owns)
+                    owns.append(([], []))
+                    self.suffix.append(0)
+                node = to
+            owns[node][last].append((token, len(name)))
+        self.go = _Table(self._go)
+        below: dict[int, list[tuple[int, int]]] = {}
+        for k, to in self.child.items():
+            below.setdefault(k >> 8, []).append((k & 255, to))
+        level = [(0, c, to) for c, to in below.get(0, ())]
+        self.plain, self.last = [()] * len(owns), [()] * len(owns)
+        while level:  # by length, so suffixes are ready
+            deeper = []
+            for node, c, to in level:
+                self.suffix[to] = self.go[self.suffix[node] << 8 | c] if node else 0
+                self.plain[to] = (*owns[to][0], *self.plain[self.suffix[to]])
+                self.last[to] = (*owns[to][1], *self.last[self.suffix[to]])
+                deeper += [(to, d, x) for d, x in below.get(to, ())]
+            level = deeper
+
+    def _go(self, key: int) -> int:
+        node, c = key >> 8, key & 255
+        while (to := self.child.get(node << 8 | c)) is None and node:
+            node = self.suffix[node]
+        return to or 0
+
+
+class _Table(dict):
+    """A table whose entries are worked out when first asked for."""
+
+    def __init__(self, f):
+        super().__init__()
+        self.f = f
+
+    def __missing__(self, key: int) -> int:
+        out = self[key] = self.f(key)
+        return out
+
+
 class BpeCodec:
     """Encodes and decodes as the tokenizers library does for a file of byte-level BPE with word ends."""
 
@@ -109,42 +159,45 @@ class BpeCodec:
         symbols = [chr(c) for c in [*range(33, 127), *range(161, 173), *range(174, 256)]]
         there = {ord(c) for c in symbols}
         self.byte_of = {c: ord(c) for c in symbols} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in there)}
-        self.trie: list = [{}, None, None]  # children by byte, token, token at a word's end
-        for s, i in vocab.items():
-            last = bool(self.end) and s.endswith(self.end)
-            node = self.trie
-            for c in s[: len(s) - len(self.end)] if last else s:
-                node = node[0].setdefault(self.byte_of[c], [{}, None, None])
-            node[1 + last] = i
+        self.labelled = Labels([(bytes(map(self.byte_of.__getitem__, s[: len(s) - len(self.end)] if self._last(s) else s)), i, self._last(s)) for s, i in vocab.items()])
+        self.spaced = {i: (label + " ").encode() for i, label in self.labels.items()}
         self.words: dict[bytes, list[int]] = {}
         self.chunks = _Memo(self._chunk)
 
+    def _last(self, label: str) -> bool:
+        return bool(self.end) and label.endswith(self.end)
+
     def word(self, word: bytes) -> list[int]:
-        """Ids of one pre-split word: each place is reached by one arc only."""
-        if (known := self.words.get(word)) is not None:
-            return known
-        n, step = len(word), self.automaton.step
-        state, back = [0] + [-1] * n, [(0, 0)] * (n + 1)
-        for i in range(n):
-            if state[i] < 0:
-                continue
-            node, at = self.trie, i
-            while at < n and (node := node[0].get(word[at])) is not None:
-                at += 1
-                token = node[2] if at == n and self.end else node[1]
-                if token is not None and (to := step(state[i], token)) >= 0:
-                    state[at], back[at] = to, (i, token)
-        if n and state[n] < 0:
-            raise ValueError(f"no path for {word[:40]!r}")
-        out, at = [], n
+        """Ids of one pre-split word."""
+        if (known := self.words.get(word)) is None:
+            known = self._path(word)
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            if len(word) <= CACHE_BYTES:
+                self.words[word] = known
+        return known
+
+    def _path(self, word: bytes) -> list[int]:
+        """The automaton's path for a word: one arc only leads to each place, so the labels that end there are tried from the longest on."""
+        n, arcs, go, plain = len(word), self.automaton.arcs, self.labelled.go, self.labelled.plain
+        state, back, node, at = [0] * (n + 1), [(0, 0)] * (n + 1), 0, 0
+        for byte in word:
+            at += 1
+            node = go[node << 8 | byte]
+            for token, size in plain[node] if at < n or not self.end else self.labelled.last[node]:
+                key = state[at - size] << 32 | token
+                if (to := arcs.get(key)) is None:
+                    to = self.automaton.step(state[at - size], token)
+                if to >= 0:
+                    state[at], back[at] = to, (at - size, token)
+                    break
+            else:
+                raise ValueError(f"no path for {word[:40]!r}")
+        out = []
         while at:
             at, token = back[at]
             out.append(token)
         out.reverse()
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        if n <= CACHE_BYTES:
-            self.words[word] = out
         return out
 
     def split(self, text: str) -> list[bytes]:
@@ -170,8 +223,11 @@ class BpeCodec:
         return " ".join([self.labels[int(i)] for i in ids])
 
     def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
-        ids = self.encode(chunk.decode("utf-8", "replace"))
-        return np.array(ids, "<i4").tobytes(), (self.decode(ids) + " " if ids else "").encode()
+        if chunk.isalpha():  # ASCII letters only: one word
+            ids = self._path(chunk) if chunk.islower() else self.word(chunk.lower())
+        else:
+            ids = self.encode(chunk.decode("utf-8", "replace"))
+        return array("i", ids).tobytes(), b"".join([self.spaced[i] for i in ids])
 
     def document(self, text: bytes) -> tuple[bytes, bytes]:
         """Ids as 32-bit integers, and the decoded text. No word crosses white space, so white space cuts the work."""
@@ -202,7 +258,7 @@ def codec(path: str) -> BpeCodec:
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """docs with two more columns: the ids (array of int) and the text decoded from them."""
+    """docs with two more columns: the ids (array of int) and the text decoded from them, their names led by _ where docs have them."""
 
     @F.arrow_udf(RESULT)
     def coded(texts: pa.Array) -> pa.Array:
@@ -215,7 +271,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
         return pa.StructArray.from_arrays([lists, pa.array([b for _, b in got], pa.binary()).cast(pa.string())], ["ids", "decoded"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    (tmp,) = fresh([*docs.columns, ids, decoded], "coded")
+    taken, (ids, decoded) = docs.columns, fresh(docs.columns, ids, decoded)
+    (tmp,) = fresh([*taken, ids, decoded], "coded")
     out = docs.withColumn(tmp, coded(F.col(f"`{text}`").cast("string")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{tmp}.ids").alias(ids), F.col(f"{tmp}.decoded").alias(decoded))
