@@ -233,33 +233,35 @@ def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text: str =
     top = min(top or top_of(size), depth)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
 
-    def asked(texts: list[bytes], learn: np.ndarray):
-        """What a chunk asks: (group, keys, counts) of its events, and (group, words, counts) of its words."""
+    def event_parts(texts: list[bytes], learn: np.ndarray):
+        """(group, keys, counts) of a chunk's events."""
         keys, counts = chunk_events(texts, learn, depth)
         g = group_of((keys >> np.uint64(8 * (8 - top))).astype(np.int64), groups)
         order = np.argsort(g, kind="stable")
         keys, counts, g = keys[order], counts[order], g[order]
         cut = np.r_[_runs(g), len(g)]
-        events = [(int(g[lo]), keys[lo:hi], counts[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])]
-        count: dict[bytes, int] = {END: 0}
+        return [(int(g[lo]), keys[lo:hi], counts[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])]
+
+    def word_parts(words) -> list[tuple[int, list[bytes]]]:
+        """(group, words in order) of a chunk's distinct words."""
+        parts: dict[int, list[bytes]] = {}
+        for w in words:
+            parts.setdefault(groups + zlib.crc32(w) % word_groups, []).append(w)
+        return [(g, sorted(ws)) for g, ws in sorted(parts.items())]
+
+    def ask(table: pa.Table) -> pa.Table:
+        texts, learn = table["text"].to_pylist(), np.array(table["train"].to_pylist(), bool)
+        count: dict[bytes, int] = {END: int(learn.sum())}
         for t, x in zip(texts, learn.tolist()):
             words = t.lower().split()
-            words.append(END)
             if x:
                 for w in words:
                     count[w] = count.get(w, 0) + 1
             else:
                 for w in set(words).difference(count):
                     count[w] = 0
-        named = sorted(count)
-        parts: dict[int, list[bytes]] = {}
-        for w, h in zip(named, map(zlib.crc32, named)):
-            parts.setdefault(groups + h % word_groups, []).append(w)
-        return events, [(g, ws, np.fromiter(map(count.__getitem__, ws), np.int64, len(ws))) for g, ws in sorted(parts.items())]
-
-    def ask(table: pa.Table) -> pa.Table:
-        events, words = asked(table["text"].to_pylist(), np.array(table["train"].to_pylist(), bool))
-        told = [(g, planes(np.diff(k, prepend=np.uint64(0))), planes(n)) for g, k, n in events] + [(g, b" ".join(w), planes(n)) for g, w, n in words]
+        told = [(g, planes(np.diff(k, prepend=np.uint64(0))), planes(n)) for g, k, n in event_parts(texts, learn)]
+        told += [(g, b" ".join(ws), planes(np.fromiter(map(count.__getitem__, ws), np.int64, len(ws)))) for g, ws in word_parts(count)]
         g, keys, counts = map(list, zip(*told))
         return _table(g=pa.array(g, pa.int64()), chunk=pa.array([table["chunk"][0].as_py()] * len(g), pa.int64()), keys=pa.array(keys, pa.binary()), counts=pa.array(counts, pa.binary()))
 
@@ -334,8 +336,8 @@ def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text: str =
 
     def doc_scores(key, table: pa.Table, given: pa.Table) -> pa.Table:
         texts, learn = table["text"].to_pylist(), np.array(table["train"].to_pylist(), bool)
-        events, words = asked(texts, learn)
         told = dict(zip(given["g"].to_pylist(), given["told"].to_pylist()))
+        events = event_parts(texts, learn)
         keys, lp = np.concatenate([k for _, k, _ in events]), np.concatenate([np.frombuffer(told[g], "<f4") for g, _, _ in events])
         order = np.argsort(keys)
         keys, lp = keys[order], lp[order].astype(np.float64)
@@ -343,12 +345,18 @@ def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text: str =
         for at, streams in _steps(texts):
             k, sizes = event_keys(streams, depth)
             order = np.argsort(k)
+            k = k[order]
+            first = _runs(k)
             got = np.empty(len(k))
-            got[order] = lp[np.searchsorted(keys, k[order])]
+            got[order] = np.repeat(lp[np.searchsorted(keys, k[first])], np.diff(np.r_[first, len(k)]))
             out[3, at : at + len(sizes)] = np.add.reduceat(got, np.cumsum(sizes) - sizes)
             out[4, at : at + len(sizes)] = sizes
-        place = {w: i for i, w in enumerate(w for _, ws, _ in words for w in ws)}
-        c = np.concatenate([numbers(told[g], np.int64) for g, _, _ in words])
+        distinct = {END}
+        for t in texts:
+            distinct.update(t.lower().split())
+        words = word_parts(distinct)
+        place = {w: i for i, w in enumerate(w for _, ws in words for w in ws)}
+        c = np.concatenate([numbers(told[g], np.int64) for g, _ in words])
         values = np.stack([(c > 0).astype(np.float64), np.log10(c + 0.5)])
         for i, t in enumerate(texts):
             tokens = t.lower().split()
