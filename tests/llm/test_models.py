@@ -28,9 +28,55 @@ def test_quality_edge_cases(spark):
     assert len(out) == len(ROWS) and all(0 <= r.score <= 1 for r in out)
     assert Q.score(empty(spark), model).count() == 0
     assert {r.score for r in Q.score(awkward(spark), Q.fit(awkward(spark), labels.limit(0))).collect()} == {0.5}
+    assert Q.score(awkward(spark, ["score"]), model).columns[-2:] == ["score", "_score"]
     assert Q.reject(awkward(spark, ["score"]), model).columns[-1] == "score"
 
 
+def test_statistics_by_definition():
+    text = "AB Cd!! 12 x\nAB AB é\t- - end.\n\nAB Cd!! 12 x"
+    raw, words, lines = text.encode(), text.encode().split(), text.encode().split(b"\n")
+    n, w = len(raw), len(words)
+    count = lambda f: sum(map(f, raw))
+    letters = count(lambda c: chr(c).isascii() and chr(c).isalpha() or c > 127)
+    share = lambda k, of: math.sqrt(k / of)
+    tails = at = 0
+    while at < n:  # runs of two or more bytes that are neither letters, digits nor past ASCII, up to white space or the end
+        end = at
+        while end < n and raw[end] < 128 and not chr(raw[end]).isalnum():
+            end += 1
+        while end - at >= 2 and end < n and raw[end] not in b" \t\n\r\x0b\x0c":
+            end -= 1
+        tails, at = (tails + 1, end) if end - at >= 2 else (tails, at + 1)
+    want = [math.log1p(n), math.log1p(n / w), share(count(lambda c: 65 <= c <= 90), letters), share(count(lambda c: 48 <= c <= 57), n), share(count(lambda c: c in b".,;:!?'\"()-"), n),
+            share(count(lambda c: c < 128 and not chr(c).isalnum() and c not in b".,;:!?'\"()- \t\n\r"), n), share(count(lambda c: c > 127), n), share(count(lambda c: c in b" \t\n"), n),
+            share(tails, w), share(sum(a == b for a, b in zip(words, words[1:])), w), share(len(set(words)), w), share(len(set(zip(words, words[1:]))), w), share(sum(x == b"-" for x in words), w), math.log1p(w / len(lines)),
+            share(len(set(lines)), len(lines)), share(sum(x.isupper() for x in words), w), share(raw.count(b"!"), n), math.log1p(math.log1p(max(map(len, words))))]
+    assert np.allclose(Q.statistics(raw), want)
+    assert len(Q.statistics(b"")) == Q.FEATURES and np.isfinite(Q.statistics(b"")).all()
+
+
+def test_query_equals_a_plain_discriminant(spark):
+    """op6_quality's scores against moments, covariances and densities worked out over all learners at once."""
+    got = {r.doc_id: r.score for r in queries.op6_quality(spark, SF).collect()}
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels: dict[int, int] = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r.quality in (0, 1) and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 5:
+            labels[r.doc_id] = min(r.quality, labels.get(r.doc_id, 1))
+    x = {i: np.array(Q.statistics(t)) for i, t in docs.items()}
+    own = {c: np.array([x[i] for i, y in labels.items() if y == c]) for c in (0, 1)}
+    scale = np.sqrt(np.maximum(np.concatenate(list(own.values())).var(axis=0), 1e-6))
+
+    def log_density(z, s):
+        cov = np.cov((s / scale).T, bias=True)
+        cov = (1 - Q.SHRINK) * cov + Q.SHRINK * np.trace(cov) / len(cov) * np.eye(len(cov))
+        d = (z - s.mean(axis=0)) / scale
+        return -0.5 * d @ np.linalg.inv(cov) @ d - 0.5 * np.linalg.slogdet(cov)[1] + math.log(len(s) / len(labels))
+
+    for i, z in x.items():
+        assert math.isclose(got[i], 1 / (1 + math.exp(np.clip(log_density(z, own[0]) - log_density(z, own[1]), -700, 700))), rel_tol=1e-5, abs_tol=1e-9)
+
+
 def test_density_differences():
     rng = np.random.default_rng(0)
     a, b = rng.normal(0, 1, (500, 3)), rng.normal(1, 2, (700, 3))
@@ -45,63 +91,103 @@ def test_density_differences():
     assert np.allclose(m.score(x), want, atol=1e-6)
 
 
-def brute_tree(train, depth):
+def brute_code(counts):
+    """A Huffman code by repeated merging of the two least (count, number) entries; a symbol's path as (inner node, bit)."""
+    heap = [(c + 1, s, {s: []}) for s, c in enumerate(counts)]
+    for inner in range(255):
+        heap.sort(key=lambda e: e[:2])
+        (m, _, x), (n, _, y) = heap[:2]
+        heap = [*heap[2:], (m + n, 256 + inner, {s: [(inner, bit), *p] for bit, part in ((0, x), (1, y)) for s, p in part.items()})]
+    return heap[0][2]
+
+
+def brute_tree(train, code, depth):
     """Context-tree weighting by definition: nodes in dictionaries, a log weight for each."""
     counts = collections.defaultdict(lambda: [0, 0])
-    for token in train:
-        for i in range(1, len(token)):
-            s = token[i]
+    for text in train:
+        for i in range(1, len(text)):
             for d in range(depth + 1):
-                ctx = token[max(0, i - d) : i].rjust(d, b"\0")
-                for k in range(8):
-                    counts[d, ctx, s >> (8 - k), k][s >> (7 - k) & 1] += 1
+                ctx = text[max(0, i - d) : i].rjust(d, b"\0")
+                for node, bit in code[text[i]]:
+                    counts[d, ctx, node][bit] += 1
     kt = lambda n: math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
-    weight = {}
+    weight, below = {}, collections.defaultdict(float)
     for d in range(depth, -1, -1):
-        for (e, ctx, pre, k), n in counts.items():
+        for (e, ctx, node), n in counts.items():
             if e == d:
-                below = sum(weight[x] for x in counts if x[0] == d + 1 and x[1][1:] == ctx and x[2:] == (pre, k)) if d < depth else None
-                weight[d, ctx, pre, k] = kt(n) if d == depth else np.logaddexp(kt(n), below) - math.log(2)
+                weight[d, ctx, node] = kt(n) if d == depth else np.logaddexp(kt(n), below[d, ctx, node]) - math.log(2)
+                if d:
+                    below[d - 1, ctx[1:], node] += weight[d, ctx, node]
 
-    def score(token):
+    def score(text):
         total = 0.0
-        for i in range(1, len(token)):
-            s = token[i]
-            for k in range(8):
+        for i in range(1, len(text)):
+            for node, bit in code[text[i]]:
                 p = None
                 for d in range(depth, -1, -1):
-                    key = (d, token[max(0, i - d) : i].rjust(d, b"\0"), s >> (8 - k), k)
+                    key = (d, text[max(0, i - d) : i].rjust(d, b"\0"), node)
                     if key in counts:
                         n = counts[key]
                         own = (n[1] + 0.5) / (sum(n) + 1)
                         w = 1.0 if d == depth else math.exp(kt(n) - math.log(2) - weight[key])
                         p = own if p is None else w * own + (1 - w) * p
                 p = 0.5 if p is None else p
-                total += math.log10(p if s >> (7 - k) & 1 else 1 - p)
+                total += math.log10(p if bit else 1 - p)
         return total
 
     return score
 
 
-def test_tree_equals_brute_force(spark):
-    rows = [(i, t) for i, t in enumerate(["the cat sat", "the hat", "", "a cat at bat the", None, "Cats zzz thé", "bat bat bat"])]
+def spelled(words):
+    return b" " + b"".join(w + b" " for w in words) + b"\n"
+
+
+def test_tree_equals_brute_force(spark, monkeypatch):
+    """Texts of several words, contexts across them; many chunks and groups give what one does."""
+    rows = [(i, t) for i, t in enumerate(["the cat sat on the mat and the cat ate", "the hat", "", "a cat at bat the", "the cat sat\0on", None, "Cats zzz thé", "bat bat bat", "\x01\x00 the cat sat on"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in LM.score(docs, F.col("doc_id") < 4).collect()}
-    tokens = {i: [*((t or "").encode().lower().split()), b"\n"] for i, t in rows}
-    spell = lambda w: b" " + w + (b"" if w == b"\n" else b" ")
-    train = [w for i in range(4) for w in tokens[i]]
-    c, score = collections.Counter(train), brute_tree([spell(w) for w in train], LM.DEPTH)
-    for i, ws in tokens.items():
-        base = sum(math.log10((c[w] + 0.5) / (len(train) + 0.5 * (len(c) + 1))) for w in ws)
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(ws), sum(c[w] > 0 for w in ws), len(train), i >= 4)
-        assert math.isclose(got[i].base_score, base, rel_tol=1e-9) and math.isclose(got[i].score, sum(score(spell(w)) for w in ws), rel_tol=1e-6)
+    words = {i: (t or "").encode().lower().split() for i, t in rows}
+    train = [spelled(words[i]) for i in range(5)]
+    known = [*(w for i in range(5) for w in words[i]), *[b"\n"] * 5]
+    c, score = collections.Counter(known), brute_tree(train, brute_code(np.bincount(np.frombuffer(b"".join(train), np.uint8), minlength=256)), LM.DEPTH)
+    for size in (None, 16):
+        if size:
+            for name in ("CHUNK_BYTES", "GROUP_BYTES", "WORD_GROUP_BYTES", "STEP"):
+                monkeypatch.setattr(LM, name, size)
+        got = {r.doc_id: r for r in LM.score(docs, F.col("doc_id") < 5).collect()}
+        for i, ws in words.items():
+            tokens = [*ws, b"\n"]
+            base = sum(math.log10((c[w] + 0.5) / (len(known) + 0.5 * (len(c) + 1))) for w in tokens)
+            assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (len(tokens), sum(c[w] > 0 for w in tokens), len(known), i >= 5)
+            assert math.isclose(got[i].base_score, base, rel_tol=1e-9) and math.isclose(got[i].score, score(spelled(ws)), rel_tol=1e-5)
+
+
+def test_words_have_an_order(spark):
+    """Sums against the base: better on training rows, here and held out on more text; and a text with its words shuffled scores less."""
+    got = queries.op8_lm(spark, SF).groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
+    sums = {r.held_out: (r.s, r.b) for r in got}
+    assert sums[False][0] > sums[False][1]  # -215,344 against -216,965; held out -88,042 against -78,463 (152 texts to learn from)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text and len(r.text.split()) > 30]
+    rng = np.random.default_rng(0)
+    mixed = [(-i, " ".join(rng.permutation(t.split()))) for i, t in docs[:40] if i]
+    both = {r.doc_id: r.score for r in LM.score(spark.createDataFrame([*docs, *mixed], "doc_id long, text string"), F.col("doc_id") >= 0).collect()}
+    assert all(both[i] < both[-i] for i, _ in mixed)
+
+
+def test_small_count_estimates():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 300_000, 500), rng.integers(0, 300_000, 500)
+    want = [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.lgamma(x + y + 1) - math.log(math.pi) for x, y in zip(a.tolist(), b.tolist())]
+    assert np.allclose(LM.log_kt(a, b), want, rtol=1e-9)
 
 
 def test_language_model_edge_cases(spark):
     assert LM.score(awkward(spark, ["chunk", "word", "score"]), LM.learners()).count() == len(ROWS)
     none = LM.score(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), F.lit(False)).first()
-    assert none.train_tokens == 0 and math.isclose(none.score, -8 * 4 * math.log10(2))
+    assert none.train_tokens == 0 and none.score < 0 and math.isclose(none.bits_per_byte, 8, rel_tol=1e-6)
     assert LM.score(empty(spark), LM.learners()).count() == 0
+    long = spark.createDataFrame([(1, "ab" * 300_000), (2, "c"), (2, "c")], "doc_id long, text string")
+    assert [r.n_tokens for r in LM.score(long, LM.learners()).orderBy("doc_id").collect()] == [2, 2, 2]
 
 
 def best_segmentation(counter, word):
@@ -129,4 +215,5 @@ def test_token_counts_equal_brute_force(spark):
             got = [best_segmentation(own, "▁" + w.decode()) for w in words]
         assert (r.n_words, r.n_tokens, r.score) == (len(words), sum(t for _, t in got), sum(s for s, _ in got))
     assert token_counts.count_tokens(empty(spark), path).count() == 0
+    assert token_counts.count_tokens(awkward(spark, ["score"]), path).columns[-4:] == ["score", "n_words", "n_tokens", "_score"]
     assert queries.op4_token_counts(spark, SF).count() > 0

@@ -115,6 +115,23 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum() - 1, want[i], want[i] == i)
         assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(900, 905))
     assert E.near_duplicates(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "'x' as cls", "'x' as n_links", "'x' as key")
+    assert E.near_duplicates(clash).columns == ["vec_id", "n_links", "component_id", "kept"] and E.near_duplicates(clash).count() == 125
+
+
+def test_recall_at_the_threshold():
+    """Pairs at cosine 0.95 exactly share a bucket and a near sketch in all but a few of a hundred thousand cases, for any number of classes."""
+    rng = np.random.default_rng(8)
+    x, y = rng.standard_normal((2, 20000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for classes in (1000, 2_000_000):
+        tables, hashes = E.sized(classes)
+        found = (E.keys(x, tables, hashes) == E.keys(y, tables, hashes)).any(axis=1)
+        far = np.bitwise_count((E.sketches(x, tables, hashes) ^ E.sketches(y, tables, hashes)).view(np.uint64)) > E.RADIUS
+        assert (~found | far).sum() <= 5
+    assert E.sized(51_000) == (49, 12) and E.sized(10**9)[1] > 20
 
 
 def test_similarity_is_decided_exactly(spark, monkeypatch):

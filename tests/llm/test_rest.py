@@ -3,6 +3,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,8 +13,10 @@ import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.helpers import ROWS, awkward, empty
 from tidemark.llm import mixing, queries, token_files, url_filters
+from tidemark.llm.shared import clear_scratch, scratch
 
-BYTES = "/opt/tokenizers/byte_bpe_50k.json"
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(BYTES)
 TABLES = "documents embeddings pages labels".split()
 
 
@@ -47,7 +50,7 @@ def test_coder_saves_on_repeats():
 @given(st.one_of(st.text(max_size=50), st.text(" \n\tab'.1é ", max_size=40)))
 def test_pieces_equal_the_library(text):
     own = token_files._pieces(BYTES)
-    assert np.frombuffer(own.encode([text.encode()])[0], "<i4").tolist() == Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids if False else np.frombuffer(own.encode([text.encode()])[0], "<i4").tolist() == own.tok.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode([text.encode()])[0], "<i4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def test_token_files(spark, monkeypatch):
@@ -71,6 +74,16 @@ def test_wrong_checksum_raises(spark, tmp_path):
         token_files.read(spark, str(tmp_path / "g")).collect()
 
 
+def test_files_are_small(spark):
+    """On whole documents the coder needs at most 0.6 of plain 16-bit ids (measured: 0.50; zlib on the same blocks: 0.62)."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect()]
+    ids = np.concatenate([[*e.ids, 2] for e in LIBRARY.encode_batch(texts, add_special_tokens=False)])
+    blocks = [ids[i : i + token_files.BLOCK] for i in range(0, len(ids), token_files.BLOCK)]
+    coded = token_files.encode_blocks(blocks)
+    assert sum(map(len, coded)) <= 0.6 * 2 * len(ids)
+    assert all((a == b).all() for a, b in zip(blocks, token_files.decode_blocks(coded, [len(b) for b in blocks])))
+
+
 def test_op10_on_the_table(spark):
     tok, start = Tokenizer.from_file(BYTES), 0
     got = {r.doc_id: r for r in queries.op10_token_files(spark, SF).collect()}
@@ -118,10 +131,10 @@ def test_url_lists(spark):
     d = lambda s: dt.date.fromisoformat(s)
     entries = spark.createDataFrame([("block", "Bad.com", d("2024-01-10"), "add"), ("block", "bad.com", d("2024-03-01"), "drop"), ("allow", "ok.bad.com", d("2024-02-01"), "add"), ("block", "bad.com", d("2024-01-20"), "add"), ("block", "x.org", d("2024-01-01"), "add"), ("block", "x.org", d("2024-01-01"), "drop"), (None, "y.org", d("2024-01-01"), "add"), ("block", None, None, "add")], "list string, domain string, day date, action string")
     rows = [("http://bad.com/a", "2024-01-09"), ("http://bad.com/a", "2024-01-10"), ("https://u@www.BAD.com:80/", "2024-02-29"), ("http://bad.com", "2024-03-01"), ("http://a.ok.bad.com", "2024-02-02"), ("http://a.ok.bad.com", "2024-01-31"), ("http://notbad.com", "2024-02-01"), ("http://x.org", "2024-01-01"), (None, "2024-01-01"), ("nonsense", "2024-02-01"), ("http://bad.com", None)]
-    caps = spark.createDataFrame([(i, u, d(t) if t else None, "x", "x") for i, (u, t) in enumerate(rows)], "id int, url string, fetched date, verdict_ string, host string")
-    got = {r.id: (r.verdict, r.since and str(r.since)) for r in url_filters.judge(caps, entries).collect()}
+    caps = spark.createDataFrame([(i, u, d(t) if t else None, *"xxxxxx") for i, (u, t) in enumerate(rows)], "id int, url string, fetched date, verdict string, host string, domain string, since string, listed_domain string, part string")
+    got = {r.id: (r._verdict, r._since and str(r._since)) for r in url_filters.judge(caps, entries).collect()}
     assert [got[i] for i in range(len(rows))] == [(None, None), ("block", "2024-01-10"), ("block", "2024-01-10"), (None, None), ("allow", "2024-02-01"), ("block", "2024-01-10"), (None, None), (None, None), (None, None), (None, None), (None, None)]
-    assert url_filters.judge(caps.limit(0), entries).count() == 0 and url_filters.judge(caps, entries.limit(0)).where("verdict is not null").count() == 0
+    assert url_filters.judge(caps.limit(0), entries).count() == 0 and url_filters.judge(caps, entries.limit(0)).where("_verdict is not null").count() == 0
 
 
 def test_pipeline(spark):
@@ -136,6 +149,8 @@ def test_pipeline(spark):
             assert new.count() == len(ids)
         kept = new
     assert corpus_pipeline.run(spark, SF).columns == [*columns, "ids", "decoded", "n_tokens"]
+    clash = corpus_pipeline.encode(spark, awkward(spark, ["ids", "n_tokens"]), SF)
+    assert clash.columns[-5:] == ["ids", "n_tokens", "_ids", "decoded", "_n_tokens"] and clash.count() == len(ROWS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, awkward(spark), SF).count() >= 1 and stage(spark, empty(spark), SF).count() == 0
 
@@ -146,3 +161,19 @@ def test_entries_in_force_have_no_last_day(spark):
     entries = spark.createDataFrame([("block", "a.b", "2024-01-01", "add"), ("block", "c.d", "2024-01-01", "add"), ("block", "c.d", "2500-01-01", "drop"), ("block", "e.f", "2300-01-01", "add")], "list string, domain string, day string, action string").selectExpr("list", "domain", "cast(day as date) as day", "action")
     got = {(r.host, str(r.fetched)) for r in url_filters.judge(captures, entries).where("verdict = 'block'").collect()}
     assert got == {("a.b", d) for d in days[1:]} | {("c.d", d) for d in days[1:4]} | {("e.f", days[4])}
+
+
+def test_rows_alike_mix_alike(spark):
+    rows = [(1, "a b c", "en", "s", k) for k in range(40)] + [(2, "d e", "en", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    first = sorted(map(tuple, mixing.mix(docs).collect()))
+    assert first and all(sorted(map(tuple, mixing.mix(docs.repartition(k)).collect())) == first for k in (2, 5))
+
+
+def test_shared_folder(spark):
+    path = scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh
+from .shared import fresh, located
 
 #: Words that a worker remembers before it starts afresh, and the longest it remembers.
 CACHE_WORDS, CACHE_BYTES = 250_000, 64
@@ -254,7 +254,7 @@ class _Memo(dict):
 @functools.cache
 def codec(path: str) -> BpeCodec:
     """One compiled automaton for each worker and file."""
-    return BpeCodec(path)
+    return BpeCodec(located(path))
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:

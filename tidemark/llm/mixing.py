@@ -12,7 +12,8 @@ third of all rows is spread over its buckets. A document goes with the block whe
 if its middle lies before the cut, so a source misses its target by half a document at most.
 
 Rows: a null text has size 0, as an empty one; a null source is a source of its own, last; sources without words have
-target 0 and are not taken; repeated rows each have their place, null ids too; other columns pass through in mix().
+target 0 and are not taken; repeated rows each have their place, null ids too; rows alike in id and text are ordered by a
+hash of their other columns (maps left out), so reruns agree; other columns pass through in mix().
 """
 
 from __future__ import annotations
@@ -71,8 +72,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     """(row, size, source_size, target, copies): for each row its whole columns as a struct (keep) or its id, and the copies taken, each with its number, block and shard."""
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if keep else F.col(f"`{id_col}`")
     key = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).cast("binary"))
+    tied = [F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()] if keep else []
     rows = docs.select(own.alias("row"), F.col(f"`{source}`").cast("string").alias("s"), word_count(text).alias("size"), key.alias("key"))
-    rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)).withColumn("tie", F.xxhash64(*tied) if tied else F.lit(0).cast("long"))
     sums = rows.groupBy("s", "bucket").agg(F.sum("size").alias("words"))
     sources = targets(sums.groupBy("s").agg(F.sum("words").alias("source_size")), most)
     total = F.sum("source_size").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -89,7 +91,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     places = places.withColumn("lows", F.transform(times, low)).withColumn("parts", F.transform(times, lambda c: F.slice(F.coalesce("shards", empty), low(c) + 1, high(c) - low(c) + 1)))
     places = places.select(F.col("s").alias("s_"), F.col("bucket").alias("b_"), "at", "source_size", "target", "take", "wide", "lows", "parts")
     rows = rows.join(places, F.col("s").eqNullSafe(F.col("s_")) & (F.col("bucket") == F.col("b_"))).drop("s_", "b_")
-    inside = F.sum("size").over(Window.partitionBy("s", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("size").over(Window.partitionBy("s", "bucket").orderBy("key", "size", "tie").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("at", F.col("at") + F.coalesce(inside, F.lit(0)))
     taken = F.filter(times, lambda c: 2 * (c * F.col("source_size") + F.col("at")) + F.col("size") < 2 * F.col("take"))
 
@@ -104,7 +106,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     """The mixture: a row for each copy taken, with the columns of docs, dealt to shards and shuffled inside each."""
     rows = plan(docs, id_col, text, source, shards, keep=True, **more)
     rows = rows.select("row", "key", F.explode("copies").alias("c")).select("row", F.col("c.shard").alias("shard"), _order("local", F.col("key"), F.col("c.copy")).alias("place"))
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("row.*")
+    return rows.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select("row.*")  # a shard may span tasks
 
 
 def sql(shards: int = SHARDS, blocks_a_shard: int = BLOCKS_A_SHARD, most: int = MOST, seed: str = SEED) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .shared import crc32_of, fresh, saved
 
-SAMPLE, SHRINK, THRESHOLD, BATCH_ROWS = 20_000, 0.02, 0.3, 512
+SAMPLE, SHRINK, THRESHOLD = 20_000, 0.02, 0.3
 _KINDS = bytes(bytearray([1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in b" \t\r\x0b\x0c" else 5 if c == 10 else 6 if c in b".,;:!?'\"()-" else 7 if c < 128 else 8 for c in range(256)]))
 _TAIL = re.compile(rb"[^A-Za-z0-9\x80-\xff]{2,}(?=\s|$)")
 FEATURES = 18
@@ -116,7 +116,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     # the sample's size is bounded by the parameter, so it may be broadcast; past a margin it isn't
     side = F.broadcast(picked) if picked.count() <= 2 * sample else picked
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(side, "id").select("label", "text")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sums = rows.mapInArrow(_moments, "label int, place int, value double").groupBy("label", "place").agg(F.sum("value").alias("value")).collect()
     k = FEATURES + 1
     full: dict[int, np.ndarray] = {}
@@ -126,15 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: Discriminant, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with the score of each whole text, 0 to 1."""
+    """docs with the score of each whole text, 0 to 1. Where docs have a column of its name, it is led by an underscore."""
 
     @F.arrow_udf(T.DoubleType())
     def scores(texts: pa.Array) -> pa.Array:
         x = np.array([statistics(t or b"") for t in texts.cast(pa.binary()).to_pylist()]).reshape(-1, FEATURES)
         return pa.array(model.score(x), pa.float64())
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return docs.withColumn(out, scores(F.col(f"`{text}`").cast("string")))
+    return docs.withColumn(*fresh(docs.columns, out), scores(F.col(f"`{text}`").cast("string")))
 
 
 def reject(docs: DataFrame, model: Discriminant, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 from . import bpe_automaton, embeddings, language_model, media, mixing, quality, simhash, token_counts, token_files, url_filters
 from .shared import crc32_of
 
-#: Where the public tokenizers' files are, on every machine; a parameter.
-TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
+#: Where files of public tokenizers lie.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +53,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_words", "n_tokens", "score")
+    return token_counts.count_tokens(docs, "piece_bpe_32k.model").select("doc_id", "n_words", "n_tokens", "score")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe_automaton.encode_decode(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    coded = bpe_automaton.encode_decode(docs, "word_bpe_49k.json")
     line = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(line, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -88,7 +87,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = token_files.store(docs, f"{TOKENIZERS}/byte_bpe_50k.json", end_id=2)
+    back = token_files.store(docs, "byte_bpe_50k.json", end_id=2)
 
     @F.arrow_udf("long")
     def crc(ids: pa.Array) -> pa.Array:

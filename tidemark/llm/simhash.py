@@ -40,7 +40,7 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 PARTS, PART_BITS = 4, 16
 WIDE_WORDS, BANDS, BAND_ROWS = 8, 16, 5
 MARGIN, FEW, BLOCK_HASHES = 4, 64, 1 << 21
-BLOCK, TILE, SMALL, PAIRS, BATCH_ROWS = 4096, 256, 48, 1 << 17, 512
+BLOCK, TILE, SMALL, PAIRS, ROWS = 4096, 256, 48, 1 << 17, 100_000
 _ODD = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 TABLES = tuple(combinations(range(PARTS), 2))
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -91,7 +91,7 @@ def radius_of(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str, out: str, shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """docs with a struct more: the fingerprint as bytes, its candidate keys, and of wide ones a number for the set of shingles and its size."""
+    """docs with a struct more (led by an underscore where docs have its name): the fingerprint as bytes, its candidate keys, and of wide ones a number for the set of shingles and its size."""
     names = ["fp", "keys", "cls", "size"]
 
     @F.arrow_udf(T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("cls", T.LongType()), T.StructField("size", T.LongType())]))
@@ -109,8 +109,7 @@ def fingerprints(docs: DataFrame, text: str, out: str, shingle: int = SHINGLE, w
         none = pa.nulls(len(data), pa.int64())
         return pa.StructArray.from_arrays([pa.array([fingerprint(t or b"", shingle) for t in data], pa.binary()), pa.nulls(len(data), pa.list_(pa.int64())), none, none], names)
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return docs.withColumn(out, prints(F.col(f"`{text}`").cast("string")))
+    return docs.withColumn(*fresh(docs.columns, out), prints(F.col(f"`{text}`").cast("string")))
 
 
 def _bits(prints: np.ndarray) -> np.ndarray:
@@ -302,9 +301,8 @@ def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.select(*others, "bucket", F.explode(pairs).alias("p")).select(*others, "bucket", "p.*")
 
 
-def _grouped(dealt: DataFrame):
+def _grouped(dealt: DataFrame, groups: int):
     """Pairs of blocks by the group that compares them."""
-    groups = 4 * max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return dealt.withColumn("g", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups))).groupBy("g")
 
 
@@ -312,7 +310,8 @@ def near_links(prints: DataFrame, radius: int) -> DataFrame:
     """(a, b): links that join exactly the fingerprints which links at the radius or less join. prints: cls, fp, keys, each fingerprint once."""
     rows = prints.select("cls", "fp", F.explode("keys").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    return _grouped(_dealt(rows, sizes)).applyInPandas(lambda pdf: _links(pdf, radius), "a long, b long")
+    dealt = saved(_dealt(rows, sizes))
+    return _grouped(dealt, max(1, -(-dealt.count() // ROWS))).applyInPandas(lambda pdf: _links(pdf, radius), "a long, b long")
 
 
 def similar_links(prints: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -326,7 +325,9 @@ def similar_links(prints: DataFrame, texts: DataFrame, shingle: int, similarity:
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), *(x.alias(f"x{k}") for k, x in enumerate(same))).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.col("n"), F.ceil(F.col("hashes") / BLOCK_HASHES))).cast("int")
     sizes = sizes.groupBy("n", "hashes", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket", blocks.alias("blocks"))
-    dealt = saved(_dealt(rows.drop("size"), sizes))
+    dealt = saved(_dealt(rows, sizes))
+    n, hashes = dealt.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    groups = max(1, -(-n // ROWS), -(-hashes // (2 * BLOCK_HASHES)))
 
     @F.arrow_udf("binary")
     def grams(data: pa.Array) -> pa.Array:
@@ -335,7 +336,7 @@ def similar_links(prints: DataFrame, texts: DataFrame, shingle: int, similarity:
     wanted = prints.join(dealt.select("cls").distinct(), "cls").select("cls", "fp", "r.row_key", "r.text_hash")
     sets = texts.join(wanted, ["row_key", "text_hash"]).dropDuplicates(["row_key", "text_hash"]).select("cls", "fp", grams("text").alias("grams"))
     radius = radius_of(similarity)
-    return _grouped(dealt.join(sets, "cls")).applyInPandas(lambda pdf: _links(pdf, radius, similarity), "a long, b long")
+    return _grouped(dealt.drop("size").join(sets, "cls"), groups).applyInPandas(lambda pdf: _links(pdf, radius, similarity), "a long, b long")
 
 
 def _parts() -> F.Column:

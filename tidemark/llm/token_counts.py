@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh
+from .shared import fresh, located
 
-NODES, CACHE_WORDS, CACHE_BYTES, BATCH_ROWS, SCALE = 400_000, 400_000, 64, 512, 1_000_000
+NODES, CACHE_WORDS, CACHE_BYTES, SCALE = 400_000, 400_000, 64, 1_000_000
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("score", T.LongType())])
 
 
@@ -91,14 +91,14 @@ def counter(path: str) -> TrieCounter:
     """A worker's trie over the pieces of a public vocabulary; bytes share the probability of the least piece."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=located(path))
     ids = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     scores = zipf([sp.id_to_piece(i) for i in sorted(ids, key=lambda i: -sp.get_score(i))])
     return TrieCounter(scores, min(scores.values()))
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", names: tuple[str, str, str] = ("n_words", "n_tokens", "score")) -> DataFrame:
-    """docs with the words of each whole text, its tokens and its log probability in millionths."""
+    """docs with the words of each whole text, its tokens and its log probability in millionths. Names that docs have are led by an underscore."""
 
     @F.arrow_udf(RESULT)
     def counted(texts: pa.Array) -> pa.Array:
@@ -106,7 +106,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", names: tuple[st
         rows = np.array([own.count(t or b"") for t in texts.cast(pa.binary()).to_pylist()], np.int64).reshape(-1, 3)
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)], ["n_words", "n_tokens", "score"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    names = tuple(fresh(docs.columns, *names))
     (tmp,) = fresh([*docs.columns, *names], "counted")
     out = docs.withColumn(tmp, counted(F.col(f"`{text}`").cast("string")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{tmp}.{a}").alias(b) for a, b in zip(("n_words", "n_tokens", "score"), names)))

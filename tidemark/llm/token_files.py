@@ -29,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import scratch
+from .shared import located, scratch
 
-BLOCK, CHUNK_IDS, LANES, LANE_IDS, TEXTS, CHUNKS, PART_BYTES = 4096, 1 << 18, 1024, 1 << 22, 200, 16, 32 << 20
+BLOCK, CHUNK_IDS, LANES, LANE_IDS, TEXTS, CHUNKS, PART_BYTES = 4096, 1 << 18, 1536, 6 << 20, 200, 24, 10 << 20
 CACHE_WORDS, CACHE_BYTES = 300_000, 48
 _T1, _T2, _ONE, _SURE, _TOP, _BOT = 11, 12, np.uint32(1 << 16), np.uint32(1 << 15), np.uint32(1 << 24), np.uint32(1 << 16)
 _KEPT, _TOTAL = np.uint32(17), np.uint32((1 << 14) + 16)  # shares are coded in 14 bits, and one more for each digit
@@ -150,7 +150,8 @@ def _by_length(sizes: list[int]):
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """The coded bytes of each block of ids, LANES blocks side by side."""
-    return [c for at in range(0, len(blocks), LANES) for c in _encode_lanes(blocks[at : at + LANES])]
+    size = -(-len(blocks) // max(1, -(-len(blocks) // LANES)))  # even shares
+    return [c for at in range(0, len(blocks), max(1, size)) for c in _encode_lanes(blocks[at : at + size])]
 
 
 def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
@@ -201,8 +202,9 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     result: list = [None] * len(coded)
     for halves in (1, 2):
         chosen = [i for i, c in enumerate(coded) if c[0] == halves]
-        for at in range(0, len(chosen), LANES):
-            some = chosen[at : at + LANES]
+        size = max(1, -(-len(chosen) // max(1, -(-len(chosen) // LANES))))
+        for at in range(0, len(chosen), size):
+            some = chosen[at : at + size]
             for i, ids in zip(some, _decode_lanes([coded[i] for i in some], [sizes[i] for i in some], halves)):
                 result[i] = ids
     return result
@@ -317,7 +319,7 @@ class _Pieces:
 
 @functools.cache
 def _pieces(path: str) -> _Pieces:
-    return _Pieces(path)
+    return _Pieces(located(path))
 
 
 def _chunks(part: int, docs: list[tuple[int | None, bytes]], seq: int, before: int) -> pa.RecordBatch:

@@ -6,24 +6,23 @@ was in force on the day of its fetch, for its host and each parent domain: the m
 and of equal ones "allow".
 
 Captures are first reduced to their distinct hosts and days, so a host with a third of all captures costs its days.
-Intervals are cut at multiples of SPAN days and joined by domain and span, an equi-join whatever the length of a history;
-the span of LAST stands for all later days.
+Intervals are cut at multiples of SPAN days, into those spans that hold captures, and joined by domain and span: an equi-join
+whatever the length of a history, and an entry that never drops costs a row for each span with captures.
 
 Rows: a null or unreadable URL has no host and is not listed; a null day is judged as not listed; entries with nulls or other actions
 are left out; of entries of a list and domain on one day the drop counts; an add after an add keeps the first day, an
-entry that never drops stays in force; repeated rows each get their verdict; other columns pass through.
+entry that never drops stays in force to the last day of the calendar; repeated rows each get their verdict; other columns
+pass through.
 """
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import fresh
 
-SPAN, LAST = 64, datetime.date(2199, 12, 31)
+SPAN = 128
 
 
 def host_of(url: Column) -> Column:
@@ -42,20 +41,22 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched", span: int = SPAN) -> DataFrame:
-    """captures with host, verdict ("block", "allow" or null), the domain that decided and since when."""
-    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
-    part = lambda c: F.floor(F.least(day(c), day(F.lit(LAST))) / span)
-    host, tmp = fresh([*captures.columns, "verdict", "domain", "since"], "host", "fetched_on")
+    """captures with host, verdict ("block", "allow" or null), the domain that decided (listed_domain) and since when; of these names those that captures have are led by an underscore."""
+    part = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / span)
+    host, verdict, listed, since = fresh(captures.columns, "host", "verdict", "listed_domain", "since")
+    tmp, h, d, best = fresh([*captures.columns, host, verdict, listed, since], "fetched_on", "h", "d", "best")
     rows = captures.withColumn(host, host_of(F.col(f"`{url}`"))).withColumn(tmp, F.col(f"`{fetched}`").cast("date"))
-    asked = rows.select(F.col(host).alias("h"), F.col(tmp).alias("d")).where("h is not null and d is not null").distinct()
+    asked = rows.select(F.col(host).alias("h"), F.col(tmp).alias("d")).where("h is not null and d is not null").distinct().withColumn("part", part(F.col("d")))
+    # the spans with captures: their number is bounded by the calendar
+    spans = asked.agg(F.sort_array(F.collect_set("part"))).scalar()
     labels = F.split("h", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = asked.withColumn("part", part(F.col("d"))).withColumn("domain", F.explode(parents))
+    asked = asked.withColumn("domain", F.explode(parents))
     held = intervals(entries)
-    last = F.greatest(F.coalesce(F.date_sub("until", 1), F.lit(LAST)), "since")
-    held = held.withColumn("part", F.explode(F.sequence(part(F.col("since")), part(last))))
+    met = F.filter("spans", lambda p: (p >= part(F.col("since"))) & F.coalesce(p <= part(F.date_sub("until", 1)), F.lit(True)))
+    held = held.withColumn("spans", spans).withColumn("part", F.explode(met)).drop("spans")
     found = asked.join(held, ["domain", "part"]).where("since <= d and (until is null or d < until)")
-    best = F.min(F.struct((-F.length("domain")).alias("n"), F.col("list").alias("verdict"), "domain", "since")).alias("x")
-    verdicts = found.groupBy("h", "d").agg(best).select(F.col("h").alias("_h"), F.col("d").alias("_d"), "x.verdict", "x.domain", "x.since")
-    out = rows.join(verdicts, (F.col(host) == F.col("_h")) & (F.col(tmp) == F.col("_d")), "left")
-    return out.select(*(F.col(f"`{c}`") for c in captures.columns), host, "verdict", F.col("domain").alias("listed_domain"), "since")
+    most = F.min(F.struct((-F.length("domain")).alias("n"), F.col("list").alias("verdict"), "domain", "since"))
+    verdicts = found.groupBy(F.col("h").alias(h), F.col("d").alias(d)).agg(most.alias(best))
+    out = rows.join(verdicts, (F.col(host) == F.col(h)) & (F.col(tmp) == F.col(d)), "left")
+    return out.select(*(F.col(f"`{c}`") for c in captures.columns), host, F.col(f"{best}.verdict").alias(verdict), F.col(f"{best}.domain").alias(listed), F.col(f"{best}.since").alias(since))
