@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_automaton, mixing, quality, simhash
-from tidemark.llm.queries import TOKENIZERS
-from tidemark.llm.shared import scratch
+from tidemark.llm.shared import fresh, scratch
 
 #: Near-duplicate stages on word shingles take five words and this similarity.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -35,9 +34,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with ids, the text decoded from them, and their number."""
-    out = bpe_automaton.encode_decode(docs, f"{TOKENIZERS}/word_bpe_49k.json")
-    return out.withColumn("n_tokens", F.size("ids").cast("long"))
+    """The columns of documents with ids, the text decoded from them, and their number; of these names those that docs have are led by an underscore."""
+    ids, decoded, n = fresh(docs.columns, "ids", "decoded", "n_tokens")
+    out = bpe_automaton.encode_decode(docs, "word_bpe_49k.json", ids=ids, decoded=decoded)
+    return out.withColumn(n, F.size(ids).cast("long"))
 
 
 STAGES = [("quality", keep_quality), ("simhash", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
