@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from . import bpe_automaton, embeddings, language_model, media, mixing, quality, simhash, token_counts, token_files, url_filters
 from .shared import crc32_of
 
-#: Where files of public tokenizers lie.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
