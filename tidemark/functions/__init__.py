@@ -1 +1 @@
-"""See the modules of this package."""
+"""Helpers that operators share."""

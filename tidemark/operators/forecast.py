@@ -1,13 +1,12 @@
 """Cash-flow projection: methods over each business's last 90 days, path minima at horizons, and the shortage alert.
 
 Flat methods (naive30, naive90, blend, ewma) are window averages; structural adds weekday effects and repeats recurring
-payments; ols_damped solves trend and weekday effects by normal equations inside each group (90 rows at most).
+payments; ols_damped takes the weekday means away, fits one slope to what is left, and damps it ahead. Hazards replay
+blocks of past days in an order that md5 draws. Everything is aggregates and folds over arrays of 90 days at most.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,29 +31,26 @@ def flat_paths(rates: DataFrame, horizons=HORIZONS) -> DataFrame:
 def structural_path(daily: DataFrame, horizon: int = 90) -> DataFrame:
     """(business_id, day, net): level of the last 30 days plus weekday effects of the last 90, less recurring payments repeated every 30 days."""
     d = daily.where("dbe < 90").withColumn("plain", F.expr("net + recurring"))
-    level = d.groupBy("business_id", "window_end").agg(F.expr("avg(if(dbe < 30, plain, null))").alias("level"), F.avg("plain").alias("mean"), F.expr("max_by(eod, date)").alias("balance"))
+    level = d.groupBy("business_id", "window_end").agg(F.expr("avg(if(dbe < 30, plain, null))").alias("level"), F.avg("plain").alias("mean"), F.expr("max_by(eod, date)").alias("balance"), F.expr("transform(array_sort(collect_list(if(dbe < 30, struct(date, recurring), null))), x -> x.recurring)").alias("past"))
     dow = d.groupBy("business_id", F.weekday("date").alias("dow")).agg(F.avg("plain").alias("dow_mean"))
-    # the day h ahead repeats the recurring outflow of the same place in the last 30 days, the oldest first
-    past = d.where("dbe < 30").select("business_id", F.expr("29 - dbe").alias("place"), "recurring")
-    ahead = level.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("place", F.expr("(day - 1) % 30")).withColumn("dow", F.expr("weekday(date_add(window_end, day))"))
-    out = ahead.join(dow, ["business_id", "dow"], "left").join(past, ["business_id", "place"])
+    # the days ahead repeat the recurring outflows of the last 30 days, or of as many as there are, the oldest first
+    ahead = level.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("recurring", F.expr("past[(day - 1) % size(past)]")).withColumn("dow", F.expr("weekday(date_add(window_end, day))"))
+    out = ahead.join(dow, ["business_id", "dow"], "left")
     return out.select("business_id", "day", "balance", F.expr("level + coalesce(dow_mean - mean, 0) - recurring").alias("net"))
 
 
 def ols_damped_path(daily: DataFrame, horizon: int = 90, damping: float = DAMPING) -> DataFrame:
-    """(business_id, day, net) of a least-squares trend and weekday effects over the last 90 days, the trend damped ahead."""
+    """(business_id, day, balance, net) of a least-squares trend and weekday effects over the last 90 days, the trend damped ahead.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        day = pd.to_datetime(pdf["date"])
-        n, dow = len(pdf), day.dt.dayofweek.to_numpy()
-        design = lambda t, w: np.column_stack([np.ones(len(t)), t, *((w == k).astype(float) for k in range(1, 7))])
-        beta = np.linalg.lstsq(design(np.arange(n, dtype=float), dow), pdf["net"].to_numpy(float), rcond=None)[0]
-        h = np.arange(1, horizon + 1)
-        net = design(n - 1 + damping * h, (dow[-1] + h) % 7) @ beta
-        return pd.DataFrame({"business_id": pdf["business_id"].iloc[0], "day": h, "balance": pdf["eod"].iloc[-1], "net": net})
-
-    return daily.where("dbe < 90").select("business_id", "date", "net", "eod").groupBy("business_id").applyInPandas(fit, "business_id long, day int, balance long, net double")
+    Least squares on a trend and a level for each weekday is the slope between what deviates from the weekdays' own means
+    (sums of products by weekday, then by business), through each weekday's mean point.
+    """
+    d = daily.where("dbe < 90").select("business_id", "window_end", "date", "net", "eod", (-F.col("dbe")).cast("double").alias("t"), F.weekday("date").alias("dow"))
+    points = d.groupBy("business_id", "window_end", "dow").agg(
+        F.count("*").alias("n"), F.avg("t").alias("t0"), F.avg("net").alias("y0"), F.expr("covar_pop(t, net) * count(*)").alias("ty"), F.expr("var_pop(t) * count(*)").alias("tt"), F.expr("max_by(eod, date)").alias("eod"), F.max("date").alias("last"))
+    fit = points.groupBy("business_id", "window_end").agg(F.expr("coalesce(try_divide(sum(ty), sum(tt)), 0.0D)").alias("slope"), F.expr("max_by(eod, last)").alias("balance"), F.sum("n").alias("days"), F.expr("map_from_entries(collect_list(struct(dow, struct(t0, y0))))").alias("at")).where(f"days >= {MIN_DAYS}")
+    ahead = fit.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("p", F.expr("at[weekday(date_add(window_end, day))]"))
+    return ahead.select("business_id", "day", "balance", F.expr(f"coalesce(p.y0, 0.0D) + slope * ({damping}D * day - coalesce(p.t0, 0.0D))").alias("net"))
 
 
 def path_summary(path: DataFrame, horizons=HORIZONS) -> DataFrame:
@@ -74,15 +70,27 @@ def alert(rates: DataFrame, hazard: DataFrame, method: str = "naive90", alert_at
 
 
 def hazard(daily: DataFrame, seed: int = 0, sims: int = 500, block: int = 7) -> DataFrame:
-    """(business_id, hazard_30d, hazard_60d, hazard_90d): the share of block-bootstrap paths below zero; draws follow the seed and the business alone."""
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        net, now, own = pdf["net"].to_numpy(float), float(pdf["eod"].iloc[-1]), int(pdf["business_id"].iloc[0])
-        n = len(net)
-        starts = np.random.default_rng([seed, own]).integers(0, max(n - block, 1), size=(sims, -(-90 // block) + 1))
-        at = np.minimum((starts[..., None] + np.arange(block)).reshape(sims, -1)[:, :90], n - 1)
-        low = np.minimum.accumulate(now + np.cumsum(net[at], axis=1), axis=1)
-        return pd.DataFrame({"business_id": [own], **{f"hazard_{h}d": [float((low[:, h - 1] < 0).mean())] for h in HORIZONS}})
-
-    return daily.where("dbe < 90").select("business_id", "date", "net", "eod").groupBy("business_id").applyInPandas(draw, "business_id long, hazard_30d double, hazard_60d double, hazard_90d double")
+    """(business_id, hazard_30d, hazard_60d, hazard_90d): the share of replayed paths below zero within each horizon.
+
+    A path joins blocks of consecutive past days from today's balance; md5 of seed, business, path and place draws where
+    each begins. Every possible block is summed once for its length and its lowest points, so a path costs a step a block.
+    """
+    d = daily.where("dbe < 90").groupBy("business_id").agg(F.expr("transform(array_sort(collect_list(struct(date, net))), x -> x.net)").alias("nets"), F.expr("max_by(eod, date)").alias("balance"))
+    return hazard_of(d, seed, sims, block)
+
+
+def hazard_of(d: DataFrame, seed: int = 0, sims: int = 500, block: int = 7) -> DataFrame:
+    """hazard() from (business_id, nets, balance): each business's last net flows in order, 90 at most, and its balance."""
+    steps = -(-max(HORIZONS) // block)
+    tail = {h: h - block * (-(-h // block) - 1) for h in HORIZONS}  # days of a horizon's last block
+    lows = ", ".join(f"'l{n}', if(k < {n}, least(a.l{n}, a.s + nets[least(i + k, size(nets) - 1)]), a.l{n})" for n in sorted({*tail.values(), block}))
+    start = "named_struct('s', 0L, " + ", ".join(f"'l{n}', 9223372036854775807L" for n in sorted({*tail.values(), block})) + ")"
+    d = d.withColumn("m", F.expr(f"greatest(size(nets) - {block}, 1)"))
+    d = d.withColumn("blocks", F.expr(f"transform(sequence(0, m - 1), i -> aggregate(sequence(0, {block - 1}), {start}, (a, k) -> named_struct('s', a.s + nets[least(i + k, size(nets) - 1)], {lows})))"))
+    d = d.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
+    pick = f"blocks[cast(conv(substring(md5(concat_ws('|', '{seed}', business_id, sim, j)), 1, 8), 16, 10) as bigint) % m]"
+    d = d.withColumn("drawn", F.expr(f"transform(sequence(0, {steps - 1}), j -> {pick})"))
+    first = "named_struct('j', 0, 'at', balance, 'low', 9223372036854775807L, " + ", ".join(f"'h{h}', 9223372036854775807L" for h in HORIZONS) + ")"
+    seen = ", ".join(f"'h{h}', if(a.j = {-(-h // block) - 1}, least(a.low, a.at + e.l{tail[h]}), a.h{h})" for h in HORIZONS)
+    d = d.withColumn("path", F.expr(f"aggregate(drawn, {first}, (a, e) -> named_struct('j', a.j + 1, 'at', a.at + e.s, 'low', least(a.low, a.at + e.l{block}), {seen}))"))
+    return d.groupBy("business_id").agg(*(F.expr(f"avg(if(path.h{h} < 0, 1.0D, 0.0D))").alias(f"hazard_{h}d") for h in HORIZONS))

@@ -95,8 +95,8 @@ DAILY: dict[str, tuple] = {
 }
 
 
-def daily_features(daily: DataFrame, min_coverage: int = MIN_COVERAGE) -> DataFrame:
-    """business_id, status, coverage and history days, and the daily features; a business below the coverage gate has only its coverage."""
+def daily_features(daily: DataFrame, min_coverage: int = MIN_COVERAGE, arrays: bool = False) -> DataFrame:
+    """business_id, status, coverage and history days, and the daily features; a business below the coverage gate has only its coverage. arrays: also the last net flows in order and the balance, for hazards."""
     s = daily_stats(daily).withColumn("longest", longest_run()).withColumn("cusum", cusum_recency()).withColumn("shock", shock_absorption())
     s = s.withColumn("m_in", F.expr("sum_in / 100.0D / (n / 30.0D)")).withColumn("m_out", F.expr("sum_out / 100.0D / (n / 30.0D)"))
     s = s.withColumn("p_in", F.expr("if(n_prior > 0, prior_in / 100.0D / (n_prior / 30.0D), 0.0D)")).withColumn("p_out", F.expr("if(n_prior > 0, prior_out / 100.0D / (n_prior / 30.0D), 0.0D)"))
@@ -105,7 +105,8 @@ def daily_features(daily: DataFrame, min_coverage: int = MIN_COVERAGE) -> DataFr
     s = s.withColumn("status", F.expr(f"case when coverage_days_90d < {min_coverage} then 'insufficient_data' when history_days < {MIN_HISTORY} then 'partial_profile' else 'scored' end"))
     gate = ("status = 'insufficient_data'", "insufficient_data")
     s = with_features(s, {k: (v, gate, *rules) for k, (v, *rules) in DAILY.items()})
-    return s.select("business_id", "window_end", "data_source", "status", "coverage_days_90d", "history_days", "m_in", "m_out", "net30", "sum_rec", *DAILY, *(f"{k}__reason" for k in DAILY))
+    more = [F.expr("transform(days, x -> x.net)").alias("nets"), F.col("eod_last").alias("balance")] if arrays else []
+    return s.select("business_id", "window_end", "data_source", "status", "coverage_days_90d", "history_days", "m_in", "m_out", "net30", "sum_rec", *DAILY, *(f"{k}__reason" for k in DAILY), *more)
 
 
 def counterparty_features(clipped: DataFrame) -> DataFrame:
@@ -162,6 +163,65 @@ def z_scores(features: DataFrame, biz: DataFrame, stats: DataFrame, names: list[
     v = own.unpivot(["business_id", "sector"], names, "feature", "value")
     r = own.unpivot(["business_id"], [f"{c}__reason" for c in names], "feature", "base_reason").withColumn("feature", F.expr("replace(feature, '__reason', '')"))
     z = v.join(r, ["business_id", "feature"]).join(stats, ["sector", "feature"], "left")
-    reason = F.expr("case when base_reason = 'insufficient_data' then base_reason when sector = 'not_available_in_source' then sector when n is null then 'reference_stats_missing' when value is null then base_reason end")
+    reason = F.expr("case when base_reason = 'insufficient_data' then base_reason when sector = 'not_available_in_source' then sector when coalesce(n, 0) = 0 then 'reference_stats_missing' when value is null then base_reason end")
     score = F.expr(f"greatest(-{clip}D, least({clip}D, (value - mean) / greatest(std, 1e-9D)))")
     return z.select("business_id", "feature", F.when(reason.isNull(), score).alias("z"), reason.alias("reason"))
+
+
+REAL, SOURCE = "data_source = 'external_real'", "not_available_in_source"
+_EVENTS = ("c_seen is null", "insufficient_events")
+_UNBUILT = ((REAL, SOURCE), ("true", "not_implemented"))
+_SHEET = ((f"s_month_end is null and {REAL}", SOURCE), ("s_month_end is null", "insufficient_history"))
+_NO_OBLIGATIONS = ("o_seen is null", "not_applicable")
+_FACILITY = ((REAL, SOURCE), ("k_facility_type is null", "not_applicable"), ("k_facility_type = 'none' or k_limit_cents <= 0", "not_applicable"))
+_DSO, _DIO, _DPO = "s_receivables / 100.0D / greatest(m_in, 500.0D) * 30", "s_inventory / 100.0D / greatest(m_out, 500.0D) * 30", "s_payables / 100.0D / greatest(m_out, 500.0D) * 30"
+#: What joins add to the daily features: value, then the rules that null it. c_ counterparties, o_ obligations, s_ balance sheet, k_ facility.
+JOINED: dict[str, tuple] = {
+    **{k: (f"c_{k}", _EVENTS, (f"c_{k} is null", "insufficient_events")) for k in ("largest_single_source_ratio", "top_expense_category_share", "unique_counterparties_count", "counterparty_concentration_index", "new_counterparty_ratio_30d", "circular_counterparty_count")},
+    "counterparty_persistence_ratio": ("c_counterparty_persistence_ratio", _EVENTS, (f"history_days < {MIN_HISTORY} or coalesce(c_prior_tx_days, 0) < 1", "insufficient_history"), ("c_counterparty_persistence_ratio is null", "insufficient_events")),
+    "financing_outflow_ratio": ("least(c_fi_outflow_90 / sum_rec, 1.0D)", _EVENTS, (f"sum_rec < {EPS}D * 100", "near_zero_denominator")),
+    "financing_outflow_ratio_code": ("least(c_loan_outflow_90 / sum_rec, 1.0D)", _EVENTS, (f"sum_rec < {EPS}D * 100", "near_zero_denominator")),
+    "declared_mcc_code": ("mcc", ("mcc is null", SOURCE)),
+    "compliance_screen_status": ("screen_status",),
+    "esg_proxy_score": ("cast(null as double)", *_UNBUILT), "governance_transparency_score": ("cast(null as double)", ("true", "not_implemented")),
+    "nisab_threshold_met": ("cast(null as boolean)", *_UNBUILT), "hawl_completion_date": ("cast(null as date)", *_UNBUILT),
+    **{f"{k}_eom": (f"s_{c} / 100.0D", *_SHEET) for k, c in (("cash", "cash"), ("inventory", "inventory"), ("receivables", "receivables"), ("payables", "payables"), ("short_term_liabilities", "short_term"))},
+    "days_sales_outstanding": (_DSO, *_SHEET), "days_inventory_outstanding": (_DIO, *_SHEET), "days_payables_outstanding": (_DPO, *_SHEET), "cash_conversion_cycle": (f"{_DSO} + {_DIO} - {_DPO}", *_SHEET),
+    "committed_monthly_outflow": ("coalesce(o_committed_monthly_outflow, 0.0D)",),
+    "obligation_coverage_ratio": ("m_in / o_committed_monthly_outflow", _NO_OBLIGATIONS, (f"o_committed_monthly_outflow < {EPS}D", "near_zero_denominator")),
+    "forward_coverage_ratio_3m": ("m_in / o_committed_in_90d", _NO_OBLIGATIONS, (f"o_committed_in_90d < {EPS}D", "near_zero_denominator")),
+    "forward_coverage_ratio_6m": ("m_in / o_committed_in_180d", _NO_OBLIGATIONS, (f"o_committed_in_180d < {EPS}D", "near_zero_denominator")),
+    "obligation_horizon_months": ("o_obligation_horizon_months", (f"(o_seen is null or not o_any_final_known) and {REAL}", SOURCE), ("o_obligation_horizon_months is null", "not_applicable")),
+    "mandate_cancellation_count_90d": ("coalesce(o_mandate_cancellation_count_90d, 0)", (REAL, SOURCE)), "balloon_exposure": ("coalesce(o_balloon_exposure, 0.0D)", (REAL, SOURCE)),
+    "facility_utilisation": ("k_drawn_cents / k_limit_cents", *_FACILITY), "headroom_days_of_burn": ("greatest(k_headroom_cents, 0) / 100.0D / greatest(-net30 / 100, 500.0D / 30)", *_FACILITY, ("net30 >= 0", "not_applicable")),
+    "emergency_line_present": ("k_facility_type in ('emergency', 'temporary') and k_limit_cents > 0", *_FACILITY[:2]),
+    **{f"liquidity_hazard_{h}d": (f"hazard_{h}d",) for h in (30, 60, 90)},
+}
+
+
+def season_rule(seasons: list[tuple[str, str]]) -> tuple:
+    """The feature season_adjusted: whether the trailing window meets a season; null where the table has none of the year."""
+    years = ", ".join(sorted({d[:4] for pair in seasons for d in pair}))
+    met = " or ".join(f"(date'{a}' <= window_end and date'{b}' >= date_sub(window_end, 89))" for a, b in seasons)
+    return met, (REAL, SOURCE), (f"year(window_end) not in ({years})", SOURCE)
+
+
+def registry(base: DataFrame, biz: DataFrame, obligations: DataFrame, sheets: DataFrame, facilities: DataFrame, screens: DataFrame, hazards: DataFrame, stats: DataFrame, z_bases: list[str], seasons: list[tuple[str, str]]) -> DataFrame:
+    """The whole vector, a value and a reason for each feature. base: daily features joined with counterparty features (c_); the others are keyed by business, stats by sector."""
+    prefixed = lambda df, p: df.select("business_id", *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "business_id"))
+    o = prefixed(obligations.withColumn("seen", F.lit(True)), "o")
+    d = base.join(biz.select("business_id", "sector"), "business_id")
+    for other in (o, prefixed(sheets, "s"), prefixed(facilities, "k"), screens.select("business_id", "mcc", "screen_status"), hazards):
+        d = d.join(other, "business_id", "left")
+    gate = ("status = 'insufficient_data'", "insufficient_data")
+    d = with_features(d, {k: (v, gate, *rules) for k, (v, *rules) in {**JOINED, "season_adjusted": season_rule(seasons)}.items()})
+    wide = stats.groupBy("sector").pivot("feature", z_bases).agg(F.first("mean").alias("mean"), F.first("std").alias("std"))
+    d = d.join(F.broadcast(wide), "sector", "left")  # a row for each sector
+    z = {}
+    for k in z_bases:
+        reason = F.expr(f"case when {gate[0]} then '{gate[1]}' when sector = '{SOURCE}' then sector when {k}_mean is null then 'reference_stats_missing' when {k} is null then {k}__reason end")
+        z[f"sector_relative_{k}_z"] = F.when(reason.isNull(), F.expr(f"greatest(-3.0D, least(3.0D, ({k} - {k}_mean) / greatest({k}_std, 1e-9D)))"))
+        z[f"sector_relative_{k}_z__reason"] = reason
+    d = d.withColumns(z)
+    names = [*DAILY, *JOINED, "season_adjusted", *(f"sector_relative_{k}_z" for k in z_bases)]
+    return d.select("business_id", "window_end", "status", "coverage_days_90d", "history_days", *(c for n in names for c in (n, f"{n}__reason")))

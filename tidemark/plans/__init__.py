@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
-    from . import adapters
+    from . import adapters, registry  # noqa: F401  (each adds its own)
 
     return dict(adapters.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     from . import adapters
 
     return dict(adapters.SQL)

@@ -79,29 +79,50 @@ def forecast_flat_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(p.select("business_id", "method", "horizon_days", (F.col("flow") / 100).alias("flow"), (F.col("end") / 100).alias("projected"), (F.col("low") / 100).alias("low")), 4)
 
 
-@register("""d AS (SELECT *, net + recurring AS plain FROM dly WHERE dbe < 90), lv AS (SELECT business_id, window_end, avg(plain) FILTER (dbe < 30) AS level, avg(plain) AS mean, max_by(eod, date) AS balance FROM d GROUP BY ALL),
+@register("""d AS (SELECT *, net + recurring AS plain FROM dly WHERE dbe < 90), lv AS (SELECT business_id, window_end, avg(plain) FILTER (dbe < 30) AS level, avg(plain) AS mean, max_by(eod, date) AS balance, count(*) FILTER (dbe < 30) AS n30 FROM d GROUP BY ALL),
 dw AS (SELECT business_id, isodow(date) AS dow, avg(plain) AS m FROM d GROUP BY ALL),
-ah AS (SELECT lv.*, day, (day - 1) % 30 AS place, isodow(window_end + CAST(day AS INTEGER)) AS dow FROM lv, (SELECT unnest(range(1, 91)) AS day)),
+ah AS (SELECT lv.*, day, (day - 1) % n30 AS place, isodow(window_end + CAST(day AS INTEGER)) AS dow FROM lv, (SELECT unnest(range(1, 91)) AS day)),
 pa AS (SELECT ah.business_id, day, balance + sum(level + coalesce(m - mean, 0) - recurring) OVER (PARTITION BY ah.business_id ORDER BY day) AS pos, level + coalesce(m - mean, 0) - recurring AS net
-  FROM ah LEFT JOIN dw ON ah.business_id = dw.business_id AND ah.dow = dw.dow JOIN d ON d.business_id = ah.business_id AND 29 - d.dbe = place)
+  FROM ah LEFT JOIN dw ON ah.business_id = dw.business_id AND ah.dow = dw.dow JOIN d ON d.business_id = ah.business_id AND n30 - 1 - d.dbe = place AND d.dbe < 30)
 SELECT business_id, horizon_days, round(sum(net) / 100, 4) AS flow, round(max_by(pos, day) / 100, 4) AS projected, round(min(pos) / 100, 4) AS low, CAST(min(day) FILTER (pos < 0) AS INTEGER) AS first_below FROM pa JOIN """ + HORIZONS + """ h ON day <= horizon_days GROUP BY ALL""")
 def forecast_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = C.path_summary(C.structural_path(L.daily(spark, sf_dir)))
     return rounded(p.select("business_id", "horizon_days", (F.col("flow") / 100).alias("flow"), (F.col("end") / 100).alias("projected"), (F.col("low") / 100).alias("low"), "first_below"), 4)
 
 
-@register()
+_OLS_SQL = """
+od AS (SELECT business_id, window_end, date, net, eod, -dbe::DOUBLE AS t, isodow(date) AS dow FROM dly WHERE dbe < 90),
+om AS (SELECT *, t - avg(t) OVER w AS dt, net - avg(net) OVER w AS dy FROM od WINDOW w AS (PARTITION BY business_id, dow)),
+os AS (SELECT business_id, coalesce(sum(dt * dy) / nullif(sum(dt * dt), 0), 0) AS slope, count(*) AS days, max_by(eod, date) AS balance, max(window_end) AS window_end FROM om GROUP BY 1 HAVING count(*) >= 30),
+ow AS (SELECT business_id, dow, avg(t) AS t0, avg(net) AS y0 FROM od GROUP BY ALL),
+oh AS (SELECT os.*, day, isodow(window_end + CAST(day AS INTEGER)) AS dow FROM os, (SELECT unnest(range(1, 91)) AS day)),
+op AS (SELECT oh.business_id, day, coalesce(y0, 0) + slope * (0.5 * day - coalesce(t0, 0)) AS net, balance + sum(coalesce(y0, 0) + slope * (0.5 * day - coalesce(t0, 0))) OVER (PARTITION BY oh.business_id ORDER BY day) AS pos FROM oh LEFT JOIN ow ON oh.business_id = ow.business_id AND oh.dow = ow.dow)
+"""
+
+
+@register(_OLS_SQL + """SELECT business_id, horizon_days, round(sum(net) / 100, 4) AS flow, round(max_by(pos, day) / 100, 4) AS projected, round(min(pos) / 100, 4) AS low, CAST(min(day) FILTER (pos < 0) AS INTEGER) AS first_below FROM op JOIN """ + HORIZONS + """ h ON day <= horizon_days GROUP BY ALL""")
 def forecast_ols_damped(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = C.path_summary(C.ols_damped_path(L.daily(spark, sf_dir)))
-    return p.select("business_id", "horizon_days", (F.col("flow") / 100).alias("flow"), (F.col("end") / 100).alias("projected"), (F.col("low") / 100).alias("low"), "first_below")
+    return rounded(p.select("business_id", "horizon_days", (F.col("flow") / 100).alias("flow"), (F.col("end") / 100).alias("projected"), (F.col("low") / 100).alias("low"), "first_below"), 4)
 
 
-@register()
+_HAZARD_SQL = """
+hn AS (SELECT business_id, list(net ORDER BY date) AS nets, max_by(eod, date) AS balance FROM dly WHERE dbe < 90 GROUP BY 1),
+hs AS (SELECT business_id, nets, balance, sim, j, CAST('0x' || substr(md5('0|' || business_id || '|' || sim || '|' || j), 1, 8) AS BIGINT) % greatest(len(nets) - 7, 1) AS i FROM hn, (SELECT unnest(range(0, 500)) AS sim), (SELECT unnest(range(0, 13)) AS j)),
+hd AS (SELECT business_id, sim, 7 * j + k AS day, balance, nets[least(i + k, len(nets) - 1) + 1] AS net FROM hs, (SELECT unnest(range(0, 7)) AS k) WHERE 7 * j + k < 90),
+hp AS (SELECT business_id, sim, day, balance + sum(net) OVER (PARTITION BY business_id, sim ORDER BY day) AS pos FROM hd),
+hm AS (SELECT business_id, sim, min(pos) FILTER (day < 30) AS a, min(pos) FILTER (day < 60) AS b, min(pos) AS c FROM hp GROUP BY ALL),
+hz AS (SELECT business_id, round(avg(CASE WHEN a < 0 THEN 1.0 ELSE 0.0 END), 6) AS hazard_30d, round(avg(CASE WHEN b < 0 THEN 1.0 ELSE 0.0 END), 6) AS hazard_60d, round(avg(CASE WHEN c < 0 THEN 1.0 ELSE 0.0 END), 6) AS hazard_90d FROM hm GROUP BY 1)
+"""
+
+
+@register(_HAZARD_SQL + "SELECT business_id, hazard_30d, hazard_60d, hazard_90d FROM hz")
 def liquidity_hazard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.hazard(L.daily(spark, sf_dir))
+    return rounded(C.hazard(L.daily(spark, sf_dir)))
 
 
-@register()
+@register(_RATES_SQL.strip() + "," + _HAZARD_SQL.strip() + """, na AS (SELECT * FROM rt WHERE method = 'naive90'), st AS (SELECT na.business_id, min(h) AS first_below FROM na JOIN (SELECT unnest(range(1, 91)) AS h) ON balance + rate * h < 0 GROUP BY 1)
+SELECT na.business_id, CAST(first_below AS INTEGER) AS first_below, CASE WHEN first_below <= 30 OR coalesce(hazard_30d, 0) >= 0.5 THEN 'crunch' WHEN first_below IS NOT NULL OR coalesce(hazard_30d, 0) >= 0.2 OR coalesce(hazard_90d, 0) >= 0.5 THEN 'watch' ELSE 'none' END AS level FROM na LEFT JOIN st USING (business_id) LEFT JOIN hz USING (business_id)""")
 def forecast_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = L.daily(spark, sf_dir)
     return C.alert(C.flat_rates(d), C.hazard(d))

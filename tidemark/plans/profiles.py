@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import saved
 from ..operators import profile as P
 from ..sources import ledger as L
 
@@ -166,13 +167,17 @@ def profile_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily features with their reasons and arrays, joined with counterparty features (c_): computed once for all that reads them."""
+    f = P.daily_features(L.daily(spark, sf_dir), arrays=True)
+    c = P.counterparty_features(L.clipped(L.transactions(spark, sf_dir), L.businesses(spark, sf_dir))).withColumn("seen", F.lit(True))
+    return saved(f.join(c.select("business_id", *(F.col(x).alias(f"c_{x}") for x in c.columns if x != "business_id")), "business_id", "left"))
+
+
 def with_counterparties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily and counterparty features with their reasons, a row for each business."""
-    f = P.daily_features(L.daily(spark, sf_dir))
-    c = P.counterparty_features(L.clipped(L.transactions(spark, sf_dir), L.businesses(spark, sf_dir)))
-    f = f.join(c.withColumnRenamed("counterparty_concentration_index", "cci"), "business_id", "left")
+    """Daily features and the concentration of counterparties with their reasons, a row for each business."""
     gate = ("status = 'insufficient_data'", "insufficient_data")
-    return P.with_features(f, {"counterparty_concentration_index": ("cci", gate, ("cci is null", "insufficient_events"))})
+    return P.with_features(base_features(spark, sf_dir), {"counterparty_concentration_index": ("c_counterparty_concentration_index", gate, ("c_counterparty_concentration_index is null", "insufficient_events"))})
 
 
 _Z_SQL = _DAILY_SQL + "," + _CP_SQL.strip() + """,
@@ -188,24 +193,9 @@ def reference_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.reference_stats(with_counterparties(spark, sf_dir), L.businesses(spark, sf_dir), Z_BASES))
 
 
-@register(_Z_SQL + """, zr AS (SELECT business_id, feature, value, mean, std, CASE WHEN base_reason = 'insufficient_data' THEN base_reason WHEN sector = 'not_available_in_source' THEN sector WHEN n IS NULL THEN 'reference_stats_missing' WHEN value IS NULL THEN base_reason END AS reason
+@register(_Z_SQL + """, zr AS (SELECT business_id, feature, value, mean, std, CASE WHEN base_reason = 'insufficient_data' THEN base_reason WHEN sector = 'not_available_in_source' THEN sector WHEN coalesce(n, 0) = 0 THEN 'reference_stats_missing' WHEN value IS NULL THEN base_reason END AS reason
   FROM zv JOIN biz USING (business_id) LEFT JOIN zs USING (sector, feature))
 SELECT business_id, feature, CASE WHEN reason IS NULL THEN round(greatest(-3, least(3, (value - mean) / greatest(std, 1e-9))), 6) END AS z, reason FROM zr""")
 def sector_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, biz = with_counterparties(spark, sf_dir), L.businesses(spark, sf_dir)
     return rounded(P.z_scores(f, biz, P.reference_stats(f, biz, Z_BASES), Z_BASES))
-
-
-def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: the whole feature vector, a row for each business."""
-    f = with_counterparties(spark, sf_dir)
-    o = P.obligation_features(L.obligations(spark, sf_dir), L.businesses(spark, sf_dir))
-    z = sector_z_scores(spark, sf_dir).groupBy("business_id").pivot("feature", Z_BASES).agg(F.first("z"))
-    z = z.select("business_id", *(F.col(c).alias(f"sector_relative_{c}_z") for c in Z_BASES))
-    sheet = profile_balance_sheet(spark, sf_dir).withColumnRenamed("reason", "balance_sheet_reason")
-    fac = profile_facilities(spark, sf_dir).withColumnRenamed("reason", "facility_reason")
-    out = f.join(o, "business_id", "left").join(sheet, "business_id", "left").join(fac, "business_id", "left").join(z, "business_id", "left")
-    return out.select(*(c for c in out.columns if c not in ("m_in", "m_out", "net30", "sum_rec", "cci")))
-
-
-QUERIES["profile"] = profile

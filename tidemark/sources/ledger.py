@@ -68,11 +68,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """obligation_id, business_id, cents, frequency, status, final_date, final_cents, status_change_date, from recent orders by customer."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp'2000-01-01'")
+    """obligation_id, business_id, cents, frequency, status, final_date, final_cents, status_change_date, from orders, dealt over all businesses by customer."""
+    o = table(spark, sf_dir, "orders")
+    s = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first"))
     day = F.to_date("o_orderdate")
     return o.select(
-        F.col("o_orderkey").alias("obligation_id"), F.expr("o_custkey % 97").alias("business_id"), F.expr("cast(round(o_totalprice * 100) as bigint)").alias("cents"),
+        F.col("o_orderkey").alias("obligation_id"), (F.col("o_custkey") % s.select("n").scalar() + s.select("first").scalar()).alias("business_id"), F.expr("cast(round(o_totalprice * 100) as bigint)").alias("cents"),
         F.expr("case substring(o_orderpriority, 1, 1) when '1' then 'monthly' when '2' then 'weekly' when '3' then 'quarterly' when '4' then 'one_off' else 'unknown' end").alias("frequency"),
         F.when(F.col("o_orderstatus") == "P", "inactive").otherwise("active").alias("status"), F.when(F.expr("o_orderkey % 3 > 0"), F.date_add(day, 200)).alias("final_date"),
         F.when(F.expr("o_orderkey % 5 = 0"), F.expr("cast(round(o_totalprice * 100) as bigint) + (o_orderkey % 11 - 5) * 100000")).alias("final_cents"), F.when(F.col("o_orderstatus") == "P", F.date_add(day, 30)).alias("status_change_date"),
@@ -80,8 +81,8 @@ def obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """business_id, facility_type, limit_cents, drawn_cents, headroom_cents; some businesses have none."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 8 <> 5")
+    """business_id, facility_type (a quarter have none), limit_cents, drawn_cents, headroom_cents."""
+    s = table(spark, sf_dir, "supplier")
     kind = F.expr("element_at(array('none', 'pre_agreed', 'emergency', 'temporary'), cast(s_suppkey % 4 + 1 as int))")
     limit = F.expr("(s_suppkey % 9) * 1000000")
     drawn = F.expr("cast(round(abs(s_acctbal) * 100) as bigint)")
@@ -90,7 +91,7 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def balance_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """business_id, month_end and five end-of-month values in cents, from line items by month."""
-    l = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp'2000-06-01' and l_suppkey % 9 <> 4")
+    l = table(spark, sf_dir, "lineitem")
     c = F.expr("cast(round(l_extendedprice * 100) as bigint)")
     part = lambda flag, status: F.sum(F.when((F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status), c).otherwise(0))
     return l.groupBy(F.col("l_suppkey").alias("business_id"), F.last_day("l_shipdate").alias("month_end")).agg(
@@ -131,18 +132,18 @@ dly AS (SELECT *, CAST(opening_cents + sum(net) OVER (PARTITION BY business_id O
     CAST(coalesce(outflow, 0) AS BIGINT) AS outflow, coalesce(outflow_count, 0) AS outflow_count, CAST(coalesce(recurring, 0) AS BIGINT) AS recurring,
     CAST(coalesce(inflow, 0) - coalesce(outflow, 0) AS BIGINT) AS net, CAST(window_end - grid.date AS INTEGER) AS dbe
   FROM grid LEFT JOIN dsum ON grid.business_id = dsum.business_id AND grid.date = dsum.date)),
-obl AS (SELECT o_orderkey AS obligation_id, o_custkey % 97 AS business_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
+obl AS (SELECT o_orderkey AS obligation_id, o_custkey % (SELECT count(*) FROM supplier) + (SELECT min(s_suppkey) FROM supplier) AS business_id, CAST(round(o_totalprice * 100) AS BIGINT) AS cents,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'monthly' WHEN '2' THEN 'weekly' WHEN '3' THEN 'quarterly' WHEN '4' THEN 'one_off' ELSE 'unknown' END AS frequency,
   CASE WHEN o_orderstatus = 'P' THEN 'inactive' ELSE 'active' END AS status, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) + 200 END AS final_date,
   CASE WHEN o_orderkey % 5 = 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) + (o_orderkey % 11 - 5) * 100000 END AS final_cents,
-  CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderdate AS DATE) + 30 END AS status_change_date FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'),
+  CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderdate AS DATE) + 30 END AS status_change_date FROM orders),
 fac AS (SELECT s_suppkey AS business_id, ['none', 'pre_agreed', 'emergency', 'temporary'][s_suppkey % 4 + 1] AS facility_type, (s_suppkey % 9) * 1000000 AS limit_cents,
-  CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS drawn_cents, (s_suppkey % 9) * 1000000 - CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS headroom_cents FROM supplier WHERE s_suppkey % 8 <> 5),
+  CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS drawn_cents, (s_suppkey % 9) * 1000000 - CAST(round(abs(s_acctbal) * 100) AS BIGINT) AS headroom_cents FROM supplier),
 sheet AS (SELECT l_suppkey AS business_id, last_day(l_shipdate) AS month_end,
   sum(CASE WHEN l_returnflag || l_linestatus = 'NO' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS cash, sum(CASE WHEN l_returnflag || l_linestatus = 'AO' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS inventory,
   sum(CASE WHEN l_returnflag || l_linestatus = 'RO' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS receivables, sum(CASE WHEN l_returnflag || l_linestatus = 'NF' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS payables,
   sum(CASE WHEN l_returnflag || l_linestatus = 'AF' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS short_term
-  FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-06-01' AND l_suppkey % 9 <> 4 GROUP BY ALL),
+  FROM lineitem GROUP BY ALL),
 ev AS (SELECT event_id AS transaction_id, user_id AS business_id, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour,
   CASE WHEN event_type IN ('purchase', 'error') THEN 'out' ELSE 'in' END AS direction, CAST(round(value * 100) AS BIGINT) AS cents,
   CASE WHEN event_id % 20 > 0 THEN json_extract_string(props, '$.k') END AS counterparty_id, event_type AS category FROM events)
