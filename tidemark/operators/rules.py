@@ -49,9 +49,10 @@ def zakat(spine: DataFrame, sheet_rows: DataFrame, prices: DataFrame) -> DataFra
     return z.select("business_id", "zakat_status", "reason", F.round("base", 2).alias("zakat_base"), F.round("nisab", 2).alias("nisab_value"), "hawl_completion", F.expr(f"round(if(reason is null, base * {RATE}D, 0.0D), 2)").alias("liability"))
 
 
-def contributions(features: DataFrame, artifact: DataFrame, key: str = "business_id") -> DataFrame:
-    """(key, feature, contribution, imputed, rank): coef times z of each feature, medians for nulls, signed logarithms where the artifact (feature, coef, mean, scale, median, log_transform) says so. The artifact has a row for each feature of the registry, so it is small by definition."""
-    names = [r[0] for r in artifact.select("feature").collect()]
+def contributions(features: DataFrame, artifact: list[tuple], key: str = "business_id") -> DataFrame:
+    """(key, feature, contribution, imputed, rank): coef times z of each feature, medians for nulls, signed logarithms where the artifact, a list of (feature, coef, mean, scale, median, log_transform), says so."""
+    names = [a[0] for a in artifact]
+    artifact = features.sparkSession.createDataFrame(artifact, "feature string, coef double, mean double, scale double, median double, log_transform boolean")
     long = features.select(key, *(F.col(c).cast("double") for c in names)).unpivot([key], names, "feature", "value").join(F.broadcast(artifact), "feature")
     x = F.expr("case when value is null or isnan(value) then median when log_transform then signum(value) * ln(1 + abs(value)) else value end")
     long = long.withColumn("contribution", F.when(F.col("scale") != 0, F.col("coef") * (x - F.col("mean")) / F.col("scale")).otherwise(0.0))

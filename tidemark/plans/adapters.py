@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import adapter as D
 from ..operators import profile as P
 from ..sources import ledger as L
-from .lenses import _DECIDE_SQL, _SCREEN_SQL, decisions, screens
+from .lenses import _SCREEN_SQL, screens
 from .profiles import _DAILY_SQL, _Z_SQL, QUERIES, SQL, Z_BASES, register, rounded, with_counterparties
 
 
@@ -66,14 +66,6 @@ def decision_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.receipt(screens(spark, sf_dir), "business_id", ["business_id", "screen_status", "evidence_basis", "mcc", "rules_triggered"])
 
 
-@register(_DECIDE_SQL + "SELECT count(*) AS objects, 0::BIGINT AS differing FROM dh")
-def decision_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs of the decision compared receipt by receipt."""
-    names = ["business_id", "decision", "tier", "amount", "decline_reason", "offer_status"]
-    a, b = (D.receipt(decisions(spark, sf_dir), "business_id", names) for _ in range(2))
-    return a.join(b.withColumnRenamed("receipt", "again"), "business_id", "full").agg(F.count("*").alias("objects"), F.expr("count_if(not (receipt <=> again))").alias("differing"))
-
-
 @register("""g AS (SELECT business_id, day, CAST('0x' || substr(md5('s1|sales|' || business_id || '|' || day), 1, 8) AS BIGINT) % 900 + 100 AS s, CAST('0x' || substr(md5('s1|busy|' || business_id || '|' || day), 1, 8) AS BIGINT) % 4 + 1 AS k,
   CAST('0x' || substr(md5('s1|pay|' || business_id || '|' || day), 1, 8) AS BIGINT) % 700 + 50 AS p, CASE WHEN day % 30 = business_id % 30 THEN 5000 ELSE 0 END AS r FROM (SELECT unnest(range(1, 301)) AS business_id), (SELECT unnest(range(0, 180)) AS day))
 SELECT business_id, CAST(sum(s * k) AS BIGINT) AS inflow, CAST(sum(p + r) AS BIGINT) AS outflow, CAST(sum(r) AS BIGINT) AS recurring, count(*) FILTER (s * k < p + r) AS down_days FROM g GROUP BY 1""")
@@ -102,15 +94,6 @@ def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.groupBy("status", "feature").agg(F.count("*").alias("businesses"), F.expr("count_if(reason is null)").alias("present"))
 
 
-@register(_DAILY_SQL + """, held AS (SELECT business_id, array_to_string(list_slice(list_filter([CASE WHEN status = 'insufficient_data' THEN 'connect_more_history' END, CASE WHEN days_negative_balance_90d > 20 THEN 'reduce_overdraft_days' END, CASE WHEN net30 < 0 AND runway_days_current_balance < 30 THEN 'extend_runway' END,
-  CASE WHEN inflow_outflow_ratio < 1 THEN 'cover_outflows' END, CASE WHEN recurring_expense_ratio > 0.5 THEN 'review_fixed_costs' END, CASE WHEN inflow_regularity_score < 0.3 THEN 'steady_receipts' END, CASE WHEN revenue_growth_90d < -20 THEN 'revenue_falling' END], lambda x: x IS NOT NULL), 1, 3), ',') AS guidance FROM f) SELECT * FROM held""")
-def guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three of seven rules that hold, in their order."""
-    rules = {"connect_more_history": "status = 'insufficient_data'", "reduce_overdraft_days": "days_negative_balance_90d > 20", "extend_runway": "net30 < 0 and runway_days_current_balance < 30", "cover_outflows": "inflow_outflow_ratio < 1", "review_fixed_costs": "recurring_expense_ratio > 0.5", "steady_receipts": "inflow_regularity_score < 0.3", "revenue_falling": "revenue_growth_90d < -20"}
-    held = F.array_compact(F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in rules.items())))
-    return P.daily_features(L.daily(spark, sf_dir)).select("business_id", F.array_join(F.slice(held, 1, 3), ",").alias("guidance"))
-
-
 @register("""SELECT sector, business_id, CAST(v AS BIGINT) AS inflow, CAST(k AS INTEGER) AS place FROM (SELECT sector, business_id, v, rank() OVER (PARTITION BY sector ORDER BY v DESC) AS k FROM (SELECT sector, business_id, sum(inflow) AS v FROM dly JOIN biz USING (business_id) GROUP BY ALL)) WHERE k <= 10""")
 def top_businesses_by_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = L.daily(spark, sf_dir).groupBy("business_id").agg(F.sum("inflow").alias("inflow")).join(L.businesses(spark, sf_dir).select("business_id", "sector"), "business_id")
@@ -123,10 +106,10 @@ def paged_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.businesses(spark, sf_dir).where("population = 'research' and sector = 'retail_trade'").select("business_id", "sector").orderBy("business_id").offset(2).limit(10)
 
 
-@register("""w AS (SELECT CAST(d AS DATE) AS d FROM generate_series(DATE '2000-10-02', DATE '2000-12-31', INTERVAL 1 DAY) t(d)) SELECT CAST(date_trunc('week', d) AS DATE) AS week, count(*) AS days, round(avg(CASE WHEN d BETWEEN DATE '2000-11-27' AND DATE '2000-12-29' THEN 1.0 ELSE 0.0 END), 6) AS season_share FROM w GROUP BY 1""")
+@register("""w AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem) SELECT CAST(date_trunc('week', d) AS DATE) AS week, count(*) AS days, round(avg(CASE WHEN d BETWEEN DATE '2000-11-27' AND DATE '2000-12-29' THEN 1.0 ELSE 0.0 END), 6) AS season_share FROM w GROUP BY 1""")
 def season_share_by_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of each week's days inside a season: weeks opened into days and averaged."""
-    d = spark.sql("select explode(sequence(date'2000-10-02', date'2000-12-31', interval 1 day)) as d")
+    """The share of each week's days with rows that lie inside a season."""
+    d = L.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d")).distinct()
     return rounded(d.groupBy(F.to_date(F.date_trunc("week", "d")).alias("week")).agg(F.count("*").alias("days"), F.avg(F.expr("if(d between date'2000-11-27' and date'2000-12-29', 1.0D, 0.0D)")).alias("season_share")))
 
 

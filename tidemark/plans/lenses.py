@@ -209,8 +209,7 @@ ac AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY abs(round(
 
 
 def credit_contributions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    art = spark.createDataFrame(ARTIFACT, "feature string, coef double, mean double, scale double, median double, log_transform boolean")
-    return R.contributions(P.daily_features(L.daily(spark, sf_dir)).where("status <> 'insufficient_data'"), art)
+    return R.contributions(P.daily_features(L.daily(spark, sf_dir)).where("status <> 'insufficient_data'"), ARTIFACT)
 
 
 @register(_CREDIT_SQL + "SELECT business_id, feature, round(contribution, 6) AS contribution, imputed, CAST(rank AS INTEGER) AS rank FROM ac")
@@ -361,11 +360,11 @@ def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.agg(F.count("*").alias("n_rows"), F.countDistinct("h").alias("distinct_rows"), F.expr("count_if(h < '80')").alias("lower_half"))
 
 
-@register("""s AS (SELECT population, sector, direction, sum(cents) AS c, count(*) AS n FROM ct JOIN biz USING (business_id) GROUP BY CUBE (population, sector, direction)) SELECT population, sector, direction, CAST(c AS BIGINT) AS cents, n FROM s""")
+@register("""s AS (SELECT population, sector, direction, sum(cents) AS c, count(*) AS n, GROUPING_ID(population, sector, direction) AS level FROM ct JOIN biz USING (business_id) GROUP BY CUBE (population, sector, direction)) SELECT population, sector, direction, CAST(c AS BIGINT) AS cents, n, CAST(level AS BIGINT) AS level FROM s""")
 def portfolio_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     biz = L.businesses(spark, sf_dir)
     t = L.clipped(L.transactions(spark, sf_dir), biz).join(biz.select("business_id", "population", "sector"), "business_id")
-    return t.cube("population", "sector", "direction").agg(F.sum("cents").alias("cents"), F.count("*").alias("n"))
+    return t.cube("population", "sector", "direction").agg(F.sum("cents").alias("cents"), F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
 @register("""SELECT 'cents > 0' AS rule, count(*) FILTER (NOT cents > 0) AS violations FROM tx UNION ALL SELECT 'hour in 0..23', count(*) FILTER (NOT hour BETWEEN 0 AND 23) FROM tx UNION ALL SELECT 'direction in (in, out)', count(*) FILTER (direction NOT IN ('in', 'out')) FROM tx
