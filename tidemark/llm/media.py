@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .shared import fresh
 
-WIDTH, IDAT_BYTES, LEVEL, SLICE_BYTES, LANE_BYTES = 64, 1 << 16, 1, 1 << 22, 1 << 21
+WIDTH, IDAT_BYTES, LEVEL, SLICE_BYTES, LANE_BYTES = 64, 1 << 16, 1, 1 << 20, 1 << 19
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
