@@ -375,8 +375,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, CHUNKS):
-                rows = whole.slice(first, CHUNKS).to_pylist()
+            size = -(-whole.num_rows // max(1, -(-whole.num_rows // CHUNKS)))  # even shares
+            for first in range(0, whole.num_rows, max(1, size)):
+                rows = whole.slice(first, size).to_pylist()
                 blocks = [x for r in rows for x in r["blocks"]]
                 ids = decode_blocks([x["payload"] for x in blocks], [x["n"] for x in blocks])
                 at = 0
