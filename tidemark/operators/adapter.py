@@ -69,12 +69,3 @@ def receipt(df: DataFrame, key: str, names: list[str]) -> DataFrame:
     """(key, receipt): SHA-256 of a row's values as canonical text, nulls marked."""
     text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in names))
     return df.select(key, F.sha2(text, 256).alias("receipt"))
-
-
-def synthetic_ledger(spark, first: int, last: int, days: int, seed: str) -> DataFrame:
-    """A ledger from nothing but ids: md5 of seed, business, day and purpose gives every draw, so a business is the same whatever else is generated."""
-    u = lambda what, n: F.expr(f"cast(conv(substring(md5(concat_ws('|', '{seed}', '{what}', business_id, day)), 1, 8), 16, 10) as bigint) % {n}")
-    grid = spark.range(first, last + 1).withColumnRenamed("id", "business_id").withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
-    sales, pay = u("sales", 900) + 100, u("pay", 700) + 50
-    rent = F.expr("if(day % 30 = business_id % 30, 5000, 0)")
-    return grid.withColumn("inflow", sales * (1 + u("busy", 4))).withColumn("recurring", rent).withColumn("outflow", pay + F.col("recurring")).withColumn("net", F.col("inflow") - F.col("outflow"))

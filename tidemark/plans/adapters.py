@@ -66,15 +66,6 @@ def decision_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.receipt(screens(spark, sf_dir), "business_id", ["business_id", "screen_status", "evidence_basis", "mcc", "rules_triggered"])
 
 
-@register("""g AS (SELECT business_id, day, CAST('0x' || substr(md5('s1|sales|' || business_id || '|' || day), 1, 8) AS BIGINT) % 900 + 100 AS s, CAST('0x' || substr(md5('s1|busy|' || business_id || '|' || day), 1, 8) AS BIGINT) % 4 + 1 AS k,
-  CAST('0x' || substr(md5('s1|pay|' || business_id || '|' || day), 1, 8) AS BIGINT) % 700 + 50 AS p, CASE WHEN day % 30 = business_id % 30 THEN 5000 ELSE 0 END AS r FROM (SELECT unnest(range(1, 301)) AS business_id), (SELECT unnest(range(0, 180)) AS day))
-SELECT business_id, CAST(sum(s * k) AS BIGINT) AS inflow, CAST(sum(p + r) AS BIGINT) AS outflow, CAST(sum(r) AS BIGINT) AS recurring, count(*) FILTER (s * k < p + r) AS down_days FROM g GROUP BY 1""")
-def generated_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three hundred synthetic businesses over 180 days, summed."""
-    g = D.synthetic_ledger(spark, 1, 300, 180, "s1")
-    return g.groupBy("business_id").agg(F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow"), F.sum("recurring").cast("long").alias("recurring"), F.expr("count_if(net < 0)").alias("down_days"))
-
-
 @register(_Z_SQL + """, cur AS (SELECT population, sector, feature, avg(value) AS m, count(value) AS n, count(*) FILTER (abs((value - mean) / greatest(std, 1e-9)) > 3) AS clipped FROM zv JOIN biz USING (business_id) JOIN zs USING (sector, feature) GROUP BY population, sector, feature, mean, std)
 SELECT population, sector, feature, round(m - mean, 6) AS drift, cur.n, clipped FROM cur JOIN zs USING (sector, feature)""")
 def reference_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
