@@ -10,7 +10,7 @@ has exactly one path. Decoding emits the arcs' labels.
 
 Rows: a null text counts as empty; an empty text gives no ids and an empty decoded text; repeated rows give repeated
 results; other columns pass through untouched, and where they bear the names of results, those are led by an underscore.
-A worker holds a batch of texts, which Spark bounds at 10,000 rows and 64 MB, or one longer text.
+A worker holds a batch of texts (see small_batches) or one longer text.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, located
+from .shared import fresh, located, small_batches
 
 #: Words that a worker remembers before it starts afresh, and the longest it remembers.
 CACHE_WORDS, CACHE_BYTES = 250_000, 64
@@ -271,6 +271,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "id
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
         return pa.StructArray.from_arrays([lists, pa.array([b for _, b in got], pa.binary()).cast(pa.string())], ["ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     taken, (ids, decoded) = docs.columns, fresh(docs.columns, ids, decoded)
     (tmp,) = fresh([*taken, ids, decoded], "coded")
     out = docs.withColumn(tmp, coded(F.col(f"`{text}`").cast("string")))

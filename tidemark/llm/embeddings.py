@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, saved
+from .shared import connected_components, saved, small_batches
 
 HASHES, WIDTH, SEED, BLOCK, RADIUS = 12, 2.0, 20240229, 2048, 20
 NEAR, FAR, MISS, ROWS, SLICE = 0.874, 0.487, 2.3e-5, 100_000, 4096
@@ -144,6 +144,7 @@ def _compare(table: pa.Table, least: float, tables: int, hashes: int, width: flo
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", least: float = 0.95, width: float = WIDTH) -> DataFrame:
     """(the id, n_links, component_id, kept): a row for each row of vectors."""
+    small_batches(vectors.sparkSession)
     v, kind = F.col("vector"), vectors.schema[vector].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector}`").cast(kind).alias("vector"))

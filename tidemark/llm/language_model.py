@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc32_of
+from .shared import crc32_of, small_batches
 
 DEPTH, CHUNK_BYTES, GROUP_BYTES, WORD_GROUP_BYTES, STEP = 6, 24 << 20, 4 << 20, 16 << 20, 2 << 20
 END = b"\n"
@@ -214,6 +214,7 @@ def _table(**columns) -> pa.Table:
 
 def score(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text: str = "text", depth: int = DEPTH, top: int | None = None) -> DataFrame:
     """(the id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte): a row for each row of docs."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
     def tallied(batches):

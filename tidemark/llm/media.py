@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh
+from .shared import fresh, small_batches
 
 WIDTH, IDAT_BYTES, LEVEL, SLICE_BYTES, LANE_BYTES = 64, 1 << 16, 1, 1 << 20, 1 << 19
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -213,6 +213,7 @@ def to_png(docs: DataFrame, text: str = "text", media: str = "media") -> DataFra
         payloads = [pad(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
         return pa.array([f for some in _slices(payloads) for f in write_pngs(some)], pa.binary())
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(*fresh(docs.columns, media), stored(F.col(f"`{text}`").cast("string")))
 
 
@@ -233,6 +234,7 @@ def read_media(media: DataFrame, column: str = "media", keep: list[str] | None =
         rows = [None if f is None else next(found) for f in given]
         return pa.array(rows, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("low_hash", pa.binary())]))
 
+    small_batches(media.sparkSession)
     kept = keep if keep is not None else [c for c in media.columns if c != column]
     (tmp,) = fresh([*kept, column], "back")
     out = media.withColumn(tmp, back(F.col(f"`{column}`")))

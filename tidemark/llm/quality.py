@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc32_of, fresh, saved
+from .shared import crc32_of, fresh, saved, small_batches
 
 SAMPLE, SHRINK, THRESHOLD = 20_000, 0.02, 0.3
 _KINDS = bytes(bytearray([1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c in b" \t\r\x0b\x0c" else 5 if c == 10 else 6 if c in b".,;:!?'\"()-" else 7 if c < 128 else 8 for c in range(256)]))
@@ -116,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     # the sample's size is bounded by the parameter, so it may be broadcast; past a margin it isn't
     side = F.broadcast(picked) if picked.count() <= 2 * sample else picked
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(side, "id").select("label", "text")
+    small_batches(docs.sparkSession)
     sums = rows.mapInArrow(_moments, "label int, place int, value double").groupBy("label", "place").agg(F.sum("value").alias("value")).collect()
     k = FEATURES + 1
     full: dict[int, np.ndarray] = {}
@@ -132,6 +133,7 @@ def score(docs: DataFrame, model: Discriminant, text: str = "text", out: str = "
         x = np.array([statistics(t or b"") for t in texts.cast(pa.binary()).to_pylist()]).reshape(-1, FEATURES)
         return pa.array(model.score(x), pa.float64())
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(*fresh(docs.columns, out), scores(F.col(f"`{text}`").cast("string")))
 
 

@@ -63,6 +63,17 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+#: Rows that Spark hands to a Python function at a time.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, the same for all operators of this package, and never raises them. Results don't depend on it; it bounds what JVM and Python hold of long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def located(name: str) -> str:
     """The place of a tokenizer's file, asked where it is read: a path, or the name of a public tokenizer's file."""
     if os.path.isabs(name):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import connected_components, fresh, saved
+from .shared import connected_components, fresh, saved, small_batches
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 PARTS, PART_BITS = 4, 16
@@ -109,6 +109,7 @@ def fingerprints(docs: DataFrame, text: str, out: str, shingle: int = SHINGLE, w
         none = pa.nulls(len(data), pa.int64())
         return pa.StructArray.from_arrays([pa.array([fingerprint(t or b"", shingle) for t in data], pa.binary()), pa.nulls(len(data), pa.list_(pa.int64())), none, none], names)
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(*fresh(docs.columns, out), prints(F.col(f"`{text}`").cast("string")))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, located
+from .shared import fresh, located, small_batches
 
 NODES, CACHE_WORDS, CACHE_BYTES, SCALE = 400_000, 400_000, 64, 1_000_000
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("score", T.LongType())])
@@ -106,6 +106,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", names: tuple[st
         rows = np.array([own.count(t or b"") for t in texts.cast(pa.binary()).to_pylist()], np.int64).reshape(-1, 3)
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)], ["n_words", "n_tokens", "score"])
 
+    small_batches(docs.sparkSession)
     names = tuple(fresh(docs.columns, *names))
     (tmp,) = fresh([*docs.columns, *names], "counted")
     out = docs.withColumn(tmp, counted(F.col(f"`{text}`").cast("string")))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import located, scratch
+from .shared import located, scratch, small_batches
 
 BLOCK, CHUNK_IDS, LANES, LANE_IDS, TEXTS, CHUNKS, PART_BYTES = 4096, 1 << 18, 1536, 6 << 20, 200, 24, 10 << 20
 CACHE_WORDS, CACHE_BYTES = 300_000, 48
@@ -364,6 +364,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
         if held:
             yield _chunks(part, held, seq, before)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // PART_BYTES))  # tasks follow the size of the texts
@@ -391,6 +392,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ends = np.concatenate([[0], np.cumsum(lengths)])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lengths), r["part"])), pa.array(r["doc_ids"], pa.int64()), pa.array(r["ids_before"] + ends[:-1]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))], ["part", "doc_id", "local", "ids"])
 
+    small_batches(spark)
     chunks = spark.read.parquet(path)
     sums = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each written partition
     before = sums.select(F.col("part").alias("part_"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
