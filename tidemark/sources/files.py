@@ -46,3 +46,38 @@ def decision_lines(df: DataFrame, key: str) -> DataFrame:
     """One JSON object a row with its receipt, the SHA-256 of its canonical text."""
     body = F.to_json(F.struct(*(F.col(c) for c in sorted(df.columns))))
     return df.select(key, body.alias("value"), F.sha2(body, 256).alias("receipt"))
+
+
+def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
+    """df as CSV with a header, sorted by ranges of its order, doubles as they are."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
+
+
+def altered(spark: SparkSession, path: str, sidecars: DataFrame) -> DataFrame:
+    """(path, verdict) of files that differ from their sidecars (path, sha256, length): changed, missing or new."""
+    now = hash_sidecars(spark, path).select("path", F.col("sha256").alias("_now"))
+    d = now.join(sidecars.select("path", "sha256"), "path", "full")
+    return d.withColumn("verdict", F.expr("case when _now is null then 'missing' when sha256 is null then 'new' when _now <> sha256 then 'changed' end")).where("verdict is not null").select("path", "verdict")
+
+
+def read_statistics(spark: SparkSession, path: str, labels: dict[str, str], total: str = "Total", tolerance: float = 0.005) -> DataFrame:
+    """(period, series, value) of an official table (Period, Series, Value; a byte-order mark may lead it), series relabelled. Where a period's series differ from its total by more than the tolerance, reading it raises."""
+    raw = spark.read.option("header", True).csv(path)
+    raw = raw.toDF(*(c.lstrip("\ufeff").strip().lower() for c in raw.columns))
+    t = raw.select("period", F.trim("series").alias("series"), F.regexp_replace("value", ",", "").cast("double").alias("value"))
+    sums = t.groupBy("period").agg(F.sum(F.when(F.col("series") != total, F.col("value"))).alias("_parts"), F.max(F.when(F.col("series") == total, F.col("value"))).alias("_total"))
+    off = F.abs(F.col("_parts") - F.col("_total")) > tolerance * F.abs(F.col("_total"))
+    value = F.when(F.coalesce(off, F.lit(False)), F.raise_error(F.concat(F.lit("series don't add up in "), F.col("period"))).cast("double")).otherwise(F.col("value"))
+    name = F.coalesce(*(F.when(F.col("series") == old, F.lit(new)) for old, new in labels.items()), F.col("series"))
+    return t.join(sums, "period").where(F.col("series") != total).select("period", name.alias("series"), value.alias("value"))
+
+
+def write_report(df: DataFrame, path: str, title: str) -> None:
+    """A small result (a report's rows) as one text file in Markdown; past 10,000 rows it raises."""
+    if df.count() > 10_000:
+        raise ValueError("a report has at most 10,000 rows")
+    names = df.columns
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in names)), F.lit(" |"))
+    body = df.agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("b"))
+    head = f"# {title}\n\n| " + " | ".join(names) + " |\n|" + "-|" * len(names) + "\n"
+    body.select(F.concat(F.lit(head), F.col("b")).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -35,3 +35,27 @@ def overdraft_runs(days: DataFrame) -> DataFrame:
         yield pd.DataFrame({"business_id": [key[0]], "through": [days_here["date"].iloc[-1]], "run": [run], "longest": [best]})
 
     return days.groupBy("business_id").applyInPandasWithState(update, "business_id long, through date, run int, longest int", "run int, longest int", "append", GroupStateTimeout.NoTimeout)
+
+
+def trailing_totals(feed: DataFrame, days: int = 90, late: str = "2 days") -> DataFrame:
+    """Totals of a business over each window of some days that ends with a day: a sliding window by one day."""
+    w = feed.withWatermark("ts", late).groupBy(F.window("ts", f"{days} days", "1 day").alias("w"), "business_id")
+    t = w.agg(F.expr("sum(if(direction = 'in', cents, 0))").alias("inflow"), F.expr("sum(if(direction = 'out', cents, 0))").alias("outflow"), F.count("*").alias("n"))
+    return t.select("business_id", F.date_sub(F.to_date("w.end"), 1).alias("through"), "inflow", "outflow", "n")
+
+
+def break_signals(days: DataFrame, k: float = 0.5, h: float = 5.0) -> DataFrame:
+    """days (business_id, date, inflow, mean, sd) to the last day on which a two-sided CUSUM of inflow signalled, kept as two sums a business. A batch's days follow those before it."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        up, down, last = state.get if state.exists else (0.0, 0.0, None)
+        days_here = pd.concat(list(frames)).sort_values("date")
+        for r in days_here.itertuples():
+            z = (r.inflow - r.mean) / r.sd if r.sd else 0.0
+            up, down = max(0.0, up + z - k), max(0.0, down - z - k)
+            if up > h or down > h:
+                up, down, last = 0.0, 0.0, r.date
+        state.update((up, down, last))
+        yield pd.DataFrame({"business_id": [key[0]], "through": [days_here["date"].iloc[-1]], "last_signal": [last]})
+
+    return days.groupBy("business_id").applyInPandasWithState(update, "business_id long, through date, last_signal date", "up double, down double, last date", "append", GroupStateTimeout.NoTimeout)
