@@ -275,18 +275,32 @@ def shortage_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("business_id").agg(F.expr("min(if(n = 90 and (eod + rate < 0 or eod + 30 * rate < 0), date, null))").alias("first_detection"), F.expr("min(if(eod < 0, date, null))").alias("first_negative"))
 
 
-_ERR_SQL = """bt AS (SELECT business_id, avg(net) FILTER (dbe BETWEEN 30 AND 59) AS naive30, avg(net) FILTER (dbe BETWEEN 30 AND 119) AS naive90, sum(net) FILTER (dbe < 30) AS actual, min(eod) FILTER (dbe < 30) < 0 AS crunch, max_by(eod, date) FILTER (dbe >= 30) AS start, avg(abs(net)) FILTER (dbe BETWEEN 30 AND 119) AS scale FROM dly GROUP BY 1 HAVING count(*) >= 120),
-be AS (SELECT business_id, 'naive30' AS method, naive30 AS rate, actual, crunch, start, scale FROM bt UNION ALL SELECT business_id, 'naive90', naive90, actual, crunch, start, scale FROM bt)"""
+def _selection_sql(cut: int, window: str) -> str:
+    """Every method's path over 30 days from a day `cut` days before the as-of date, beside what came."""
+    ols = _OLS_SQL.strip().replace("FROM dly", "FROM dl")
+    return f"""SELECT '{window}' AS time_window, * FROM (WITH dl AS (SELECT business_id, window_end - {cut} AS window_end, date, net, recurring, eod, dbe - {cut} AS dbe FROM dly WHERE dbe >= {cut}), {_RATES_SQL.strip().replace("FROM dly", "FROM dl")},
+d AS (SELECT *, net + recurring AS plain FROM dl WHERE dbe < 90), lv AS (SELECT business_id, window_end, avg(plain) FILTER (dbe < 30) AS level, avg(plain) AS mean, max_by(eod, date) AS balance, count(*) FILTER (dbe < 30) AS n30 FROM d GROUP BY ALL), dw AS (SELECT business_id, isodow(date) AS dow, avg(plain) AS m FROM d GROUP BY ALL),
+ah AS (SELECT lv.*, day, (day - 1) % n30 AS place, isodow(window_end + CAST(day AS INTEGER)) AS dow FROM lv, (SELECT unnest(range(1, 91)) AS day)),
+pa AS (SELECT ah.business_id, day, balance + sum(level + coalesce(m - mean, 0) - recurring) OVER (PARTITION BY ah.business_id ORDER BY day) AS pos, level + coalesce(m - mean, 0) - recurring AS net FROM ah LEFT JOIN dw ON ah.business_id = dw.business_id AND ah.dow = dw.dow JOIN d ON d.business_id = ah.business_id AND n30 - 1 - d.dbe = place AND d.dbe < 30),
+{ols}, me AS (SELECT business_id, method, 30 * rate AS flow, balance + least(rate, 30 * rate) AS low FROM rt UNION ALL SELECT business_id, 'structural', sum(net), min(pos) FROM pa WHERE day <= 30 GROUP BY 1 UNION ALL SELECT business_id, 'ols_damped', sum(net), min(pos) FROM op WHERE day <= 30 GROUP BY 1),
+ac AS (SELECT business_id, sum(net) FILTER (dbe BETWEEN {cut - 30} AND {cut - 1}) AS actual, min(eod) FILTER (dbe BETWEEN {cut - 30} AND {cut - 1}) < 0 AS crunch, avg(abs(net)) FILTER (dbe BETWEEN {cut} AND {cut + 89}) AS scale FROM dly GROUP BY 1 HAVING count(*) FILTER (dbe >= {cut}) >= 90)
+SELECT business_id, method, flow, low, actual, crunch, scale FROM me JOIN ac USING (business_id) WHERE scale > 0)"""
 
 
-@register(_ERR_SQL + " SELECT method, count(*) AS businesses, round(median(abs(30 * rate - actual) / (30 * scale)), 6) AS median_error, round(count(*) FILTER (crunch AND start + least(rate, 30 * rate) < 0) / nullif(count(*) FILTER (crunch), 0)::DOUBLE, 6) AS crunch_recall, round(count(*) FILTER (NOT crunch AND start + least(rate, 30 * rate) < 0) / nullif(count(*) FILTER (NOT crunch), 0)::DOUBLE, 6) AS false_alarm_rate FROM be WHERE scale > 0 GROUP BY 1")
+@register(f"se AS ({_selection_sql(60, 'select')} UNION ALL {_selection_sql(30, 'report')}) SELECT time_window, method, count(*) AS businesses, round(median(abs(flow - actual) / (30 * scale)), 6) AS median_error, round(count(*) FILTER (crunch AND low < 0) / nullif(count(*) FILTER (crunch), 0)::DOUBLE, 6) AS crunch_recall, round(count(*) FILTER (NOT crunch AND low < 0) / nullif(count(*) FILTER (NOT crunch), 0)::DOUBLE, 6) AS false_alarm_rate FROM se GROUP BY ALL")
 def forecast_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each method's median scale-free error over the last 30 days, held out, with the recall of shortages and false alarms."""
-    b = L.daily(spark, sf_dir).groupBy("business_id").agg(*(F.expr(e).alias(k) for k, e in {
-        "days": "count(*)", "naive30": "avg(if(dbe between 30 and 59, net, null))", "naive90": "avg(if(dbe between 30 and 119, net, null))", "actual": "sum(if(dbe < 30, net, 0))",
-        "crunch": "min(if(dbe < 30, eod, null)) < 0", "start": "max_by(if(dbe >= 30, eod, null), if(dbe >= 30, date, null))", "scale": "avg(if(dbe between 30 and 119, abs(net), null))"}.items())).where("days >= 120 and scale > 0")
-    e = b.unpivot(["business_id", "actual", "crunch", "start", "scale"], ["naive30", "naive90"], "method", "rate").withColumn("called", F.expr("start + least(rate, 30 * rate) < 0"))
-    return rounded(e.groupBy("method").agg(F.count("*").alias("businesses"), F.expr("median(abs(30 * rate - actual) / (30 * scale))").alias("median_error"), F.expr("try_divide(count_if(crunch and called), count_if(crunch))").alias("crunch_recall"), F.expr("try_divide(count_if(not crunch and called), count_if(not crunch))").alias("false_alarm_rate")))
+    """All six methods over 30 days held out: a window to select by (days 121 to 150 of 180) and a later one to report; median scale-free error, recall of shortages, false alarms."""
+    d, out = L.daily(spark, sf_dir), None
+    for cut, window in ((60, "select"), (30, "report")):
+        past = d.where(f"dbe >= {cut}").withColumn("window_end", F.date_sub("window_end", cut)).withColumn("dbe", F.col("dbe") - cut)
+        paths = C.flat_paths(C.flat_rates(past), (30,)).select("business_id", "method", "flow", "low")
+        for name, path in (("structural", C.structural_path(past)), ("ols_damped", C.ols_damped_path(past))):
+            paths = paths.unionByName(C.path_summary(path, (30,)).select("business_id", F.lit(name).alias("method"), "flow", "low"))
+        came = d.groupBy("business_id").agg(F.expr(f"sum(if(dbe between {cut - 30} and {cut - 1}, net, null))").alias("actual"), F.expr(f"min(if(dbe between {cut - 30} and {cut - 1}, eod, null)) < 0").alias("crunch"), F.expr(f"avg(if(dbe between {cut} and {cut + 89}, abs(net), null))").alias("scale"), F.expr(f"count_if(dbe >= {cut})").alias("days")).where("days >= 90 and scale > 0")
+        one = paths.join(came, "business_id").withColumn("time_window", F.lit(window))
+        out = one if out is None else out.unionByName(one)
+    g = out.groupBy("time_window", "method").agg(F.count("*").alias("businesses"), F.expr("median(abs(flow - actual) / (30 * scale))").alias("median_error"), F.expr("try_divide(count_if(crunch and low < 0), count_if(crunch))").alias("crunch_recall"), F.expr("try_divide(count_if(not crunch and low < 0), count_if(not crunch))").alias("false_alarm_rate"))
+    return rounded(g)
 
 
 #: A label for evaluation: whether the last 30 days hold a negative balance; a score: the pressure of the 90 days before.
@@ -306,7 +320,7 @@ def feature_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(_LABEL_SQL + """, cut AS (SELECT i, c FROM (SELECT unnest([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]) AS c, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS i)),
-dr AS (SELECT ll.*, draw, CAST('0x' || substr(md5('auc|' || draw || '|' || business_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM ll, (SELECT unnest(range(0, 50)) AS draw) WHERE score IS NOT NULL),
+dr AS (SELECT ll.*, draw, CAST('0x' || substr(md5('auc|' || draw || '|' || business_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM ll, (SELECT unnest(range(0, 1000)) AS draw) WHERE score IS NOT NULL),
 dw AS (SELECT feature, draw, business_id, label, score, (SELECT count(*) FROM cut WHERE u >= c) AS weight FROM dr),
 dc AS (SELECT feature, draw, score, sum(weight) AS m, sum(weight * label) AS p FROM dw WHERE weight > 0 GROUP BY ALL),
 dd AS (SELECT *, sum(m) OVER (PARTITION BY feature, draw ORDER BY score) - (m - 1) / 2.0::DOUBLE AS r FROM dc),
@@ -314,7 +328,7 @@ da AS (SELECT feature, draw, (sum(r * p) - sum(p) * (sum(p) + 1) / 2.0::DOUBLE)
 SELECT feature, round(quantile_cont(auc, 0.025), 6) AS low, round(median(auc), 6) AS mid, round(quantile_cont(auc, 0.975), 6) AS high FROM da GROUP BY 1""")
 def feature_auc_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bootstrap interval of each feature's AUC; draws come from md5, so any engine repeats them."""
-    d = S.resamples(labelled(spark, sf_dir).where("score is not null"), "business_id", 50, "auc")
+    d = S.resamples(labelled(spark, sf_dir).where("score is not null"), "business_id", 1000, "auc")
     c = d.groupBy("feature", "draw", "score").agg(F.sum("weight").alias("m"), F.sum(F.col("weight") * F.col("label")).alias("p"))
     c = c.withColumn("r", F.expr("sum(m) over (partition by feature, draw order by score) - (m - 1) / 2.0D"))
     a = c.groupBy("feature", "draw").agg(F.expr("try_divide(sum(r * p) - sum(p) * (sum(p) + 1) / 2.0D, sum(p) * (sum(m) - sum(p)))").alias("auc"))
@@ -328,6 +342,21 @@ def inflow_outflow_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.spearman(d, "a", "b", ["sector"]))
 
 
+@register(_EV_SQL.strip() + """, ow AS (SELECT business_id, counterparty_id, transaction_id, date, hour, cents FROM e3 WHERE direction = 'out' AND counterparty_id IS NOT NULL AND NOT recurring),
+cm AS (SELECT b.transaction_id, count(*) AS close FROM ow a JOIN ow b ON a.business_id = b.business_id AND a.counterparty_id = b.counterparty_id AND a.transaction_id <> b.transaction_id AND a.cents <> 0 AND abs(b.cents / a.cents::DOUBLE - 1) <= 0.01 GROUP BY 1)
+SELECT least(close, 5) AS close_matches, count(*) AS payments FROM (SELECT coalesce(close, 0) AS close FROM ow LEFT JOIN cm USING (transaction_id)) GROUP BY 1""")
+def close_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many payments to the same counterparty lie within one per cent of each: by logarithmic blocks of amounts, so no payment meets all others."""
+    t = event_features(spark, sf_dir).where("direction = 'out' and counterparty_id is not null and not recurring").select("business_id", "counterparty_id", "transaction_id", "cents")
+    b = t.withColumn("block", F.expr("cast(floor(ln(cents) / 0.0101D) as long)")).where("cents > 0")
+    near = b.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    a, o = b.alias("a"), near.alias("o")
+    met = a.join(o, ["business_id", "counterparty_id", "block"]).where("a.transaction_id <> o.transaction_id and abs(o.cents / a.cents - 1) <= 0.01")
+    n = met.groupBy(F.col("o.transaction_id").alias("transaction_id")).agg(F.count("*").alias("close"))
+    c = t.join(n, "transaction_id", "left").withColumn("close_matches", F.least(F.coalesce("close", F.lit(0)), F.lit(5)).cast("long"))
+    return c.groupBy("close_matches").agg(F.count("*").alias("payments"))
+
+
 @register("""c AS (SELECT sector, category, sum(CASE WHEN direction = 'in' THEN cents ELSE 0 END) AS a, sum(CASE WHEN direction = 'out' THEN cents ELSE 0 END) AS b FROM ct JOIN biz USING (business_id) GROUP BY ALL),
 p AS (SELECT *, a / (sum(a) OVER (PARTITION BY sector))::DOUBLE AS p, b / (sum(b) OVER (PARTITION BY sector))::DOUBLE AS q FROM c), g AS (SELECT *, abs(sum(p - q) OVER (PARTITION BY sector ORDER BY category)) AS g FROM p)
 SELECT sector, round(0.5 * sum(abs(p - q)), 6) AS tv, round(max(g), 6) AS ks FROM g GROUP BY 1""")
