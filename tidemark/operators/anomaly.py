@@ -187,3 +187,37 @@ def detect(t: DataFrame, contamination: float = 0.01, most: int = 10, trees: int
     s = scored(t, trees, seed, least).withColumn("bound", F.expr(f"percentile(score, {1 - contamination}D) over (partition by business_id)"))
     s = s.where("score > bound or rule_hit").withColumn("rank", F.expr("row_number() over (partition by business_id order by rule_hit desc, score desc, date, hour, transaction_id)"))
     return s.where(F.col("rank") <= most).select("business_id", "transaction_id", "rank", "flag_reason")
+
+
+#: Planted kinds: days later (least, most), cents as a share (least, most), what changes.
+KINDS = {"duplicate_payment": (0, 0, 1.0, 1.0), "late_repeat_charge": (1, 7, 0.97, 1.03), "resent_payment": (1, 2, 1.0, 1.0), "vendor_record_duplicate": (0, 1, 1.0, 1.0), "round_trip_transfer": (1, 3, 0.97, 1.0)}
+
+
+def planted(t: DataFrame, seed: str = "p1") -> DataFrame:
+    """Rows to plant in a ledger, with their anomaly_type, one case of each kind for each business that has an outflow to repeat.
+
+    An outflow is drawn by md5 of seed, kind and id among those that leave room for the days; days, share and hour come
+    from md5 of seed, kind and business. A round trip is a transfer of six to twelve times the median outflow and most of
+    it back; a record duplicate names the counterparty by a second id.
+    """
+    u = lambda kind, what: F.expr(f"(conv(substring(md5(concat_ws('|', '{seed}', '{kind}', '{what}', business_id)), 1, 8), 16, 10) + 0.5D) / 4294967296.0D")
+    out, end = None, F.expr("max(date) over (partition by business_id)")
+    own = t.withColumn("_end", end).where("direction = 'out' and counterparty_id is not null").withColumn("_median", F.expr("median(cents) over (partition by business_id)"))
+    for at, (kind, (least, most, low, high)) in enumerate(KINDS.items(), 1):
+        lag = (least + F.floor((most - least + 1) * u(kind, "lag"))).cast("int")
+        d = own.withColumn("_lag", lag).where("date_add(date, _lag) <= _end")
+        d = d.withColumn("_r", F.expr(f"row_number() over (partition by business_id order by md5(concat_ws('|', '{seed}', '{kind}', transaction_id)), transaction_id)")).where("_r = 1")
+        d = d.withColumn("transaction_id", F.col("transaction_id") + at * 10_000_000_000).withColumn("anomaly_type", F.lit(kind))
+        share = low + (high - low) * u(kind, "share")
+        hour = F.least(F.col("hour") + 1, F.lit(23)) if kind == "duplicate_payment" else (9 + F.floor(8 * u(kind, "hour")))
+        if kind == "round_trip_transfer":
+            d = d.withColumn("cents", F.round(F.col("_median") * (6 + 6 * u(kind, "size"))).cast("long")).withColumn("counterparty_id", F.expr("concat('RT-', business_id)")).withColumn("category", F.lit("transfer"))
+            back = d.withColumn("transaction_id", F.col("transaction_id") + 5_000_000_000).withColumn("direction", F.lit("in")).withColumn("date", F.expr("date_add(date, _lag)")).withColumn("cents", F.round(F.col("cents") * share).cast("long")).withColumn("hour", F.lit(15))
+            d = d.withColumn("hour", F.lit(11)).unionByName(back)
+        else:
+            d = d.withColumn("date", F.expr("date_add(date, _lag)")).withColumn("hour", hour.cast("int")).withColumn("cents", F.round(F.col("cents") * share).cast("long"))
+            if kind == "vendor_record_duplicate":
+                d = d.withColumn("counterparty_id", F.concat("counterparty_id", F.lit("-B")))
+        d = d.drop("_end", "_median", "_lag", "_r")
+        out = d if out is None else out.unionByName(d)
+    return out

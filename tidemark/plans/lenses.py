@@ -187,16 +187,54 @@ def anomaly_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.detect(A.rules(A.repeats(A.features(A.scanned(L.event_ledger(spark, sf_dir)), SEASONS, burn_in=10))))
 
 
+def _pu(kind: str, what: str) -> str:
+    return f"((CAST('0x' || substr(md5('p1|{kind}|{what}|' || business_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)"
+
+
+def _planted_sql() -> str:
+    parts = []
+    for kind, (least, most, low, high) in A.KINDS.items():
+        lag = f"CAST({least} + floor({most - least + 1} * {_pu(kind, 'lag')}) AS INTEGER)"
+        own = f"(SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY md5('p1|{kind}|' || transaction_id), transaction_id) AS r FROM (SELECT *, {lag} AS lag FROM po) WHERE date + lag <= latest)"
+        share, hour = f"({low} + {high - low!r} * {_pu(kind, 'share')})", "least(hour + 1, 23)" if kind == "duplicate_payment" else f"CAST(9 + floor(8 * {_pu(kind, 'hour')}) AS INTEGER)"
+        if kind == "round_trip_transfer":
+            sent = f"CAST(round(med * (6 + 6 * {_pu(kind, 'size')})) AS BIGINT)"
+            parts += [f"SELECT business_id, '{kind}' AS anomaly_type, date, 11 AS hour, 'out' AS direction, {sent} AS cents, 'RT-' || business_id AS counterparty_id FROM {own} WHERE r = 1", f"SELECT business_id, '{kind}', date + lag, 15, 'in', CAST(round({sent} * {share}) AS BIGINT), 'RT-' || business_id FROM {own} WHERE r = 1"]
+        else:
+            name = "counterparty_id || '-B'" if kind == "vendor_record_duplicate" else "counterparty_id"
+            parts.append(f"SELECT business_id, '{kind}' AS anomaly_type, date + lag AS date, {hour} AS hour, direction, CAST(round(cents * {share}) AS BIGINT) AS cents, {name} AS counterparty_id FROM {own} WHERE r = 1")
+    return "po AS (SELECT *, median(cents) OVER (PARTITION BY business_id) AS med FROM (SELECT *, max(date) OVER (PARTITION BY business_id) AS latest FROM ev) WHERE direction = 'out' AND counterparty_id IS NOT NULL), pl AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@register(_planted_sql() + " SELECT business_id, anomaly_type, date, hour, direction, cents, counterparty_id FROM pl")
+def planted_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the injector plants, five kinds."""
+    return A.planted(L.event_ledger(spark, sf_dir)).select("business_id", "anomaly_type", "date", "hour", "direction", "cents", "counterparty_id")
+
+
+def with_planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = L.event_ledger(spark, sf_dir)
+    truth = A.planted(e)
+    return A.scanned(e.withColumn("anomaly_type", F.lit(None).cast("string")).unionByName(truth)), truth
+
+
 @register()
 def anomaly_detector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plants a copy of one outflow a business, an hour later, and an inflow fifty times too large, and scores the detector on them."""
-    e = A.scanned(L.event_ledger(spark, sf_dir)).withColumn("r", F.row_number().over(Window.partitionBy("business_id", "direction").orderBy(F.md5(F.col("transaction_id").cast("string").cast("binary")))))
-    copy = e.where("r = 1 and direction = 'out' and counterparty_id is not null").withColumn("hour", F.expr("least(hour + 1, 23)")).withColumn("transaction_id", F.col("transaction_id") + 10_000_000_000).withColumn("anomaly_type", F.lit("exact_duplicate"))
-    large = e.where("r = 1 and direction = 'in'").withColumn("cents", F.col("cents") * 50).withColumn("transaction_id", F.col("transaction_id") + 20_000_000_000).withColumn("anomaly_type", F.lit("large_inflow"))
-    planted = copy.unionByName(large)
-    t = e.withColumn("anomaly_type", F.lit(None).cast("string")).unionByName(planted).drop("r")
+    """Five kinds of planted anomalies against the detector's ten flags a business."""
+    t, truth = with_planted(spark, sf_dir)
     flags = A.detect(A.rules(A.repeats(A.features(t, SEASONS, burn_in=10))))
-    return S.detector_scores(planted.select("business_id", "transaction_id", "anomaly_type"), flags, 10)
+    return S.detector_scores(truth.select("business_id", "transaction_id", "anomaly_type"), flags, 10)
+
+
+@register()
+def repeat_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which planted rows each repeat mode marks, and how many others."""
+    t, _ = with_planted(spark, sf_dir)
+    f, out = A.features(t, SEASONS, burn_in=10), None
+    for mode in ("off", "exact", "window", "rarity"):
+        g = A.repeats(f, mode, tolerance=0.05).groupBy(F.lit(mode).alias("mode"), F.coalesce("anomaly_type", F.lit("(none)")).alias("anomaly_type")).agg(F.count("*").alias("n_rows"), F.expr("count_if(repeat_payment)").alias("marked"))
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 #: A linear model for the tests of scoring: feature, coefficient, mean, scale, median, signed logarithm.
