@@ -1,9 +1,11 @@
+import collections
 import datetime as dt
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +14,9 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.helpers import ROWS, awkward, empty
-from tidemark.llm import mixing, queries, token_files, url_filters
+from tests.llm.test_models import plain_scores
+from tests.llm.test_near import groups
+from tidemark.llm import mixing, quality, queries, token_files, url_filters
 from tidemark.llm.shared import clear_scratch, scratch
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -155,6 +159,30 @@ def test_pipeline(spark):
         assert stage(spark, awkward(spark), SF).count() >= 1 and stage(spark, empty(spark), SF).count() == 0
 
 
+def test_pipeline_by_definition(spark):
+    """run() against plain versions of its four stages: densities, exact set similarities, the mixture's SQL, the library."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    kept = [i for i, s in plain_scores(spark, SF).items() if s >= quality.THRESHOLD]
+    words = {i: (docs[i].text or "").encode().lower().split() for i in kept}
+    sets = {i: {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    linked = [(a, b) for a in kept for b in kept if a > b and (not sets[a] and not sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0)]
+    stay = set(groups(kept, linked).values())
+    assert len(stay) < len(kept) < len(docs)
+    con = duckdb.connect()
+    con.register("documents", pa.table({c: [docs[i][c] for i in sorted(stay)] for c in ("doc_id", "text", "source")}))
+    cur = con.execute(mixing.sql())
+    at = [[d[0] for d in cur.description].index(c) for c in ("doc_id", "shards")]
+    want = collections.Counter()
+    for r in cur.fetchall():
+        want[r[at[0]]] += len(r[at[1]].split(",")) if r[at[1]] else 0
+    word = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert collections.Counter(r.doc_id for r in got) == +want
+    for r in got:
+        ids = word.encode(docs[r.doc_id].text or "", add_special_tokens=False).ids
+        assert (r.text, r.ids, r.n_tokens, r.decoded) == (docs[r.doc_id].text, ids, len(ids), word.decode(ids, skip_special_tokens=False))
+
+
 def test_entries_in_force_have_no_last_day(spark):
     days = ["2023-12-31", "2024-01-01", "2199-12-31", "2200-01-01", "9999-12-31"]
     captures = spark.createDataFrame([(f"http://{h}/x", d) for h in ("a.b", "c.d", "e.f") for d in days], "url string, fetched string").selectExpr("url", "cast(fetched as date) as fetched")
