@@ -2,7 +2,7 @@
 
 Flat methods (naive30, naive90, blend, ewma) are window averages; structural adds weekday effects and repeats recurring
 payments; ols_damped takes the weekday means away, fits one slope to what is left, and damps it ahead. Hazards replay
-blocks of past days in an order that md5 draws. Everything is aggregates and folds over arrays of 90 days at most.
+blocks of past days in an order that a hash draws. Everything is aggregates and folds over arrays of 90 days at most.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def alert(rates: DataFrame, hazard: DataFrame, method: str = "naive90", alert_at
 def hazard(daily: DataFrame, seed: int = 0, sims: int = 500, block: int = 7) -> DataFrame:
     """(business_id, hazard_30d, hazard_60d, hazard_90d): the share of replayed paths below zero within each horizon.
 
-    A path joins blocks of consecutive past days from today's balance; md5 of seed, business, path and place draws where
+    A path joins blocks of consecutive past days from today's balance; a hash of seed, business and path draws where
     each begins. Every possible block is summed once for its length and its lowest points, so a path costs a step a block.
     """
     d = daily.where("dbe < 90").groupBy("business_id").agg(F.expr("transform(array_sort(collect_list(struct(date, net))), x -> x.net)").alias("nets"), F.expr("max_by(eod, date)").alias("balance"))
@@ -85,10 +85,14 @@ def hazard_of(d: DataFrame, seed: int = 0, sims: int = 500, block: int = 7) -> D
     tail = {h: h - block * (-(-h // block) - 1) for h in HORIZONS}  # days of a horizon's last block
     lows = ", ".join(f"'l{n}', if(k < {n}, least(a.l{n}, a.s + nets[least(i + k, size(nets) - 1)]), a.l{n})" for n in sorted({*tail.values(), block}))
     start = "named_struct('s', 0L, " + ", ".join(f"'l{n}', 9223372036854775807L" for n in sorted({*tail.values(), block})) + ")"
+    # a row a business is little to ship and much to work on: a fixed number of partitions keeps it from being coalesced
+    d = d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "business_id")
     d = d.withColumn("m", F.expr(f"greatest(size(nets) - {block}, 1)"))
     d = d.withColumn("blocks", F.expr(f"transform(sequence(0, m - 1), i -> aggregate(sequence(0, {block - 1}), {start}, (a, k) -> named_struct('s', a.s + nets[least(i + k, size(nets) - 1)], {lows})))"))
     d = d.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    pick = f"blocks[cast(conv(substring(md5(concat_ws('|', '{seed}', business_id, sim, j)), 1, 8), 16, 10) as bigint) % m]"
+    # 16 bits of the path's hash for each of up to 16 blocks
+    d = d.withColumn("hash", F.expr(f"sha2(concat_ws('|', '{seed}', business_id, sim), 256)"))
+    pick = "blocks[cast(conv(substring(hash, 1 + 4 * j, 4), 16, 10) as int) % m]"
     d = d.withColumn("drawn", F.expr(f"transform(sequence(0, {steps - 1}), j -> {pick})"))
     first = "named_struct('j', 0, 'at', balance, 'low', 9223372036854775807L, " + ", ".join(f"'h{h}', 9223372036854775807L" for h in HORIZONS) + ")"
     seen = ", ".join(f"'h{h}', if(a.j = {-(-h // block) - 1}, least(a.low, a.at + e.l{tail[h]}), a.h{h})" for h in HORIZONS)

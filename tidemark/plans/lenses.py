@@ -108,7 +108,7 @@ def forecast_ols_damped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HAZARD_SQL = """
 hn AS (SELECT business_id, list(net ORDER BY date) AS nets, max_by(eod, date) AS balance FROM dly WHERE dbe < 90 GROUP BY 1),
-hs AS (SELECT business_id, nets, balance, sim, j, CAST('0x' || substr(md5('0|' || business_id || '|' || sim || '|' || j), 1, 8) AS BIGINT) % greatest(len(nets) - 7, 1) AS i FROM hn, (SELECT unnest(range(0, 500)) AS sim), (SELECT unnest(range(0, 13)) AS j)),
+hs AS (SELECT business_id, nets, balance, sim, j, CAST('0x' || substr(sha256('0|' || business_id || '|' || sim), CAST(1 + 4 * j AS INTEGER), 4) AS BIGINT) % greatest(len(nets) - 7, 1) AS i FROM hn, (SELECT unnest(range(0, 500)) AS sim), (SELECT unnest(range(0, 13)) AS j)),
 hd AS (SELECT business_id, sim, 7 * j + k AS day, balance, nets[least(i + k, len(nets) - 1) + 1] AS net FROM hs, (SELECT unnest(range(0, 7)) AS k) WHERE 7 * j + k < 90),
 hp AS (SELECT business_id, sim, day, balance + sum(net) OVER (PARTITION BY business_id, sim ORDER BY day) AS pos FROM hd),
 hm AS (SELECT business_id, sim, min(pos) FILTER (day < 30) AS a, min(pos) FILTER (day < 60) AS b, min(pos) AS c FROM hp GROUP BY ALL),
