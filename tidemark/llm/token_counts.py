@@ -36,40 +36,50 @@ def zipf(pieces: list[str]) -> dict[str, int]:
 
 
 class TrieCounter:
-    """The trie over pre-tokens. A node: its children, the best score and the tokens of its prefix."""
+    """The trie over pre-tokens. A node: its children by character, at 0 the best score and at 1 the tokens of its prefix."""
 
     def __init__(self, scores: dict[str, int], byte_score: int):
         self.scores, self.byte_score = scores, byte_score
-        self.tails = {p[k:] for p in scores for k in range(len(p))}  # what a piece may end in
-        self.root: list = [{}, 0, 0]
+        self.endings: dict = {}  # pieces from their last character to the first; the score of a whole piece at None
+        for p, s in scores.items():
+            node = self.endings
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[None] = s
+        self.root: dict = {0: 0, 1: 0}
         self.nodes = 0
         self.known: dict[bytes, tuple[int, int]] = {}
 
     def insert(self, word: str) -> tuple[int, int]:
         """(score, tokens) at the word's terminal node."""
         if self.nodes > NODES:
-            self.root, self.nodes = [{}, 0, 0], 0
+            self.root, self.nodes = {0: 0, 1: 0}, 0
         node, path = self.root, [self.root]
-        for i, c in enumerate(word, 1):
-            if (child := node[0].get(c)) is None:
-                child = self._node(word, i, path)
-                node[0][c] = child
-                self.nodes += 1
-            node = child
+        for c in word:
+            if (node := node.get(c)) is None:
+                break
             path.append(node)
-        return node[1], node[2]
-
-    def _node(self, word: str, i: int, path: list) -> list:
-        n = len(word[i - 1].encode("utf-8", "replace"))
-        score, tokens = path[i - 1][1] + n * self.byte_score, path[i - 1][2] + n
-        for j in range(i - 1, -1, -1):
-            if (piece := word[j:i]) not in self.tails:
+        for i in range(len(path), len(word) + 1):
+            node = path[-1][word[i - 1]] = self._node(word, i, path)
+            path.append(node)
+            self.nodes += 1
+        return path[-1][0], path[-1][1]
+
+    def _node(self, word: str, i: int, path: list) -> dict:
+        """The node of the word's first i characters, from its ancestors: pieces that end here are read backwards."""
+        c, last = word[i - 1], path[i - 1]
+        n = 1 if c < "\x80" else len(c.encode("utf-8", "replace"))
+        score, tokens = last[0] + n * self.byte_score, last[1] + n
+        ending, j = self.endings, i
+        while j:
+            j -= 1
+            if (ending := ending.get(word[j])) is None:
                 break
-            if (s := self.scores.get(piece)) is not None:
-                new, k = path[j][1] + s, path[j][2] + 1
+            if (s := ending.get(None)) is not None:
+                new, k = path[j][0] + s, path[j][1] + 1
                 if new > score or (new == score and k < tokens):
                     score, tokens = new, k
-        return [{}, score, tokens]
+        return {0: score, 1: tokens}
 
     def count(self, text: bytes) -> tuple[int, int, int]:
         """(words, tokens, score) of a whole text."""
