@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, embeddings, language_model, media, mixing, quality, simhash, token_counts, token_files, url_filters
+from . import bpe_automaton, embeddings, fill_in_middle, language_model, licenses, media, mixing, quality, simhash, token_counts, token_files, url_filters, whitening
 from .shared import crc32_of
 
 
@@ -94,7 +94,34 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_embeddings": op1_embeddings, "op2_url_filters": op2_url_filters, "op3_media": op3_media, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_lm": op8_lm, "op9_simhash": op9_simhash, "op10_token_files": op10_token_files}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = fill_in_middle.restore(fill_in_middle.transform(docs))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model)
+    rows = whitening.transform(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.element_at(F.array(*map(F.lit, model.explained or [0.0])), F.col("place") + 1)
+    return rows.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.expr("try_cast(deviation as bigint)").alias("deviation"), "whitened", explained.alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = licenses.scan(docs)
+    label = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    n_base = F.size("places").cast("long")
+    best = F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))
+    return rows.select(
+        "doc_id", "n_words", n_base.alias("n_base"), F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
+        label(F.col("places.label")).alias("base_labels"), label(F.concat("places.label", "blocks.label")).alias("labels"), F.when(n_base > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
+QUERIES = {"op1_embeddings": op1_embeddings, "op2_url_filters": op2_url_filters, "op3_media": op3_media, "op4_token_counts": op4_token_counts, "op5_bpe": op5_bpe, "op6_quality": op6_quality, "op7_mixing": op7_mixing, "op8_lm": op8_lm, "op9_simhash": op9_simhash, "op10_token_files": op10_token_files, "op11_fill_in_middle": op11_fill_in_middle, "op12_whitening": op12_whitening, "op13_licenses": op13_licenses}
 SQL: dict[str, str] = {}
 
 SQL["op1_embeddings"] = """
@@ -132,3 +159,17 @@ v AS (SELECT p.host, p.fetched, t.list, t.domain, t.day AS since,
 SELECT p.page_id, p.host, p.fetched, v.list AS verdict, v.domain AS listed_domain, v.since
 FROM p LEFT JOIN v ON p.host = v.host AND p.fetched = v.fetched AND v.r = 1
 """
+
+SQL["op11_fill_in_middle"] = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tok, sha256('1:' || doc_id) AS d FROM documents),
+g AS (SELECT *, len(tok)::BIGINT AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, array_to_string(tok[1:a], '') AS prefix, array_to_string(tok[a + 1:b], '') AS middle, array_to_string(tok[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+SQL["op13_licenses"] = licenses.sql()

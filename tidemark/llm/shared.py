@@ -115,3 +115,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     found = links.groupBy("u").agg(F.min("v").alias("component"))
     roots = found.select(F.col("component").alias("id"), "component").distinct()
     return found.select(F.col("u").alias("id"), "component").unionByName(roots)
+
+
+#: Bytes that Spark hands to a Python function at a time, but for a single longer row.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """small_batches, and a bound in bytes too: many long texts never stand in one Arrow batch. A session with a lower bound keeps it."""
+    small_batches(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
