@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import MEAN_RANK, TOTAL, matched, ranked_values
+
 #: Evidence classes from the strongest to the weakest.
 EVIDENCE = ("bank_feed", "registry", "derived", "declared", "generated")
 #: Explanations of screen rules in two languages; {} is the rule's subject.
@@ -18,10 +20,8 @@ TEMPLATES = {
 
 def percent_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """df with pct: each value's mean rank inside its group as a share of the group's size. Values are counted before they are ranked, so ties cost one row."""
-    c = df.where(f"{value} is not null").groupBy(*by, value).agg(F.count("*").alias("_m"))
-    part = f"partition by {', '.join(by)}"
-    c = c.withColumn("pct", F.expr(f"(sum(_m) over ({part} order by {value}) - (_m - 1) / 2.0D) / sum(_m) over ({part})")).drop("_m")
-    return df.join(c, [*by, value], "left")
+    ranks = ranked_values(df, by, value).select(*by, value, F.expr(f"{MEAN_RANK} / {TOTAL}").alias("pct"))
+    return matched(df, ranks, [*by, value], "left")
 
 
 def log_factorial(n: Column) -> Column:

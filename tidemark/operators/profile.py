@@ -97,7 +97,12 @@ DAILY: dict[str, tuple] = {
 
 def daily_features(daily: DataFrame, min_coverage: int = MIN_COVERAGE, arrays: bool = False) -> DataFrame:
     """business_id, status, coverage and history days, and the daily features; a business below the coverage gate has only its coverage. arrays: also the last net flows in order and the balance, for hazards."""
-    s = daily_stats(daily).withColumn("longest", longest_run()).withColumn("cusum", cusum_recency()).withColumn("shock", shock_absorption())
+    return features_of(daily_stats(daily).withColumn("longest", longest_run()), min_coverage, arrays)
+
+
+def features_of(stats: DataFrame, min_coverage: int = MIN_COVERAGE, arrays: bool = False) -> DataFrame:
+    """The daily features from the statistics of a trailing window, however they were gathered."""
+    s = stats.withColumn("cusum", cusum_recency()).withColumn("shock", shock_absorption())
     s = s.withColumn("m_in", F.expr("sum_in / 100.0D / (n / 30.0D)")).withColumn("m_out", F.expr("sum_out / 100.0D / (n / 30.0D)"))
     s = s.withColumn("p_in", F.expr("if(n_prior > 0, prior_in / 100.0D / (n_prior / 30.0D), 0.0D)")).withColumn("p_out", F.expr("if(n_prior > 0, prior_out / 100.0D / (n_prior / 30.0D), 0.0D)"))
     s = s.withColumn("down", F.expr("sqrt(down2 / greatest(n - 1, 1))")).withColumn("up", F.expr("sqrt(up2 / greatest(n - 1, 1))")).withColumn("asym", F.expr(f"down / greatest(up, {EPS}D / 30)"))

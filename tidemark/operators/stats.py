@@ -1,48 +1,36 @@
-"""Evaluation statistics as aggregates and windows: AUC, rank correlation, distances, bootstraps, folds and detector scores."""
+"""Evaluation statistics over ranks and aggregates: AUC, rank correlation, distances, folds and detector scores."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def average_rank(df: DataFrame, value: str, out: str, by: list[str] = ()) -> DataFrame:
-    """df with ranks from 1 up, ties at their mean."""
-    part = f"partition by {', '.join(by)} " if by else ""
-    return df.withColumn(out, F.expr(f"rank() over ({part}order by {value}) + (count(*) over (partition by {', '.join([*by, value])}) - 1) / 2.0D"))
+from ..functions.storage import saved
+from .ranks import BELOW, MEAN_RANK, SIZE, TOTAL, matched, positions, ranked_values, row_numbers
 
 
 def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """(by, auc, n, n_pos): the rank statistic with mean ranks for ties. Scores are counted before they are ranked, so tied rows cost one."""
-    c = df.where(f"{score} is not null and {label} is not null").groupBy(*by, score).agg(F.expr(f"count_if({label} = 1)").alias("p"), F.count("*").alias("m"))
-    part = f"partition by {', '.join(by)}"
-    c = c.withColumn("r", F.expr(f"sum(m) over ({part} order by {score}) - (m - 1) / 2.0D"))
-    a = c.groupBy(*by).agg(F.sum(F.col("r") * F.col("p")).alias("s"), F.sum("p").alias("n_pos"), F.sum("m").alias("n"))
+    c = ranked_values(df.where(f"{label} is not null"), by, score, F.expr(f"count_if({label} = 1)").alias("p"))
+    a = c.groupBy(*by).agg(F.expr(f"sum({MEAN_RANK} * p)").alias("s"), F.sum("p").alias("n_pos"), F.sum(SIZE).alias("n"))
     return a.select(*by, F.expr("try_divide(s - n_pos * (n_pos + 1) / 2.0D, n_pos * (n - n_pos))").alias("auc"), "n", "n_pos")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by, rho): Pearson's correlation of mean ranks; null without variation."""
-    d = df.where(f"{x} is not null and {y} is not null")
-    d = average_rank(average_rank(d, x, "_rx", by), y, "_ry", by)
-    return d.groupBy(*by).agg(F.expr("try_divide(covar_pop(_rx, _ry), stddev_pop(_rx) * stddev_pop(_ry))").alias("rho"))
-
-
-def resamples(df: DataFrame, key: str, b: int, seed: str) -> DataFrame:
-    """b Poisson bootstrap weights for every row, from md5 of seed, draw and key: the rows a draw keeps, with their weight. No row needs to know of another."""
-    d = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "draw", F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    # cut points of a Poisson law of mean 1: e^-1, 2 e^-1, 2.5 e^-1, 2.6666... e^-1
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    return d.withColumn("weight", reduce(lambda a, c: a + (u >= c).cast("int"), cuts, F.lit(0))).where("weight > 0")
+    """(by, rho): Pearson's correlation of mean ranks; null without variation. Pairs are counted before they meet their ranks, so rows alike cost one."""
+    pairs = saved(df.where(f"{x} is not null and {y} is not null").groupBy(*by, x, y).agg(F.count("*").alias("_n")))
+    for value, out in ((x, "_rx"), (y, "_ry")):
+        counted = pairs.groupBy(*by, value).agg(F.sum("_n").alias(SIZE))
+        ranks = positions(counted, by, [value], SIZE).select(*by, value, F.expr(f"{MEAN_RANK} - ({TOTAL} + 1) / 2.0D").alias(out))
+        pairs = matched(pairs, ranks, [*by, value])
+    sums = pairs.groupBy(*by).agg(*(F.expr(f"sum(_n * {a} * {b})").alias(n) for n, a, b in (("xy", "_rx", "_ry"), ("xx", "_rx", "_rx"), ("yy", "_ry", "_ry"))))
+    return sums.select(*by, F.expr("try_divide(xy, sqrt(xx) * sqrt(yy))").alias("rho"))
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: str) -> DataFrame:
     """df with a fold 0 to k-1, stratified by label: the rank of a hash inside the label's rows, mod k."""
     h = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary"))
-    return df.withColumn("_h", h).withColumn("fold", F.expr(f"(row_number() over (partition by {label} order by _h, {key}) - 1) % {k}")).drop("_h")
+    return row_numbers(df.withColumn("_h", h), [label], ["_h", key]).withColumn("fold", F.col(BELOW) % k).drop("_h", BELOW)
 
 
 def distances(df: DataFrame, category: str, a: str, b: str, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import anomaly as A
 from ..operators import forecast as C
 from ..operators import profile as P
+from ..operators import resampling as B
 from ..operators import rules as R
 from ..operators import stats as S
 from ..sources import ledger as L
@@ -366,11 +367,7 @@ da AS (SELECT feature, draw, (sum(r * p) - sum(p) * (sum(p) + 1) / 2.0::DOUBLE)
 SELECT feature, round(quantile_cont(auc, 0.025), 6) AS low, round(median(auc), 6) AS mid, round(quantile_cont(auc, 0.975), 6) AS high FROM da GROUP BY 1""")
 def feature_auc_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bootstrap interval of each feature's AUC; draws come from md5, so any engine repeats them."""
-    d = S.resamples(labelled(spark, sf_dir).where("score is not null"), "business_id", 1000, "auc")
-    c = d.groupBy("feature", "draw", "score").agg(F.sum("weight").alias("m"), F.sum(F.col("weight") * F.col("label")).alias("p"))
-    c = c.withColumn("r", F.expr("sum(m) over (partition by feature, draw order by score) - (m - 1) / 2.0D"))
-    a = c.groupBy("feature", "draw").agg(F.expr("try_divide(sum(r * p) - sum(p) * (sum(p) + 1) / 2.0D, sum(p) * (sum(m) - sum(p)))").alias("auc"))
-    return rounded(a.groupBy("feature").agg(F.expr("percentile(auc, 0.025)").alias("low"), F.expr("median(auc)").alias("mid"), F.expr("percentile(auc, 0.975)").alias("high")))
+    return rounded(B.auc_interval(labelled(spark, sf_dir), "score", "label", "business_id", ["feature"]))
 
 
 @register("""s AS (SELECT sector, business_id, sum(inflow) AS a, sum(outflow) AS b FROM dly JOIN biz USING (business_id, window_end) GROUP BY ALL), r AS (SELECT sector, rank() OVER (PARTITION BY sector ORDER BY a) + (count(*) OVER (PARTITION BY sector, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY sector ORDER BY b) + (count(*) OVER (PARTITION BY sector, b) - 1) / 2.0::DOUBLE AS rb FROM s)

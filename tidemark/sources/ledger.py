@@ -17,15 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """business_id, window_end, operating_start_date, data_source, sector, declared_mcc, population, opening_cents."""
+def businesses(spark: SparkSession, sf_dir: str, more_days: int = 0) -> DataFrame:
+    """business_id, window_end, operating_start_date, data_source, sector, declared_mcc, population, opening_cents. more_days: by how much the operating period starts earlier."""
     s = table(spark, sf_dir, "supplier")
     end = F.expr(f"date_sub(date'{AS_OF}', cast(s_suppkey % 3 * 10 as int))")
     days = F.expr("case s_suppkey % 10 when 0 then 149 when 1 then 39 else 179 end")
     real = F.expr("s_suppkey % 7 = 0")
     sector = F.expr("element_at(array('construction', 'professional_services', 'food_beverage', 'retail_trade'), cast(s_nationkey % 4 + 1 as int))")
     return s.select(
-        F.col("s_suppkey").alias("business_id"), end.alias("window_end"), F.date_sub(end, days.cast("int")).alias("operating_start_date"),
+        F.col("s_suppkey").alias("business_id"), end.alias("window_end"), F.date_sub(end, (days + more_days).cast("int")).alias("operating_start_date"),
         F.when(real, "external_real").otherwise("synthetic").alias("data_source"), F.when(real, "not_available_in_source").otherwise(sector).alias("sector"),
         F.expr("case s_suppkey % 6 when 0 then '5411' when 1 then '5813' when 2 then '5999' when 3 then '12a4' when 4 then ' 7995 ' end").alias("declared_mcc"),
         F.when(F.expr("s_suppkey % 4 = 3"), "serving").otherwise("research").alias("population"), F.expr("20 * cast(round(s_acctbal * 100) as bigint)").alias("opening_cents"),
@@ -52,9 +52,9 @@ def clipped(tx: DataFrame, biz: DataFrame) -> DataFrame:
     return tx.join(b, "business_id").where("date between operating_start_date and window_end").withColumn("dbe", F.datediff("window_end", "date"))
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily(spark: SparkSession, sf_dir: str, more_days: int = 0) -> DataFrame:
     """Every business on every day of its operating period: totals and counts by direction, recurring outflow, net flow and closing balance, in cents."""
-    biz = businesses(spark, sf_dir)
+    biz = businesses(spark, sf_dir, more_days)
     t = clipped(transactions(spark, sf_dir), biz)
     sums = t.groupBy("business_id", "date").agg(
         F.expr("sum(if(direction = 'in', cents, 0))").alias("inflow"), F.expr("count_if(direction = 'in')").alias("inflow_count"),
@@ -148,3 +148,9 @@ ev AS (SELECT event_id AS transaction_id, user_id AS business_id, CAST(ts AS DAT
   CASE WHEN event_type IN ('purchase', 'error') THEN 'out' ELSE 'in' END AS direction, CAST(round(value * 100) AS BIGINT) AS cents,
   CASE WHEN event_id % 20 > 0 THEN json_extract_string(props, '$.k') END AS counterparty_id, event_type AS category FROM events)
 """
+
+
+def sql(more_days: int) -> str:
+    """SQL with operating periods that start earlier."""
+    days = "ELSE 179 END AS INTEGER) AS operating_start_date"
+    return SQL.replace(days, f"ELSE 179 END + {more_days} AS INTEGER) AS operating_start_date")
