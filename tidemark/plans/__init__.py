@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
-    from . import adapters, generated, history, intervals, measures, registry, runs, training  # noqa: F401  (each adds its own)
+    from . import adapters, checks, generated, history, intervals, measures, registry, runs, training  # noqa: F401  (each adds its own)
 
     return dict(adapters.QUERIES)
 
