@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .extensions import Methods
+
 HORIZONS, HALF_LIFE, DAMPING, MIN_DAYS = (30, 60, 90), 21.0, 0.5, 30
 
 
@@ -53,6 +55,10 @@ def ols_damped_path(daily: DataFrame, horizon: int = 90, damping: float = DAMPIN
     return ahead.select("business_id", "day", "balance", F.expr(f"coalesce(p.y0, 0.0D) + slope * ({damping}D * day - coalesce(p.t0, 0.0D))").alias("net"))
 
 
+#: Methods that give a path day by day: daily to (business_id, day, balance, net). add() puts one beside them in forecast_selection.
+PATHS = Methods({"structural": structural_path, "ols_damped": ols_damped_path})
+
+
 def path_summary(path: DataFrame, horizons=HORIZONS) -> DataFrame:
     """A row for each business and horizon of a day-by-day path: net flow, balance, minimum and the first day below zero."""
     p = path.withColumn("at", F.expr("balance + sum(net) over (partition by business_id order by day rows unbounded preceding)"))

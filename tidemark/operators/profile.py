@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .extensions import Registry
+
 EPS, CAP, MIN_HISTORY, MIN_COVERAGE = 500.0, 300.0, 180, 10
 CUSUM_K, CUSUM_H = 0.5, 5.0
 
@@ -28,26 +30,29 @@ def with_features(df: DataFrame, features: dict[str, tuple]) -> DataFrame:
     return df.withColumns(made)
 
 
-def daily_stats(daily: DataFrame) -> DataFrame:
-    """A row for each business: sums over its trailing and prior 90 days and the ordered trailing window."""
+#: What the one aggregate of a trailing window offers.
+STATISTICS = {
+    "history_days": "count(*)", "n": "count_if(cur)", "n_prior": "count_if(dbe between 90 and 179)", "coverage_days_90d": "count_if(cur and inflow_count + outflow_count > 0)",
+    "sum_in": "sum(if(cur, inflow, 0))", "sum_out": "sum(if(cur, outflow, 0))", "sum_rec": "sum(if(cur, recurring, 0))", "cnt_in": "sum(if(cur, inflow_count, 0))", "cnt_out": "sum(if(cur, outflow_count, 0))",
+    "prior_in": "sum(if(dbe between 90 and 179, inflow, 0))", "prior_out": "sum(if(dbe between 90 and 179, outflow, 0))",
+    "prior_mean": "avg(if(dbe between 90 and 179, inflow, null))", "prior_sd": "stddev_pop(if(dbe between 90 and 179, inflow, null))",
+    "in_days": "count_if(cur and inflow_count > 0)", "gap_mean": "avg(gap)", "gap_sd": "stddev_pop(gap)", "net_sd": "stddev_pop(if(cur, net, null))", "negative": "count_if(cur and eod < 0)", "islands": "count_if(opens)",
+    "eod_mean": "avg(if(cur, eod, null))", "eod_min": "min(if(cur, eod, null))", "eod_last": "max_by(eod, date)", "net30": "avg(if(dbe < 30, net, null))",
+    "slope": "regr_slope(if(dbe < 30, eod, null), if(dbe < 30, pos, null))", "n_op": "count_if(cur and not weekend)", "gaps_op": "count_if(cur and not weekend and inflow_count + outflow_count = 0)",
+    "autocorr": "try_divide(covar_pop(net, net7), stddev_pop(if(net7 is null, null, net)) * stddev_pop(net7))", "pairs7": "count(net7)", "down2": "sum(if(cur and net < 0, pow(net / 100.0D, 2), 0.0D))", "up2": "sum(if(cur and net > 0, pow(net / 100.0D, 2), 0.0D))",
+    "days": "array_sort(collect_list(if(cur, struct(date, inflow, outflow, recurring, net, eod), null)))",
+}
+
+
+def daily_stats(daily: DataFrame, names: set[str] | None = None) -> DataFrame:
+    """A row for each business: sums over its trailing and prior 90 days and the ordered trailing window, or those named only."""
     over = "over (partition by business_id order by date"
     d = daily.withColumn("pos", F.expr(f"row_number() {over})")).withColumn("cur", F.expr("dbe < 90"))
     d = d.withColumn("seen", F.expr(f"last(if(cur and inflow_count > 0, pos, null), true) {over} rows between unbounded preceding and 1 preceding)"))
     d = d.withColumn("gap", F.expr("if(cur and inflow_count > 0, pos - seen, null)"))
     d = d.withColumn("net7", F.expr(f"if(dbe < 83, lag(net, 7) {over}), null)")).withColumn("opens", F.expr(f"cur and eod < 0 and not coalesce(if(dbe < 89, lag(eod) {over}) < 0, false), false)"))
-    sums = {
-        "history_days": "count(*)", "n": "count_if(cur)", "n_prior": "count_if(dbe between 90 and 179)", "coverage_days_90d": "count_if(cur and inflow_count + outflow_count > 0)",
-        "sum_in": "sum(if(cur, inflow, 0))", "sum_out": "sum(if(cur, outflow, 0))", "sum_rec": "sum(if(cur, recurring, 0))", "cnt_in": "sum(if(cur, inflow_count, 0))", "cnt_out": "sum(if(cur, outflow_count, 0))",
-        "prior_in": "sum(if(dbe between 90 and 179, inflow, 0))", "prior_out": "sum(if(dbe between 90 and 179, outflow, 0))",
-        "prior_mean": "avg(if(dbe between 90 and 179, inflow, null))", "prior_sd": "stddev_pop(if(dbe between 90 and 179, inflow, null))",
-        "in_days": "count_if(cur and inflow_count > 0)", "gap_mean": "avg(gap)", "gap_sd": "stddev_pop(gap)", "net_sd": "stddev_pop(if(cur, net, null))", "negative": "count_if(cur and eod < 0)", "islands": "count_if(opens)",
-        "eod_mean": "avg(if(cur, eod, null))", "eod_min": "min(if(cur, eod, null))", "eod_last": "max_by(eod, date)", "net30": "avg(if(dbe < 30, net, null))",
-        "slope": "regr_slope(if(dbe < 30, eod, null), if(dbe < 30, pos, null))", "n_op": "count_if(cur and not weekend)", "gaps_op": "count_if(cur and not weekend and inflow_count + outflow_count = 0)",
-        "autocorr": "try_divide(covar_pop(net, net7), stddev_pop(if(net7 is null, null, net)) * stddev_pop(net7))", "pairs7": "count(net7)", "down2": "sum(if(cur and net < 0, pow(net / 100.0D, 2), 0.0D))", "up2": "sum(if(cur and net > 0, pow(net / 100.0D, 2), 0.0D))",
-        "days": "array_sort(collect_list(if(cur, struct(date, inflow, outflow, recurring, net, eod), null)))",
-    }
     d = d.withColumn("weekend", F.expr("if(data_source = 'external_real', weekday(date) in (5, 6), weekday(date) in (4, 5))"))
-    return d.groupBy("business_id", "window_end", "data_source").agg(*(F.expr(e).alias(k) for k, e in sums.items()))
+    return d.groupBy("business_id", "window_end", "data_source").agg(*(F.expr(e).alias(k) for k, e in STATISTICS.items() if names is None or k in names))
 
 
 def longest_run() -> Column:
@@ -95,23 +100,50 @@ DAILY: dict[str, tuple] = {
 }
 
 
-def daily_features(daily: DataFrame, min_coverage: int = MIN_COVERAGE, arrays: bool = False) -> DataFrame:
-    """business_id, status, coverage and history days, and the daily features; a business below the coverage gate has only its coverage. arrays: also the last net flows in order and the balance, for hazards."""
-    return features_of(daily_stats(daily).withColumn("longest", longest_run()), min_coverage, arrays)
+#: Columns made of statistics: what they read, and how.
+DERIVED: dict[str, tuple] = {
+    "longest": (("days",), longest_run), "cusum": (("days", "prior_mean", "prior_sd"), cusum_recency), "shock": (("days",), shock_absorption),
+    "m_in": (("sum_in", "n"), "sum_in / 100.0D / (n / 30.0D)"), "m_out": (("sum_out", "n"), "sum_out / 100.0D / (n / 30.0D)"),
+    "p_in": (("prior_in", "n_prior"), "if(n_prior > 0, prior_in / 100.0D / (n_prior / 30.0D), 0.0D)"), "p_out": (("prior_out", "n_prior"), "if(n_prior > 0, prior_out / 100.0D / (n_prior / 30.0D), 0.0D)"),
+    "down": (("down2", "n"), "sqrt(down2 / greatest(n - 1, 1))"), "up": (("up2", "n"), "sqrt(up2 / greatest(n - 1, 1))"), "asym": (("down", "up"), f"down / greatest(up, {EPS}D / 30)"),
+    "burn_floor": (("net30",), f"greatest(-net30 / 100, {EPS}D / 30)"),
+}
+#: Every daily feature; add() puts one beside them for all that computes or lists DAILY.
+FEATURES = Registry(DAILY, lambda: {*STATISTICS, *DERIVED})
+_ALWAYS = ("m_in", "m_out", "net30", "sum_rec", "coverage_days_90d", "history_days")
+
+
+def _closed(names: set[str]) -> set[str]:
+    """names and what derived columns among them read."""
+    todo, out = list(names), set()
+    while todo:
+        name = todo.pop()
+        if name not in out:
+            out.add(name)
+            todo += DERIVED.get(name, ((),))[0]
+    return out
+
+
+def daily_features(daily: DataFrame, min_coverage: int = MIN_COVERAGE, arrays: bool = False, names: list[str] | None = None) -> DataFrame:
+    """business_id, status, coverage and history days, and the daily features; a business below the coverage gate has only its coverage. arrays: also the last net flows in order and the balance, for hazards. names: these features only, from a plan that gathers nothing else."""
+    needed = None if names is None else _closed({*FEATURES.needs(names), *_ALWAYS, *(("days", "eod_last") if arrays else ())})
+    return features_of(daily_stats(daily, needed), min_coverage, arrays, names)
 
 
-def features_of(stats: DataFrame, min_coverage: int = MIN_COVERAGE, arrays: bool = False) -> DataFrame:
+def features_of(stats: DataFrame, min_coverage: int = MIN_COVERAGE, arrays: bool = False, names: list[str] | None = None) -> DataFrame:
     """The daily features from the statistics of a trailing window, however they were gathered."""
-    s = stats.withColumn("cusum", cusum_recency()).withColumn("shock", shock_absorption())
-    s = s.withColumn("m_in", F.expr("sum_in / 100.0D / (n / 30.0D)")).withColumn("m_out", F.expr("sum_out / 100.0D / (n / 30.0D)"))
-    s = s.withColumn("p_in", F.expr("if(n_prior > 0, prior_in / 100.0D / (n_prior / 30.0D), 0.0D)")).withColumn("p_out", F.expr("if(n_prior > 0, prior_out / 100.0D / (n_prior / 30.0D), 0.0D)"))
-    s = s.withColumn("down", F.expr("sqrt(down2 / greatest(n - 1, 1))")).withColumn("up", F.expr("sqrt(up2 / greatest(n - 1, 1))")).withColumn("asym", F.expr(f"down / greatest(up, {EPS}D / 30)"))
-    s = s.withColumn("burn_floor", F.expr(f"greatest(-net30 / 100, {EPS}D / 30)"))
+    needed = _closed({*FEATURES.needs(names), *_ALWAYS})
+    s = stats
+    for name, (_, made) in DERIVED.items():
+        if name in needed and name not in stats.columns:
+            s = s.withColumn(name, F.expr(made) if isinstance(made, str) else made())
     s = s.withColumn("status", F.expr(f"case when coverage_days_90d < {min_coverage} then 'insufficient_data' when history_days < {MIN_HISTORY} then 'partial_profile' else 'scored' end"))
     gate = ("status = 'insufficient_data'", "insufficient_data")
-    s = with_features(s, {k: (v, gate, *rules) for k, (v, *rules) in DAILY.items()})
+    for level in FEATURES.levels(names):
+        s = with_features(s, {k: (DAILY[k][0], gate, *DAILY[k][1:]) for k in level})
+    own = list(DAILY) if names is None else list(names)
     more = [F.expr("transform(days, x -> x.net)").alias("nets"), F.col("eod_last").alias("balance")] if arrays else []
-    return s.select("business_id", "window_end", "data_source", "status", "coverage_days_90d", "history_days", "m_in", "m_out", "net30", "sum_rec", *DAILY, *(f"{k}__reason" for k in DAILY), *more)
+    return s.select("business_id", "window_end", "data_source", "status", "coverage_days_90d", "history_days", "m_in", "m_out", "net30", "sum_rec", *own, *(f"{k}__reason" for k in own), *more)
 
 
 def counterparty_features(clipped: DataFrame) -> DataFrame:

@@ -333,8 +333,8 @@ def forecast_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     for cut, window in ((60, "select"), (30, "report")):
         past = d.where(f"dbe >= {cut}").withColumn("window_end", F.date_sub("window_end", cut)).withColumn("dbe", F.col("dbe") - cut)
         paths = C.flat_paths(C.flat_rates(past), (30,)).select("business_id", "method", "flow", "low")
-        for name, path in (("structural", C.structural_path(past)), ("ols_damped", C.ols_damped_path(past))):
-            paths = paths.unionByName(C.path_summary(path, (30,)).select("business_id", F.lit(name).alias("method"), "flow", "low"))
+        for name, method in C.PATHS.items():
+            paths = paths.unionByName(C.path_summary(method(past), (30,)).select("business_id", F.lit(name).alias("method"), "flow", "low"))
         came = d.groupBy("business_id").agg(F.expr(f"sum(if(dbe between {cut - 30} and {cut - 1}, net, null))").alias("actual"), F.expr(f"min(if(dbe between {cut - 30} and {cut - 1}, eod, null)) < 0").alias("crunch"), F.expr(f"avg(if(dbe between {cut} and {cut + 89}, abs(net), null))").alias("scale"), F.expr(f"count_if(dbe >= {cut})").alias("days")).where("days >= 90 and scale > 0")
         one = paths.join(came, "business_id").withColumn("time_window", F.lit(window))
         out = one if out is None else out.unionByName(one)
