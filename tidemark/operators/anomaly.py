@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import BELOW, TOTAL, positions
+
 REPEAT_MODES = ("off", "window", "exact", "rarity")
 ROWS, SAMPLE, BATCH = 20_000, 256, 2048
 FOREST = ["amount_z", "hour_rarity", "category_rarity", "new_counterparty", "both_directions", "direction_in"]
@@ -55,33 +57,61 @@ def features(tx: DataFrame, seasons: list[tuple[str, str]] = (), burn_in: int =
     return t.drop("_med", "_in", "_first", "_start", "any_season", "z_dir", "z_cat", "z_sea", "z_dir_n", "z_cat_n", "z_sea_n", "log_amount")
 
 
+_COUNTERPARTY = ["business_id", "counterparty_id"]
+
+
+def close_amounts(payments: DataFrame, tolerance: float = 0.01, count: str = "1") -> DataFrame:
+    """(business_id, counterparty_id, cents, m, close, above, size): for each distinct positive amount of a counterparty, how many payments have it, how many others lie within the tolerance of it, how many larger ones do not exceed it by more, and how many payments the counterparty has. count: SQL of how many
+    payments a row stands for.
+
+    Payments are counted by amount first. Each amount asks for three places in the counterparty's order, the ends of its
+    band; what lies before a place comes from ranges and prefix sums (ranks.positions). So no two payments are paired, and
+    a counterparty with a million equal payments is one row.
+    """
+    m = payments.where("cents > 0").groupBy(*_COUNTERPARTY, "cents").agg(F.expr(f"sum(cast({count} as bigint))").alias("m"))
+    near = f"abs({{b}} / double({{a}}) - 1) <= {tolerance}D"
+    around = lambda centre: f"sequence(cast(floor({centre}) as bigint) - 2, cast(floor({centre}) as bigint) + 3)"
+    low = f"get(filter({around(f'cents / (1 + {tolerance}D)')}, x -> x > 0 and {near.format(a='x', b='cents')}), 0)"
+    # the last whole amount that passes the test, from a few about the bound, which rounding may shift by one
+    last = lambda centre, test: f"array_max(concat(array(cents), filter({around(centre)}, x -> x > 0 and {test})))"
+    high, up = last(f"cents / (1 - {tolerance}D)", near.format(a="x", b="cents")), last(f"cents * (1 + {tolerance}D)", near.format(a="cents", b="x"))
+    asked = F.expr(f"array(struct(cents as at, 1 as kind, m as w, 'own' as asks), struct({low} as at, 0 as kind, 0L as w, 'low' as asks), struct({high} as at, 2 as kind, 0L as w, 'high' as asks), struct({up} as at, 2 as kind, 0L as w, 'up' as asks))")
+    placed = positions(m.select(*_COUNTERPARTY, "cents", "m", F.inline(asked)), _COUNTERPARTY, ["at", "kind"], "w")
+    place = lambda k: f"max(if(asks = '{k}', {BELOW}, null))"
+    return placed.groupBy(*_COUNTERPARTY, "cents", "m").agg(F.expr(f"{place('high')} - {place('low')} - 1").alias("close"), F.expr(f"{place('up')} - {place('own')} - max(m)").alias("above"), F.max(TOTAL).alias("size"))
+
+
 def repeats(t: DataFrame, mode: str = "exact", tolerance: float = 0.01, gap: int = 3, rarity: float = 0.01) -> DataFrame:
     """t with repeat_payment: an outflow that repeats an earlier one to the same counterparty, neither recurring.
 
     window: an amount within the tolerance, up to `gap` days before; exact: the same cents on the same day; rarity: as
-    window where close amounts are rare for the counterparty. Ordered frames hold what came before, so no self-join.
+    window where close amounts are rare for the counterparty. For window, payments alike in day and amount are one row of
+    which all but the first repeat; the first ones meet others by an equi-join on blocks of days and of the amounts'
+    logarithms, so only different amounts of a percent and of a few days meet. Amounts of zero or less repeat nothing.
     """
     if mode not in REPEAT_MODES:
         raise ValueError(f"unknown repeat mode {mode!r}")
     if mode == "off":
         return t.withColumn("repeat_payment", F.lit(False))
+    columns = t.columns
     t = t.withColumn("_own", F.expr("direction = 'out' and counterparty_id is not null and not recurring"))
-    order = "order by date, hour, transaction_id"
     if mode == "exact":
         key = "business_id, counterparty_id, date, cents, _own"
-        return t.withColumn("repeat_payment", F.expr(f"_own and row_number() over (partition by {key} {order}) > 1")).drop("_own")
-    t = t.withColumn("_day", F.datediff("date", F.lit("1970-01-01").cast("date"))).withColumn("_place", F.expr(f"row_number() over (partition by business_id, counterparty_id, _own {order})"))
-    near = f"collect_list(struct(_place as p, cents as c)) over (partition by business_id, counterparty_id, _own order by _day range between {gap} preceding and current row)"
-    t = t.withColumn("_near", F.expr(near)).withColumn("repeat_payment", F.expr(f"_own and exists(_near, x -> x.p < _place and x.c <> 0 and abs(cents / double(x.c) - 1) <= {tolerance}D)"))
+        return t.withColumn("repeat_payment", F.expr(f"_own and row_number() over (partition by {key} order by hour, transaction_id) > 1")).drop("_own")
+    own = t.where("_own and cents > 0").withColumn("_day", F.datediff("date", F.lit("1970-01-01").cast("date")))
+    alike = [*_COUNTERPARTY, "_day", "cents"]
+    first = own.groupBy(*alike).agg(F.min(F.struct("hour", "transaction_id")).alias("_first"))
+    block = first.withColumns({"_block": F.expr(f"cast(floor(ln(cents) / {2 * np.log1p(tolerance)}D) as long)"), "_days": F.expr(f"_day div {gap + 1}")})
+    spread = block.withColumn("_block", F.explode(F.array(*(F.col("_block") + k for k in (-1, 0, 1))))).withColumn("_days", F.explode(F.array("_days", F.col("_days") + 1)))
+    before, after, on = spread.alias("a"), block.alias("b"), [*_COUNTERPARTY, "_block", "_days"]
+    met = before.join(after, on).where(f"b._day - a._day between 0 and {gap} and (a._day < b._day or a._first < b._first) and abs(b.cents / double(a.cents) - 1) <= {tolerance}D")
+    hit = met.select(*_COUNTERPARTY, F.col("b._day").alias("_day"), F.col("b.cents").alias("cents")).distinct().withColumn("_met", F.lit(True))
+    t = t.withColumn("_day", F.datediff("date", F.lit("1970-01-01").cast("date"))).join(first.join(hit, alike, "left"), alike, "left")
+    t = t.withColumn("repeat_payment", F.expr("_own and cents > 0 and coalesce(_met or struct(hour, transaction_id) <> _first, false)"))
     if mode == "rarity":
-        size = "count(*) over (partition by business_id, counterparty_id, _own)"
-        # a close pair is an amount and one from it up to the tolerance above; frames on the amount's logarithm count them
-        t = t.withColumn("_log", F.expr("if(cents > 0, ln(cents), null)"))
-        close = f"count(_log) over (partition by business_id, counterparty_id, _own order by _log range between current row and {np.log1p(tolerance)}D following) - row_number() over (partition by business_id, counterparty_id, _own, _log order by transaction_id)"
-        t = t.withColumn("_size", F.expr(size)).withColumn("_close", F.expr(close))
-        rate = "sum(_close) over (partition by business_id, counterparty_id, _own) / (_size * (_size - 1) / 2.0D)"
-        t = t.withColumn("repeat_payment", F.expr(f"repeat_payment and _size > 1 and {rate} < {rarity}D")).drop("_log", "_close", "_size")
-    return t.drop("_own", "_day", "_place", "_near")
+        pairs = close_amounts(t.where("_own"), tolerance).groupBy(*_COUNTERPARTY).agg(F.expr("try_divide(sum(m * (m - 1) / 2.0D + m * above), max(size) * (max(size) - 1) / 2.0D)").alias("_rate"))
+        t = t.join(pairs, _COUNTERPARTY, "left").withColumn("repeat_payment", F.expr(f"repeat_payment and coalesce(_rate < {rarity}D, false)"))
+    return t.select(*columns, "repeat_payment")
 
 
 def rules(t: DataFrame, amount_z: float = 3.0, rare_hour: float = 0.01, new_z: float = 2.0, rare_category: float = 0.01) -> DataFrame:

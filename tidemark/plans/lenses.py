@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import saved
 from ..operators import anomaly as A
 from ..operators import forecast as C
 from ..operators import profile as P
@@ -381,15 +382,12 @@ def inflow_outflow_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 cm AS (SELECT b.transaction_id, count(*) AS close FROM ow a JOIN ow b ON a.business_id = b.business_id AND a.counterparty_id = b.counterparty_id AND a.transaction_id <> b.transaction_id AND a.cents <> 0 AND abs(b.cents / a.cents::DOUBLE - 1) <= 0.01 GROUP BY 1)
 SELECT least(close, 5) AS close_matches, count(*) AS payments FROM (SELECT coalesce(close, 0) AS close FROM ow LEFT JOIN cm USING (transaction_id)) GROUP BY 1""")
 def close_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many payments to the same counterparty lie within one per cent of each: by logarithmic blocks of amounts, so no payment meets all others."""
-    t = event_features(spark, sf_dir).where("direction = 'out' and counterparty_id is not null and not recurring").select("business_id", "counterparty_id", "transaction_id", "cents")
-    b = t.withColumn("block", F.expr("cast(floor(ln(cents) / 0.0101D) as long)")).where("cents > 0")
-    near = b.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    a, o = b.alias("a"), near.alias("o")
-    met = a.join(o, ["business_id", "counterparty_id", "block"]).where("a.transaction_id <> o.transaction_id and abs(o.cents / a.cents - 1) <= 0.01")
-    n = met.groupBy(F.col("o.transaction_id").alias("transaction_id")).agg(F.count("*").alias("close"))
-    c = t.join(n, "transaction_id", "left").withColumn("close_matches", F.least(F.coalesce("close", F.lit(0)), F.lit(5)).cast("long"))
-    return c.groupBy("close_matches").agg(F.count("*").alias("payments"))
+    """How many payments to the same counterparty lie within one per cent of each, from counts by amount: no two payments are paired."""
+    t = event_features(spark, sf_dir).where("direction = 'out' and counterparty_id is not null and not recurring").select("business_id", "counterparty_id", "cents")
+    t = saved(t.groupBy("business_id", "counterparty_id", "cents").agg(F.count("*").alias("k")))
+    c = A.close_amounts(t, count="k").select(F.least("close", F.lit(5)).cast("long").alias("close_matches"), "m")
+    c = c.unionByName(t.where("cents <= 0").select(F.lit(0).cast("long").alias("close_matches"), F.col("k").alias("m")))
+    return c.groupBy("close_matches").agg(F.sum("m").alias("payments"))
 
 
 @register("""c AS (SELECT sector, category, sum(CASE WHEN direction = 'in' THEN cents ELSE 0 END) AS a, sum(CASE WHEN direction = 'out' THEN cents ELSE 0 END) AS b FROM ct JOIN biz USING (business_id) GROUP BY ALL),
