@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidemark.operators import calibration, contracts, least_squares
+from tidemark.operators import adapter, calibration, contracts, credit, least_squares
 
 
 def test_least_squares_equals_numpy(spark):
@@ -74,3 +74,26 @@ def test_contracts_count_in_the_writing_pass(spark, tmp_path):
     df = spark.range(1000).mapInArrow(seen, "id long")
     assert list(contracts.checked_write(df, str(tmp_path / "x"), contracts.Contract("id", {"even": "id % 2 = 0"}))) == [("even", 1000, 500, 1, 999)]
     assert made.value == 1000
+
+
+def test_values_are_coerced(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("true", 1.0, True), (" No ", nan, False), ("", inf, None), ("2.5", -inf, True), ("x", None, True)], "t string, d double, b boolean")
+    got = credit.transformed(df, ["t", "d", "b"], frozenset()).collect()
+    assert [r.t for r in got] == [1.0, 0.0, None, 2.5, None] and [r.d for r in got] == [1.0, None, None, None, None] and [r.b for r in got] == [1.0, 0.0, None, 1.0, 1.0]
+    found = {r.feature: tuple(r)[1:] for r in credit.inputs(credit.transformed(df, ["t", "d", "b"], frozenset()).withColumn("none", credit.F.lit(None).cast("double")), ["t", "d", "b", "none"]).collect()}
+    assert found == {"t": (3, 0.0, 2.5, 1.0), "d": (1, 1.0, 1.0, 1.0), "b": (4, 0.0, 1.0, 1.0), "none": (0, None, None, None)}
+
+
+def test_medians_over_ranges(spark):
+    rng = np.random.default_rng(4)
+    v = np.r_[rng.integers(0, 9, 900), np.full(400, 3)].astype(float)
+    df = spark.createDataFrame([(float(x), float(i)) for i, x in enumerate(v)], "a double, b double").repartition(5)
+    found = {r.feature: r.median for r in credit.inputs(df, ["a", "b"]).collect()}
+    assert found == {"a": np.median(v), "b": np.median(np.arange(len(v)))}
+
+
+def test_pages(spark):
+    df = spark.createDataFrame([(12, "x"), (1, "x"), (21, "y"), (101, "y"), (None, "x")], "k long, s string")
+    ids = lambda *a, **b: [r.k for r in adapter.page(df, "k", *a, **b).collect()]
+    assert ids("1") == [1, 12, 101] and ids("1", offset=1, limit=1) == [12] and ids("1", s="x") == [1, 12] and ids(limit=2, offset=1) == [1, 12] and ids("9") == []

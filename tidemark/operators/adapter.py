@@ -69,3 +69,11 @@ def receipt(df: DataFrame, key: str, names: list[str]) -> DataFrame:
     """(key, receipt): SHA-256 of a row's values as canonical text, nulls marked."""
     text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in names))
     return df.select(key, F.sha2(text, 256).alias("receipt"))
+
+
+def page(df: DataFrame, key: str, id_prefix: str = "", offset: int = 0, limit: int = 50, **equal: object) -> DataFrame:
+    """A page of df in the key's order: rows whose key's text starts with id_prefix and whose columns have the given values. An empty prefix takes all; a null key never matches one."""
+    rows = df.where(F.col(key).cast("string").startswith(id_prefix)) if id_prefix else df
+    for column, value in equal.items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    return rows.orderBy(key).offset(offset).limit(limit)

@@ -8,26 +8,37 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import saved
 from . import stats as S
+from .ranks import BELOW, SIZE, TOTAL, ranked_values
 
 #: Inputs in currency, taken as signed logarithms.
 CURRENCY = frozenset(("avg_monthly_inflow", "avg_monthly_outflow", "cash_flow_volatility", "avg_daily_balance", "min_daily_balance", "runway_days_average_balance", "liquidity_trend_slope", "installment_capacity", "downside_semideviation_90d", "upside_semideviation_90d"))
 
 
-def transformed(df: DataFrame, names: list[str], currency: frozenset = CURRENCY) -> DataFrame:
-    """df with its inputs as doubles, NaN as null and currency as sign(x) ln(1 + |x|)."""
-    def one(c: str) -> Column:
-        x = F.col(c).cast("double")
-        x = F.when(~F.isnan(x), x)
-        return F.signum(x) * F.log1p(F.abs(x)) if c in currency else x
+def number(df: DataFrame, c: str) -> Column:
+    """A column as a finite double: booleans and the texts true, false, yes and no count 1 and 0, blank or other texts, NaN and infinities are null."""
+    kind, x = dict(df.dtypes)[c], F.col(f"`{c}`")
+    if kind == "string":
+        t = F.lower(F.trim(x))
+        x = F.when(t.isin("true", "yes"), 1.0).when(t.isin("false", "no"), 0.0).otherwise(t.try_cast("double"))
+    x = x.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
 
-    return df.withColumns({c: one(c) for c in names})
+def transformed(df: DataFrame, names: list[str], currency: frozenset = CURRENCY) -> DataFrame:
+    """df with its inputs as finite doubles or null, and currency as sign(x) ln(1 + |x|)."""
+    own = {c: number(df, c) for c in names}
+    return df.withColumns({c: F.signum(x) * F.log1p(F.abs(x)) if c in currency else x for c, x in own.items()})
 
 
 def inputs(df: DataFrame, names: list[str]) -> DataFrame:
-    """(feature, present, low, high, median) of transformed inputs."""
-    rows = F.array(*(F.struct(F.lit(c).alias("feature"), F.count(c).alias("present"), F.min(c).alias("low"), F.max(c).alias("high"), F.median(c).alias("median")) for c in names))
-    return df.agg(rows.alias("r")).select(F.inline("r"))
+    """(feature, present, low, high, median) of transformed inputs. Medians are the values at the middle places of ranges dealt over tasks, so no task holds a feature."""
+    long = saved(df.select(*names).unpivot([], names, "feature", "value"))
+    middle = ranked_values(long, ["feature"], "value").where(f"{BELOW} <= {TOTAL} div 2 and {TOTAL} div 2 < {BELOW} + {SIZE} or {BELOW} <= ({TOTAL} - 1) div 2 and ({TOTAL} - 1) div 2 < {BELOW} + {SIZE}")
+    medians = middle.groupBy("feature").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+    bounds = long.groupBy("feature").agg(F.count("value").alias("present"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return bounds.join(medians, "feature", "left")
 
 
 def moments(df: DataFrame, medians: dict[str, float]) -> DataFrame:

@@ -117,4 +117,10 @@ def coverage_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@register("""SELECT business_id, sector FROM biz WHERE CAST(business_id AS VARCHAR) LIKE '1%' ORDER BY business_id LIMIT 25""")
+def businesses_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of the businesses whose number starts as asked: the limit is the feature."""
+    return D.page(L.businesses(spark, sf_dir), "business_id", id_prefix="1", limit=25).select("business_id", "sector")
+
+
 __all__ = ["QUERIES", "SQL"]
