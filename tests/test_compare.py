@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.operators import compare
+from tidemark.operators import compare, verification
 
 SCHEMA = "k long, a string, b double"
 
@@ -68,3 +68,23 @@ def test_few_ranges_reach_the_scan(spark, tmp_path):
     leaves = compare.ranges(spark.createDataFrame([("a", 7)], "column string, node int"), bounds)
     plan = compare.cells(df, df, "k", leaves, bounds)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(IsNull(k),And(GreaterThanOrEqual(k,140),LessThanOrEqual(k,159)))]" in plan
+
+
+def test_audit_names_rows_and_inputs(spark, tmp_path):
+    made = spark.createDataFrame([(i, f"d{i}", i * 10) for i in range(6)], "k long, decision string, amount long")
+    one = spark.createDataFrame([(i, f"t{i % 5}", float(i)) for i in range(0, 3000, 3)], SCHEMA)
+    inputs = lambda t: {"one": (t, "k"), "two": (made, "k")}
+    names = ["k", "decision", "amount"]
+    verification.seal(made, "k", names, inputs(one), str(tmp_path / "a"))
+    audit = lambda folder, again, t: {tuple(r) for r in verification.audit(spark, str(tmp_path / folder), "k", names, again, inputs(t)).collect()}
+    assert audit("a", made, one.repartition(4)) == set()
+    again = made.where("k <> 1").selectExpr("k", "decision", "if(k = 2, 99, amount) as amount").unionByName(spark.createDataFrame([(50, "x", 1)], made.schema))
+    got = audit("a", again, one)
+    assert got == {("missing", "decisions", None, 1, 1), ("not reproduced", "decisions", None, 2, 2), ("new", "decisions", None, 50, 50)}
+    spark.read.parquet(str(tmp_path / "a/decisions")).selectExpr("k", "if(k = 4, 'forged', decision) as decision", "amount", "receipt").write.parquet(str(tmp_path / "b/decisions"))
+    spark.read.parquet(str(tmp_path / "a/inputs")).write.parquet(str(tmp_path / "b/inputs"))
+    # a cell inside, and a row whose key lies past all that were sealed
+    later = one.selectExpr("k", "if(k = 300, 'other', a) as a", "b").unionByName(spark.createDataFrame([(99_999, "t0", 1.0)], SCHEMA))
+    got = audit("b", made, later)
+    assert ("damaged row", "decisions", None, 4, 4) in got and {r[:3] for r in got if r[0] == "changed input"} == {("changed input", "one", c) for c in "kab"}
+    assert any(r[2] == "a" and r[3] <= 300 <= r[4] for r in got) and all(r[1] == "one" or r[0] != "changed input" for r in got)
