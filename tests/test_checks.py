@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import adapter, calibration, contracts, credit, least_squares
+from tidemark.operators import adapter, calibration, contracts, credit, least_squares, thinning, verification
+from tidemark.sources import files
 
 
 def test_least_squares_equals_numpy(spark):
@@ -97,3 +99,32 @@ def test_pages(spark):
     df = spark.createDataFrame([(12, "x"), (1, "x"), (21, "y"), (101, "y"), (None, "x")], "k long, s string")
     ids = lambda *a, **b: [r.k for r in adapter.page(df, "k", *a, **b).collect()]
     assert ids("1") == [1, 12, 101] and ids("1", offset=1, limit=1) == [12] and ids("1", s="x") == [1, 12] and ids(limit=2, offset=1) == [1, 12] and ids("9") == []
+
+
+def test_references_as_typed(spark):
+    h = "ab12cd34" + "0" * 56
+    rows = [(7, h, "M-7-AB12CD34"), (7, h, " m-7-ab12cd34 "), (8, h, "M-7-AB12CD34"), (7, h, "M-7-AB12CD35"), (7, h, "M-7-AB12CD3"), (7, h, "x M-7-AB12CD34"), (7, h, None), (7, h, "")]
+    df = spark.createDataFrame(rows, "k long, receipt string, typed string")
+    assert [r.matches for r in verification.matched_reference(df, "typed", "k", "receipt").collect()] == [True, True, False, False, False, False, False, False]
+    assert {r.r for r in df.select(verification.reference(F.col("k"), F.col("receipt")).alias("r")).collect()} == {"M-7-AB12CD34", "M-8-AB12CD34"}
+
+
+def test_a_year_stays_out(spark):
+    df = spark.createDataFrame([("2019-12-31",), ("2020-01-01",), ("2020-12-31",), ("2021-01-01",), (None,)], "d string").selectExpr("cast(d as date) d")
+    assert [str(r.d) for r in files.without_year(df, "d", 2020).collect()] == ["2019-12-31", "2021-01-01"]
+
+
+def test_features_of_a_thinned_ledger(spark):
+    """Windows give the whole ledger's features exactly, but for how recent a counterparty is inside one; weighting brings totals back, not counterparties."""
+    rows = [(1, i, f"c{i % 9}" if i % 10 else None, "in" if i % 4 else "out", (i * 7) % 180, 100 + i) for i in range(400)]
+    df = spark.createDataFrame(rows, "business_id long, transaction_id long, counterparty_id string, direction string, dbe int, cents long")
+    made = {n: thinning.counterparty_shares(v).first().asDict() for n, v in thinning.variants(df, 4).items()}
+    assert all(made["windows"][f] == pytest.approx(made["whole"][f]) for f in thinning.FEATURES)
+    named = [r for r in rows if r[2] is not None and r[4] < 90]
+    cin = {}
+    for r in named:
+        if r[3] == "in":
+            cin[r[2]] = cin.get(r[2], 0) + r[5]
+    assert made["whole"]["largest_single_source_ratio"] == pytest.approx(max(cin.values()) / sum(cin.values())) and made["whole"]["unique_counterparties_count"] == len({r[2] for r in named})
+    found = {(r.feature, r.variant): r for r in thinning.bias(df, 4).collect()}
+    assert all(found[f, "windows"].median_error == 0 and found[f, "windows"].businesses == 1 for f in thinning.FEATURES) and found["largest_single_source_ratio", "sampled"].median_error > 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import saved
 from . import stats as S
-from .ranks import BELOW, SIZE, TOTAL, ranked_values
+from .ranks import medians
 
 #: Inputs in currency, taken as signed logarithms.
 CURRENCY = frozenset(("avg_monthly_inflow", "avg_monthly_outflow", "cash_flow_volatility", "avg_daily_balance", "min_daily_balance", "runway_days_average_balance", "liquidity_trend_slope", "installment_capacity", "downside_semideviation_90d", "upside_semideviation_90d"))
@@ -35,10 +35,8 @@ def transformed(df: DataFrame, names: list[str], currency: frozenset = CURRENCY)
 def inputs(df: DataFrame, names: list[str]) -> DataFrame:
     """(feature, present, low, high, median) of transformed inputs. Medians are the values at the middle places of ranges dealt over tasks, so no task holds a feature."""
     long = saved(df.select(*names).unpivot([], names, "feature", "value"))
-    middle = ranked_values(long, ["feature"], "value").where(f"{BELOW} <= {TOTAL} div 2 and {TOTAL} div 2 < {BELOW} + {SIZE} or {BELOW} <= ({TOTAL} - 1) div 2 and ({TOTAL} - 1) div 2 < {BELOW} + {SIZE}")
-    medians = middle.groupBy("feature").agg(((F.min("value") + F.max("value")) / 2).alias("median"))
     bounds = long.groupBy("feature").agg(F.count("value").alias("present"), F.min("value").alias("low"), F.max("value").alias("high"))
-    return bounds.join(medians, "feature", "left")
+    return bounds.join(medians(long, ["feature"], "value"), "feature", "left")
 
 
 def moments(df: DataFrame, medians: dict[str, float]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import compare
@@ -45,3 +45,15 @@ def audit(spark: SparkSession, folder: str, key: str, names: list[str], again: D
         leaves = compare.ranges(compare.differing(before, compare.saved(compare.digest_tree(df, k, bounds[name]))), bounds[name])
         rows = rows.unionByName(leaves.select(F.lit("changed input").alias("finding"), F.lit(name).alias("table_name"), F.col("column").alias("column_name"), "first_key", "last_key"))
     return rows
+
+
+def reference(key: Column, receipt: Column) -> Column:
+    """M-{key}-{first eight digits of the receipt, large letters}: names a result, and proves nothing."""
+    return F.concat(F.lit("M-"), key.cast("string"), F.lit("-"), F.upper(F.substring(receipt, 1, 8)))
+
+
+def matched_reference(df: DataFrame, typed: str, key: str, receipt: str) -> DataFrame:
+    """df with matches: whether a reference as typed, in any case and with blanks around it, names the row's key and the start of its receipt; false for what is no reference, or null."""
+    text, form = F.upper(F.trim(typed)), r"^M-(\d+)-([0-9A-F]{8})$"
+    same = (F.regexp_extract(text, form, 1) == F.col(key).cast("string")) & F.startswith(F.upper(F.col(receipt)), F.regexp_extract(text, form, 2))
+    return df.withColumn("matches", F.coalesce(text.rlike(form) & same, F.lit(False)))

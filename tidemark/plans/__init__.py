@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 
 def queries() -> dict[str, Callable]:
-    from . import adapters, audit, checks, generated, history, intervals, measures, registry, runs, sweeps, training  # noqa: F401  (each adds its own)
+    from . import adapters, audit, checks, generated, history, intervals, measures, registry, runs, sweeps, thinning, training  # noqa: F401  (each adds its own)
 
     return dict(adapters.QUERIES)
 

@@ -81,3 +81,8 @@ def write_report(df: DataFrame, path: str, title: str) -> None:
     body = df.agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("b"))
     head = f"# {title}\n\n| " + " | ".join(names) + " |\n|" + "-|" * len(names) + "\n"
     body.select(F.concat(F.lit(head), F.col("b")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def without_year(df: DataFrame, column: str, year: int) -> DataFrame:
+    """df without the rows of a year that isn't typical; rows without a date stay out too, as their year isn't known."""
+    return df.where(F.year(column) != year)
