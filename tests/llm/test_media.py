@@ -107,3 +107,6 @@ def test_names_that_clash(spark):
     out = M.to_png(awkward(spark, ["media"]))
     assert out.columns[-2:] == ["media", "_media"] and {r.media for r in out.collect()} == {"x"}
     assert M.read_media(out, "_media").count() == len(ROWS)
+    back = M.read_media(M.to_png(awkward(spark, ["payload_bytes", "Low_Hash"])))
+    assert back.columns[-8:] == ["payload_bytes", "Low_Hash", "_payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "_low_hash"]
+    assert back.where("payload_bytes = 'x' and _payload_bytes % 64 = 0 and _low_hash is not null").count() == len(ROWS)

@@ -17,7 +17,9 @@ base counts. So a passage that repeats costs once a chunk, and nothing that grow
 
 Rows: a null text counts as empty (its one token is the end); repeated rows get equal scores; null ids are scored and
 learned from as the empty id; without training rows every decision costs one bit; other columns are left out; an empty
-table gives no rows. A text is held whole by its chunk's task, its events STEP bytes at a time.
+table gives no rows. A text is held whole by its chunk's task; events are worked on in steps of
+about STEP bytes of texts, a longer text being one step. An event's log probability travels in single precision, and a
+text's score is their sum in double precision.
 """
 
 from __future__ import annotations

@@ -225,7 +225,7 @@ READ = T.StructType([T.StructField(n, t) for n, t in (("payload_bytes", T.LongTy
 
 
 def read_media(media: DataFrame, column: str = "media", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns with what was read back from the stored bytes: sizes, digests and the hash in a binary column. A null file gives nulls."""
+    """The kept columns with what was read back from the stored bytes: sizes, digests and the hash in a binary column. A null file gives nulls; of these names, those that the kept columns have are led by an underscore."""
 
     @F.arrow_udf(READ)
     def back(files: pa.Array) -> pa.Array:
@@ -242,4 +242,4 @@ def read_media(media: DataFrame, column: str = "media", keep: list[str] | None =
     kept = keep if keep is not None else [c for c in media.columns if c != column]
     (tmp,) = fresh([*kept, column], "back")
     out = media.withColumn(tmp, back(F.col(f"`{column}`")))
-    return out.select(*(F.col(f"`{c}`") for c in kept), f"{tmp}.*")
+    return out.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"{tmp}.{a}").alias(b) for a, b in zip(READ.names, fresh(kept, *READ.names))))

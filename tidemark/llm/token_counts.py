@@ -7,7 +7,8 @@ words with a common prefix share it. A terminal node's count is the word's. A ch
 to its UTF-8 bytes. Of equal scores the one with fewer tokens counts.
 
 A worker keeps one trie for all its batches, cut down to nothing when it exceeds NODES, so memory is bounded; the count
-of a word never depends on it. Texts of any length are read whole.
+of a word never depends on it. Texts of any length are read whole. A word of more than ROLLED_BYTES bytes stays out of the
+trie: its forward scores roll over as many places as the longest piece has, so a text without blanks needs no more.
 
 Rows: null and empty texts have no words, no tokens and score 0; repeated rows get equal counts; other columns pass through.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from .shared import fresh, located, small_batches
 
-NODES, CACHE_WORDS, CACHE_BYTES, SCALE = 400_000, 400_000, 64, 1_000_000
+NODES, CACHE_WORDS, CACHE_BYTES, ROLLED_BYTES, SCALE = 400_000, 400_000, 64, 4096, 1_000_000
 RESULT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("score", T.LongType())])
 
 
@@ -46,6 +47,7 @@ class TrieCounter:
             for c in reversed(p):
                 node = node.setdefault(c, {})
             node[None] = s
+        self.longest = max(map(len, scores), default=1)
         self.root: dict = {0: 0, 1: 0}
         self.nodes = 0
         self.known: dict[bytes, tuple[int, int]] = {}
@@ -65,6 +67,25 @@ class TrieCounter:
             self.nodes += 1
         return path[-1][0], path[-1][1]
 
+    def rolled(self, word: str) -> tuple[int, int]:
+        """What insert() gives, from the last places only."""
+        size, endings, byte_score = self.longest + 1, self.endings, self.byte_score
+        scores, counts = [0] * size, [0] * size
+        for i, c in enumerate(word, 1):
+            n = 1 if c < "\x80" else len(c.encode("utf-8", "replace"))
+            score, tokens = scores[(i - 1) % size] + n * byte_score, counts[(i - 1) % size] + n
+            ending, j = endings, i
+            while j:
+                j -= 1
+                if (ending := ending.get(word[j])) is None:
+                    break
+                if (s := ending.get(None)) is not None:
+                    new, k = scores[j % size] + s, counts[j % size] + 1
+                    if new > score or (new == score and k < tokens):
+                        score, tokens = new, k
+            scores[i % size], counts[i % size] = score, tokens
+        return scores[len(word) % size], counts[len(word) % size]
+
     def _node(self, word: str, i: int, path: list) -> dict:
         """The node of the word's first i characters, from its ancestors: pieces that end here are read backwards."""
         c, last = word[i - 1], path[i - 1]
@@ -86,7 +107,7 @@ class TrieCounter:
         words = text.split()
         known = self.known
         for w in set(words).difference(known):
-            known[w] = self.insert("▁" + w.decode("utf-8", "replace"))
+            known[w] = (self.insert if len(w) <= ROLLED_BYTES else self.rolled)("▁" + w.decode("utf-8", "replace"))
         got = list(map(known.__getitem__, words))
         tokens, score = sum([t for _, t in got]), sum([s for s, _ in got])
         if len(known) > CACHE_WORDS:
