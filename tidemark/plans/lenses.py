@@ -195,16 +195,17 @@ def _pu(kind: str, what: str) -> str:
 
 def _planted_sql() -> str:
     parts = []
-    for kind, (least, most, low, high) in A.KINDS.items():
+    for at, (kind, (least, most, low, high)) in enumerate(A.KINDS.items(), 1):
+        number = f"transaction_id + {at * 10_000_000_000} AS transaction_id"
         lag = f"CAST({least} + floor({most - least + 1} * {_pu(kind, 'lag')}) AS INTEGER)"
         own = f"(SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY md5('p1|{kind}|' || transaction_id), transaction_id) AS r FROM (SELECT *, {lag} AS lag FROM po) WHERE date + lag <= latest)"
         share, hour = f"({low} + {high - low!r} * {_pu(kind, 'share')})", "least(hour + 1, 23)" if kind == "duplicate_payment" else f"CAST(9 + floor(8 * {_pu(kind, 'hour')}) AS INTEGER)"
         if kind == "round_trip_transfer":
             sent = f"CAST(round(med * (6 + 6 * {_pu(kind, 'size')})) AS BIGINT)"
-            parts += [f"SELECT business_id, '{kind}' AS anomaly_type, date, 11 AS hour, 'out' AS direction, {sent} AS cents, 'RT-' || business_id AS counterparty_id FROM {own} WHERE r = 1", f"SELECT business_id, '{kind}', date + lag, 15, 'in', CAST(round({sent} * {share}) AS BIGINT), 'RT-' || business_id FROM {own} WHERE r = 1"]
+            parts += [f"SELECT business_id, '{kind}' AS anomaly_type, date, 11 AS hour, 'out' AS direction, {sent} AS cents, 'RT-' || business_id AS counterparty_id, {number}, 'transfer' AS category FROM {own} WHERE r = 1", f"SELECT business_id, '{kind}', date + lag, 15, 'in', CAST(round({sent} * {share}) AS BIGINT), 'RT-' || business_id, transaction_id + {at * 10_000_000_000 + 5_000_000_000}, 'transfer' FROM {own} WHERE r = 1"]
         else:
             name = "counterparty_id || '-B'" if kind == "vendor_record_duplicate" else "counterparty_id"
-            parts.append(f"SELECT business_id, '{kind}' AS anomaly_type, date + lag AS date, {hour} AS hour, direction, CAST(round(cents * {share}) AS BIGINT) AS cents, {name} AS counterparty_id FROM {own} WHERE r = 1")
+            parts.append(f"SELECT business_id, '{kind}' AS anomaly_type, date + lag AS date, {hour} AS hour, direction, CAST(round(cents * {share}) AS BIGINT) AS cents, {name} AS counterparty_id, {number}, category FROM {own} WHERE r = 1")
     return "po AS (SELECT *, median(cents) OVER (PARTITION BY business_id) AS med FROM (SELECT *, max(date) OVER (PARTITION BY business_id) AS latest FROM ev) WHERE direction = 'out' AND counterparty_id IS NOT NULL), pl AS (" + " UNION ALL ".join(parts) + ")"
 
 
@@ -228,11 +229,19 @@ def anomaly_detector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.detector_scores(truth.select("business_id", "transaction_id", "anomaly_type"), flags, 10)
 
 
-@register()
+_SEEN_SQL = _planted_sql() + """, evp AS (SELECT transaction_id, business_id, date, hour, direction, cents, counterparty_id, category, CAST(NULL AS VARCHAR) AS anomaly_type FROM ev UNION ALL SELECT transaction_id, business_id, date, hour, direction, cents, counterparty_id, category, anomaly_type FROM pl),
+evs AS (SELECT * EXCLUDE (last) FROM (SELECT *, max(date) OVER (PARTITION BY business_id) AS last FROM evp) WHERE date > last - 180), """ + _EV_SQL.strip().replace("FROM ev)", "FROM evs)")
+
+
+@register(_SEEN_SQL + "," + _REPEAT_SQL["window"].replace("e4 AS", "e4w AS") + "," + _REPEAT_SQL["exact"] + """,
+pay AS (SELECT * FROM own WHERE cents > 0), ct1 AS (SELECT business_id, counterparty_id, count(*) AS k FROM pay GROUP BY ALL), pr AS (SELECT a.business_id, a.counterparty_id, count(*) AS pairs FROM pay a JOIN pay b ON a.business_id = b.business_id AND a.counterparty_id = b.counterparty_id AND (a.cents, a.transaction_id) < (b.cents, b.transaction_id) AND b.cents / a.cents::DOUBLE - 1 <= 0.05 GROUP BY ALL),
+rt1 AS (SELECT business_id, counterparty_id, coalesce(pairs, 0) / nullif(k * (k - 1) / 2.0::DOUBLE, 0) AS rate FROM ct1 LEFT JOIN pr USING (business_id, counterparty_id)),
+mk AS (SELECT 'off' AS mode, anomaly_type, FALSE AS hit FROM e4 UNION ALL SELECT 'exact', anomaly_type, repeat_payment FROM e4 UNION ALL SELECT 'window', anomaly_type, repeat_payment FROM e4w UNION ALL SELECT 'rarity', anomaly_type, repeat_payment AND coalesce(rate < 0.01, FALSE) FROM e4w LEFT JOIN rt1 USING (business_id, counterparty_id))
+SELECT mode, coalesce(anomaly_type, '(none)') AS anomaly_type, count(*) AS n_rows, count(*) FILTER (hit) AS marked FROM mk GROUP BY ALL""")
 def repeat_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which planted rows each repeat mode marks, and how many others."""
     t, _ = with_planted(spark, sf_dir)
-    f, out = A.features(t, SEASONS, burn_in=10), None
+    f, out = saved(A.features(t, SEASONS, burn_in=10)), None
     for mode in ("off", "exact", "window", "rarity"):
         g = A.repeats(f, mode, tolerance=0.05).groupBy(F.lit(mode).alias("mode"), F.coalesce("anomaly_type", F.lit("(none)")).alias("anomaly_type")).agg(F.count("*").alias("n_rows"), F.expr("count_if(repeat_payment)").alias("marked"))
         out = g if out is None else out.unionByName(g)
