@@ -53,7 +53,8 @@ def train(df: DataFrame, names: list[str], label: str, c: float = 1.0) -> tuple[
     logarithm), all that scoring needs; only a row for each feature reaches the driver.
     """
     x = transformed(df.where(F.col(label).isNotNull()), names)
-    medians = {r.feature: r.median for r in inputs(x, names).collect() if r.present and r.low < r.high}
+    found = {r.feature: r for r in inputs(x, names).collect()}
+    medians = {k: found[k].median for k in names if k in found and found[k].present and found[k].low < found[k].high}
     scale = {r.feature: (r.mean, r.scale) for r in moments(x, medians).collect()}
     kept = list(medians)
     z = x.select(F.col(label).cast("double").alias("label"), *((F.coalesce(k, F.lit(medians[k])) - scale[k][0]) / scale[k][1] for k in kept)).toDF("label", *kept)
