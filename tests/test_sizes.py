@@ -13,3 +13,7 @@ def plan_of(spark, name: str) -> str:
 def test_days_are_not_broadcast(spark):
     """The filter on movement makes the join of days and sums an inner one; a day is an exploded row, whose number Spark doesn't estimate."""
     assert re.search(r"SortMergeJoin \[business_id#\d+L, date#\d+\]", plan_of(spark, "balance_held_days"))
+
+
+def test_generated_sales_are_not_broadcast(spark):
+    assert "Join" not in plan_of(spark, "scenario_runs")

@@ -78,7 +78,8 @@ def rates(b: DataFrame, scenarios: list[dict], days: int = DAYS, seed: str = SEE
 
 def receipts(r: DataFrame, seed: str = SEED) -> DataFrame:
     """(scenario, business_id, day, k, customer, amount): the sales of each day, whole amounts."""
-    t = r.where("count > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("count"))))
+    # no filter on count: pushed below its projection it would draw the count's md5 again at each of the MOST steps
+    t = r.withColumn("k", F.explode(F.expr(f"slice(sequence(1, {MOST}), 1, count)")))
     weights = F.transform(F.sequence(F.lit(1), F.lit(CUSTOMERS)), lambda c: -F.log((F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("share"), F.col("business_id").cast("string"), c.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0))
     t = t.withColumn("_w", weights).withColumn("_u", uniform(seed, "customer", "business_id", "day", "k"))
     least = "aggregate(_w, named_struct('c', 0.0D, 'n', 1), (a, w) -> named_struct('c', a.c + w, 'n', a.n + if(a.c + w < _u * aggregate(_w, 0.0D, (s, x) -> s + x), 1, 0)), a -> a.n)"
@@ -95,7 +96,9 @@ def payments(r: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def daily(r: DataFrame, seed: str = SEED) -> DataFrame:
-    """(scenario, business_id, day, inflow, outflow, recurring, net): sales and payments by day."""
-    s = receipts(r, seed).groupBy("scenario", "business_id", "day").agg(F.sum("amount").alias("inflow"))
-    d = payments(r, seed).withColumnRenamed("amount", "outflow").join(s, ["scenario", "business_id", "day"], "left").fillna(0, ["inflow"])
+    """(scenario, business_id, day, inflow, outflow, recurring, net): sales and payments by day, summed as one stream, so that no side of a join is broadcast whatever the estimate of exploded rows."""
+    keys, none = ["scenario", "business_id", "day"], F.lit(0).cast("long")
+    s = receipts(r, seed).select(*keys, none.alias("outflow"), none.alias("recurring"), F.col("amount").alias("inflow"))
+    p = payments(r, seed).select(*keys, F.col("amount").alias("outflow"), "recurring", none.alias("inflow"))
+    d = p.unionByName(s).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("outflow", "recurring", "inflow")))
     return d.withColumn("net", F.col("inflow") - F.col("outflow"))
