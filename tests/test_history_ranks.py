@@ -148,3 +148,13 @@ def test_intervals_by_definition(spark):
     assert resampling.auc_interval(df.limit(0), "x", "l", "c", ["g"], DRAWS).count() == 0
     whole = resampling.median_interval(df, "y", "id", draws=DRAWS).first()
     assert tuple(whole) == pytest.approx(tuple(np.percentile([median(rows, w) for w in draws_of(rows, 0, "median")], [2.5, 50, 97.5])))
+
+
+def test_constant_inflow_has_no_variance(spark):
+    """Prior windows without any change: the deviation is 0 and not the noise of a difference, which would make breaks of it."""
+    rows = [(b, i, 0 if i < 90 else 10_007 * b * b + i * i % (97 + b)) for b in range(1, 41) for i in range(180)]
+    d = spark.createDataFrame(rows, "business_id long, i int, inflow long").selectExpr(
+        "business_id", "date_add(date'2024-01-01', i) as date", "date'2024-06-28' as window_end", "'synthetic' as data_source", "179 - i as dbe", "inflow", "if(inflow > 0, 1L, 0L) as inflow_count",
+        "0L as outflow", "0L as outflow_count", "0L as recurring", "inflow as net", "1000L + inflow as eod")
+    got = history.window_stats(history.panes(d)).where("n_prior = 90").select("prior_sd", "prior_mean").collect()
+    assert len(got) == 40 and {tuple(r) for r in got} == {(0.0, 0.0)}
