@@ -2,8 +2,11 @@
 
 import re
 
+import numpy as np
+
 from tests.conftest import SF
 from tidemark import plans
+from tidemark.operators import anomaly
 
 
 def plan_of(spark, name: str) -> str:
@@ -17,3 +20,16 @@ def test_days_are_not_broadcast(spark):
 
 def test_generated_sales_are_not_broadcast(spark):
     assert "Join" not in plan_of(spark, "scenario_runs")
+
+
+def test_small_forests_do_not_draw_their_numbers_again():
+    """10,000 small businesses take minutes and not a quarter of an hour: each one's forest works on the nodes that hold rows and draws no number anew."""
+    rng = np.random.default_rng(3)
+    x, h = np.c_[rng.normal(size=67), rng.integers(0, 9, (67, 5))].astype(float), rng.integers(-(2**63), 2**63 - 1, 67)
+    drawn = np.argsort(anomaly.draws(h, 200, 0), axis=1, kind="stable")
+    forest, ended = anomaly.grow(x, drawn, 0)
+    depth = np.empty((200, 67))
+    np.put_along_axis(depth, drawn, ended, axis=1)
+    assert (anomaly._score(depth, 67) == anomaly.scores_in(forest, x, 200, 67)).all()
+    again, _ = anomaly.grow(x, drawn, np.random.default_rng(0))
+    assert all((a == b).all() for one, other in zip(forest, again) for a, b in zip(one, other))

@@ -7,6 +7,8 @@ business's rows in parts of about ROWS in different tasks, each of which grows t
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -126,27 +128,56 @@ def _expected(k):
     return np.where(k > 2, 2 * (np.log(np.maximum(k - 1, 1)) + 0.5772156649) - 2 * (k - 1) / np.maximum(k, 1), np.where(k == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, drawn: np.ndarray, rng: np.random.Generator) -> list[tuple[np.ndarray, ...]]:
-    """By level the column, cut, end and depth of each node of the trees over the drawn rows of x (trees x sample). All trees grow together."""
+@lru_cache(maxsize=12)
+def _numbers(trees: int, levels: int, width: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The random numbers of each level's nodes, the same for every forest of this shape: they are drawn once a worker."""
+    rng = np.random.default_rng(seed)
+    return [(rng.random((trees << k, width)), rng.random(trees << k)) for k in range(levels + 1)]
+
+
+def grow(x: np.ndarray, drawn: np.ndarray, rng: np.random.Generator | int) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+    """By level the column, cut, end and depth of each node of the trees over the drawn rows of x (trees x sample), and the depth at which each drawn row ends. All trees grow together; only nodes that hold rows are worked on. rng: a generator, or a seed whose numbers are kept."""
     (trees, m), width = drawn.shape, x.shape[1]
     levels = int(np.ceil(np.log2(max(m, 2))))
-    own, grown, tree, out = np.zeros((trees, m), np.int64), np.ones((trees, m), bool), np.arange(trees)[:, None], []
+    numbers = _numbers(trees, levels, width, rng) if isinstance(rng, int) else None
+    at, row = np.repeat(np.arange(trees), m), drawn.ravel()  # by node: where each open row is, and which it is
+    place, out, depth = np.arange(trees * m), [], np.empty(trees * m)
     for level in range(levels + 1):
         size = trees << level
-        key = (tree << level) + own
-        count = np.bincount(key[grown], minlength=size)
-        low, high = np.full((size, width), np.inf), np.full((size, width), -np.inf)
-        np.minimum.at(low, key[grown], x[drawn[grown]])
-        np.maximum.at(high, key[grown], x[drawn[grown]])
-        spread = np.where(count[:, None] > 0, high - low, 0)
-        choice = (rng.random((size, width)) * (spread > 0)).argmax(axis=1)
-        width_at = spread[np.arange(size), choice]
-        leaf = (width_at <= 0) | (level == levels)
-        cut = np.where(leaf, 0, low[np.arange(size), choice]) + rng.random(size) * width_at
-        out.append((choice, cut, leaf, level + _expected(count)))
-        grown &= ~leaf[key]
-        own = 2 * own + (x[drawn, choice[key]] >= cut[key])
-    return out
+        choose, share = numbers[level] if numbers else (rng.random((size, width)), rng.random(size))
+        choice, cut, leaf, ends = np.zeros(size, np.int64), np.zeros(size), np.ones(size, bool), np.full(size, float(level))
+        out.append((choice, cut, leaf, ends))
+        if not len(at):
+            continue
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        node, count = at[starts], np.diff(np.append(starts, len(at)))
+        alone = np.repeat(count == 1, count)  # a row by itself ends here, as out has it
+        depth[place[alone]] = level
+        at, row, place, node, count = at[~alone], row[~alone], place[~alone], node[count > 1], count[count > 1]
+        if not len(at):
+            continue
+        starts, values = np.cumsum(count) - count, x[row]
+        low = np.minimum.reduceat(values, starts)
+        spread = np.maximum.reduceat(values, starts) - low
+        choice[node] = which = (choose[node] * (spread > 0)).argmax(axis=1)
+        wide, each = spread[np.arange(len(node)), which], np.repeat(np.arange(len(node)), count)
+        leaf[node] = ended = (wide <= 0) | (level == levels)
+        cut[node] = bound = np.where(ended, 0, low[np.arange(len(node)), which]) + share[node] * wide
+        ends[node] = deep = level + _expected(count)
+        closed = ended[each]
+        depth[place[closed]] = deep[each[closed]]
+        kept = ~closed
+        right = values[np.arange(len(row)), which[each]] >= bound[each]
+        # rows stay in the order of their nodes: the left ones of a node, then its right ones
+        at, row, place = (2 * at + right)[kept], row[kept], place[kept]
+        order = np.argsort(at, kind="stable")
+        at, row, place = at[order], row[order], place[order]
+    return out, depth.reshape(trees, m)
+
+
+def _score(depth: np.ndarray, m: int) -> np.ndarray:
+    """Scores from the depths of rows (trees x rows)."""
+    return 2 ** (-depth.mean(axis=0) / max(float(_expected(np.array(m))), 1e-9))
 
 
 def scores_in(forest: list[tuple[np.ndarray, ...]], x: np.ndarray, trees: int, m: int) -> np.ndarray:
@@ -161,7 +192,7 @@ def scores_in(forest: list[tuple[np.ndarray, ...]], x: np.ndarray, trees: int, m
             depth[ended] = ends[key[ended]]
             open_ &= ~ended
             rows = 2 * rows + (part[np.arange(len(part))[None, :], choice[key]] >= cut[key])
-        out[lo : lo + BATCH] = 2 ** (-depth.mean(axis=0) / max(float(_expected(np.array(m))), 1e-9))
+        out[lo : lo + BATCH] = _score(depth, m)
     return out
 
 
@@ -169,12 +200,17 @@ def isolation_scores(x: np.ndarray, trees: int = 200, sample: int = SAMPLE, seed
     """Isolation scores of the rows of x by trees over samples of them."""
     rng, m = np.random.default_rng(seed), min(sample, len(x))
     drawn = rng.random((trees, len(x))).argsort(axis=1)[:, :m]
-    return scores_in(grow(x, drawn, rng), x, trees, m)
+    return scores_in(grow(x, drawn, rng)[0], x, trees, m)
+
+
+@lru_cache(maxsize=4)
+def _masks(trees: int, seed: int) -> np.ndarray:
+    return np.array([np.random.default_rng([seed, k]).integers(1 << 63, dtype=np.uint64) for k in range(trees)])
 
 
-def draws(h: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    """A number below 1 for each row hash, by which a tree draws its sample."""
-    z = h.astype(np.uint64) ^ np.random.default_rng([seed, tree]).integers(1 << 63, dtype=np.uint64)
+def draws(h: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """A number below 1 for each tree and row hash, by which the tree draws its sample."""
+    z = h.astype(np.uint64)[None, :] ^ _masks(trees, seed)[:, None]
     for mixer in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
         z = (z ^ (z >> np.uint64(30))) * np.uint64(mixer)
     return (z ^ (z >> np.uint64(31))) / 2.0**64
@@ -190,9 +226,10 @@ def scored(t: DataFrame, trees: int = 200, seed: int = 0, least: int = 30) -> Da
     def may_be_drawn(h: pd.Series, n: pd.Series) -> pd.Series:
         # eight deviations more than a sample on the whole; the least draws of each tree are taken from these
         share, x = (SAMPLE + 8 * SAMPLE**0.5) / n.to_numpy(), h.to_numpy()
-        drawn = share >= 1
-        for k in range(trees):
-            drawn |= draws(x, k, seed) < share
+        drawn, some = share >= 1, np.flatnonzero(share < 1)
+        for lo in range(0, len(some), BATCH):
+            part = some[lo : lo + BATCH]
+            drawn[part] = (draws(x[part], trees, seed) < share[part]).any(axis=0)
         return pd.Series(drawn)
 
     sample = rows.where(may_be_drawn("h", "n")).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)")))
@@ -204,8 +241,12 @@ def scored(t: DataFrame, trees: int = 200, seed: int = 0, least: int = 30) -> Da
             return pdf[kept].assign(score=0.0)
         drawn_from = drawn_from.sort_values(["h", *FOREST])
         x, h, m = drawn_from[FOREST].to_numpy(float), drawn_from["h"].to_numpy(), min(SAMPLE, len(drawn_from))
-        drawn = np.stack([np.argsort(draws(h, k, seed), kind="stable")[:m] for k in range(trees)])
-        forest = grow(x, drawn, np.random.default_rng(seed))
+        drawn = np.argsort(draws(h, trees, seed), axis=1, kind="stable")[:, :m]
+        forest, ended = grow(x, drawn, seed)
+        if m == len(pdf) == len(drawn_from) == pdf["n"].iloc[0]:  # every tree has drawn every row, and knows where it ends
+            depth = np.empty((trees, m))
+            np.put_along_axis(depth, drawn, ended, axis=1)
+            return drawn_from[kept].assign(score=_score(depth, m))
         return pdf[kept].assign(score=scores_in(forest, pdf[FOREST].to_numpy(float), trees, m))
 
     both = rows.withColumn("part", F.col("part").cast("long")).withColumn("sampled", F.lit(False)).unionByName(sample.withColumn("sampled", F.lit(True)))
