@@ -33,3 +33,9 @@ def test_small_forests_do_not_draw_their_numbers_again():
     assert (anomaly._score(depth, 67) == anomaly.scores_in(forest, x, 200, 67)).all()
     again, _ = anomaly.grow(x, drawn, np.random.default_rng(0))
     assert all((a == b).all() for one, other in zip(forest, again) for a, b in zip(one, other))
+
+
+def test_windows_of_features_share_their_sorts(spark):
+    """Each sort of a chain of windows holds a task's rows; four orders serve all of them, in tasks whose number isn't cut to the cores."""
+    plan = plan_of(spark, "anomaly_features")
+    assert len(re.findall(r"\bSort \[", plan)) == 4 and "REPARTITION_BY_NUM" in plan

@@ -32,24 +32,31 @@ def _robust(df: DataFrame, keys: list[str], out: str) -> DataFrame:
 
 def scanned(tx: DataFrame, days: int = 180) -> DataFrame:
     """The rows of the scan window: the days up to each business's last."""
-    return tx.withColumn("_last", F.expr("max(date) over (partition by business_id)")).where(F.expr(f"date > date_sub(_last, {days})")).drop("_last")
+    return dealt(tx, "business_id").withColumn("_last", F.expr("max(date) over (partition by business_id)")).where(F.expr(f"date > date_sub(_last, {days})")).drop("_last")
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to all of spark.sql.shuffle.partitions: by a number that is given, so that small exchanges aren't put together into a task a core, whose memory would grow with the table."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def features(tx: DataFrame, seasons: list[tuple[str, str]] = (), burn_in: int = 30, band: float = 0.10, least: int = 3) -> DataFrame:
     """tx (business_id, transaction_id, date, hour, direction, cents, counterparty_id, category) with the six features and the recurring flag."""
-    t = tx.withColumn("log_amount", F.expr("log1p(greatest(cents, 0) / 100.0D)")).withColumn("direction_in", F.expr("if(direction = 'in', 1, 0)"))
+    t = dealt(tx, "business_id").withColumn("log_amount", F.expr("log1p(greatest(cents, 0) / 100.0D)")).withColumn("direction_in", F.expr("if(direction = 'in', 1, 0)"))
     season = " or ".join(f"date between date'{a}' and date'{b}'" for a, b in seasons) or "false"
     t = t.withColumn("in_season", F.expr(season))
-    t = _robust(t, ["business_id", "direction"], "z_dir")
-    t = _robust(t, ["business_id", "direction", "category"], "z_cat")
+    # every sort of a task holds its rows: the narrowest window comes first, and the wider ones use its order
     t = _robust(t, ["business_id", "direction", "category", "in_season"], "z_sea")
+    t = _robust(t, ["business_id", "direction", "category"], "z_cat")
+    t = _robust(t, ["business_id", "direction"], "z_dir")
     t = t.withColumn("any_season", F.expr("bool_or(in_season) over (partition by business_id)"))
     t = t.withColumn("amount_z", F.expr("case when any_season and z_sea_n >= 5 then z_sea when z_cat_n >= 5 then z_cat else z_dir end"))
     t = t.withColumn("n", F.expr("count(*) over (partition by business_id)"))
-    t = t.withColumn("hour_share", F.expr("count(*) over (partition by business_id, hour) / n")).withColumn("category_share", F.expr("count(*) over (partition by business_id, category) / n"))
-    t = t.withColumn("_med", F.expr("median(cents) over (partition by business_id, counterparty_id, category)"))
+    t = t.withColumn("hour_share", F.expr("count(*) over (partition by business_id, hour) / n"))
+    t = t.withColumn("_med", F.expr("median(cents) over (partition by business_id, category, counterparty_id)"))
     t = t.withColumn("_in", F.expr(f"counterparty_id is not null and _med <> 0 and abs(cents / _med - 1) <= {band}D"))
-    t = t.withColumn("recurring", F.expr(f"_in and count_if(_in) over (partition by business_id, counterparty_id, category) >= {least}"))
+    t = t.withColumn("recurring", F.expr(f"_in and count_if(_in) over (partition by business_id, category, counterparty_id) >= {least}"))
+    t = t.withColumn("category_share", F.expr("count(*) over (partition by business_id, category) / n"))
     t = t.withColumn("hour_rarity", F.expr("-ln(hour_share)")).withColumn("category_rarity", F.expr("if(recurring, 0.0D, -ln(category_share))"))
     first = "row_number() over (partition by business_id, counterparty_id order by date, hour, transaction_id) = 1"
     t = t.withColumn("_first", F.expr(first)).withColumn("_start", F.expr("min(date) over (partition by business_id)"))
@@ -250,7 +257,7 @@ def scored(t: DataFrame, trees: int = 200, seed: int = 0, least: int = 30) -> Da
         return pdf[kept].assign(score=scores_in(forest, pdf[FOREST].to_numpy(float), trees, m))
 
     both = rows.withColumn("part", F.col("part").cast("long")).withColumn("sampled", F.lit(False)).unionByName(sample.withColumn("sampled", F.lit(True)))
-    return both.groupBy("business_id", "part").applyInPandas(part_scores, "business_id long, transaction_id long, date date, hour int, rule_hit boolean, flag_reason string, score double")
+    return dealt(both, "business_id", "part").groupBy("business_id", "part").applyInPandas(part_scores, "business_id long, transaction_id long, date date, hour int, rule_hit boolean, flag_reason string, score double")
 
 
 def detect(t: DataFrame, contamination: float = 0.01, most: int = 10, trees: int = 200, seed: int = 0, least: int = 30) -> DataFrame:
