@@ -7,6 +7,7 @@ import numpy as np
 from tests.conftest import SF
 from tidemark import plans
 from tidemark.operators import anomaly
+from tidemark.plans import runs
 
 
 def plan_of(spark, name: str) -> str:
@@ -39,3 +40,11 @@ def test_windows_of_features_share_their_sorts(spark):
     """Each sort of a chain of windows holds a task's rows; four orders serve all of them, in tasks whose number isn't cut to the cores."""
     plan = plan_of(spark, "anomaly_features")
     assert len(re.findall(r"\bSort \[", plan)) == 4 and "REPARTITION_BY_NUM" in plan
+
+
+def test_second_writing_has_no_fixed_number_of_tasks(spark, monkeypatch):
+    """Of a table's exchange for the second writing only the keys are given, so its tasks grow with it."""
+    seen, write = [], type(spark.range(0)).write.fget
+    monkeypatch.setattr(type(spark.range(0)), "write", property(lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1]))
+    runs.writings(spark, SF, "facilities")
+    assert any("REPARTITION_BY_COL" in p for p in seen) and not any("REPARTITION_BY_NUM" in p for p in seen)

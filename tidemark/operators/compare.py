@@ -37,7 +37,8 @@ def key_bounds(key: str, *runs: DataFrame) -> tuple[int, int]:
 
 def _leaf(key: str, bounds: tuple[int, int]) -> str:
     # keys beyond the bounds, as a later run may have, belong to the outermost leaves
-    return f"cast(greatest(0, least({(1 << DEPTH) - 1}, floor((cast({key} as bigint) - {bounds[0]}) / {bounds[1]}))) as int)"
+    # a null key has no leaf: greatest and least would pass over the null
+    return f"if({key} is null, null, cast(greatest(0, least({(1 << DEPTH) - 1}, floor((cast({key} as bigint) - {bounds[0]}) / {bounds[1]}))) as int))"
 
 
 def digest_tree(df: DataFrame, key: str, bounds: tuple[int, int]) -> DataFrame:
