@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, located, scratch
 
-BLOCK, LANES, CHUNK_IDS, TEXTS, PART_BYTES = 1024, 8192, 6 << 20, 200, 10 << 20
+BLOCK, LANES, CHUNK_IDS, TEXTS, PART_BYTES = 512, 1 << 14, 6 << 20, 200, 10 << 20
 #: Words in a worker's table, the longest that a slot holds, and the longest that is kept at all.
-CACHE_WORDS, SLOT_BYTES, CACHE_BYTES = 1_000_000, 15, 48
+CACHE_WORDS, SLOT_BYTES, CACHE_BYTES = 1_500_000, 15, 48
 #: Bits of a whole distribution, the least share of an id in it, bits of a slot's width, of a weight, and of order 2's table.
 _SCALE, _LEAST, _SLOT, _WEIGHT, _HASHED = 28, 16, 12, 16, 19
 _U32, _WORD = np.uint64(32), np.uint64((1 << 32) - 1)
@@ -54,7 +54,7 @@ class _Lanes:
         self.size = size  # of the alphabet
         mass = 1 / (np.arange(size) + 40)
         self.counts = 1 + (mass * (_SEEN * _PRIOR_IDS / mass.sum())).astype(np.int64)
-        self.t1, self.t2 = np.full(size + 1, size << 3), np.full(1 << _HASHED, size << 3)  # the id named and its reliability, 0 to 7 (0: none)
+        self.t1, self.t2 = (np.full(n, size << 3, np.int32) for n in (size + 1, 1 << _HASHED))  # the id named and its reliability, 0 to 7 (0: none)
         sure = np.arange(8)
         #: By the reliabilities of both orders, and again where both name one id: how often, and how often order 1's or 2's id came.
         self.met, self.hit1, self.hit2 = np.full(128, 64), 2 * np.tile(np.repeat(sure, 8), 2), 3 * np.r_[np.tile(sure, 8), np.zeros(64, np.int64)]
@@ -81,7 +81,7 @@ class _Lanes:
         """The ids that orders 1 and 2 name (the alphabet's size: none) and the weights of the three orders, for the first m lanes."""
         last = self.last[:m]
         self.at2 = (last * 2654435761 + self.then[:m] * 2246822519 >> 7) & ((1 << _HASHED) - 1)
-        self.e1, self.e2 = self.t1.take(last), self.t2.take(self.at2)
+        self.e1, self.e2 = self.t1.take(last).astype(np.int64), self.t2.take(self.at2).astype(np.int64)
         self.p1, self.p2 = self.e1 >> 3, self.e2 >> 3
         self.state = ((self.e1 & 7) << 3) + (self.e2 & 7) + (self.p1 == self.p2) * 64
         w1, w2 = self.hit1 * _NAMED // self.met, self.hit2 * _NAMED // self.met
@@ -167,10 +167,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
 def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     order, size, still = _by_length([len(b) for b in blocks])
-    grid = np.zeros((len(still), len(blocks)), np.int64)
+    names, most = np.zeros(0, "<u4"), max(int(b.max(initial=0)) for b in blocks)
+    grid = np.zeros((len(still), len(blocks)), np.int64 if most >= 1 << 17 else np.int32)
     for k, i in enumerate(order):
         grid[: size[k], k] = blocks[i]
-    names, most = np.zeros(0, "<u4"), int(grid.max())
     if most >= 1 << 17:
         names, ranks = np.unique(grid, return_inverse=True)
         grid, names, most = ranks.reshape(grid.shape), names.astype("<u4"), len(names) - 1
@@ -186,7 +186,7 @@ def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
         used[lanes] = place + 1
 
     for step, m in enumerate(still):
-        ids = grid[step, :m]
+        ids = grid[step, :m].astype(np.int64)
         x.predict(m)
         start, width, *came = x.interval(ids)
         x.narrow(m, start, width, write)
@@ -218,7 +218,7 @@ def _decode_lanes(coded: list[bytes], sizes: list[int], alphabet: int, names: np
     for k, i in enumerate(order):
         data[k, : len(coded[i]) // 4] = np.frombuffer(coded[i], "<u4")
     value, used = data[:, 0].astype(np.uint64) << _U32 | data[:, 1], np.full(len(order), 2)
-    grid = np.zeros((len(still), len(order)), np.int64)
+    grid = np.zeros((len(still), len(order)), np.int32)
 
     def fetch(lanes, _):
         place = used[lanes]
@@ -266,8 +266,8 @@ class _Words:
     def put(self, k1: np.ndarray, k2: np.ndarray, place: np.ndarray) -> None:
         """Adds distinct words that are missing."""
         self.n += len(k1)
-        if 2 * self.n > 1 << self.bits:
-            old, more = np.flatnonzero(self.k2), _Words(max(self.bits + 1, (2 * self.n).bit_length()))
+        if self.n > 3 << self.bits - 2:
+            old, more = np.flatnonzero(self.k2), _Words((self.n * 4 // 3).bit_length())
             more.put(self.k1[old], self.k2[old], self.place[old])
             self.bits, self.k1, self.k2, self.place = more.bits, more.k1, more.k2, more.place
         at = self._slots(k1, k2)
@@ -457,7 +457,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ids = [i.astype("<i4") for i in decode_blocks([x["payload"] for x in r["blocks"]], [x["n"] for x in r["blocks"]])]
                 if any(zlib.crc32(i.tobytes()) != x["crc"] for x, i in zip(r["blocks"], ids)):
                     raise ValueError(f"wrong checksum in part {r['part']}, chunk {r['seq']}")
-                flat, ends = np.concatenate(ids).astype(np.int32), np.concatenate([[0], np.cumsum(r["lengths"])])
+                flat, ends = np.concatenate(ids).astype(np.int32, copy=False), np.concatenate([[0], np.cumsum(r["lengths"])])
                 for at in range(0, len(ends) - 1, TEXTS):
                     cut = ends[at : at + TEXTS + 1]
                     yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"][at : at + TEXTS], pa.int64()), pa.array(r["before"] + r["ids_before"] + cut[:-1]), pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(flat[cut[0] : cut[-1]]))], ["doc_id", "start", "ids"])
