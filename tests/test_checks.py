@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
+from tidemark import plans
 from tidemark.operators import adapter, calibration, contracts, credit, least_squares, thinning, verification
-from tidemark.sources import files
+from tidemark.sources import files, ledger
 
 
 def test_least_squares_equals_numpy(spark):
@@ -101,6 +103,20 @@ def test_pages(spark):
     assert ids("1") == [1, 12, 101] and ids("1", offset=1, limit=1) == [12] and ids("1", s="x") == [1, 12] and ids(limit=2, offset=1) == [1, 12] and ids("9") == []
 
 
+def test_every_day_has_a_balance_that_stands(spark):
+    """The opening balance stands from the first day on, and for good where nothing moves; a day whose movements cancel out ends no balance."""
+    nets = {1: [0, 0, 0, 5, 0, -5, 0, 0, 0, 0], 2: [0] * 7, 3: [4, 0, 0], 4: [1]}
+    rows = [(b, i, len(v), n) for b, v in nets.items() for i, n in enumerate(v)]
+    df = spark.createDataFrame(rows, "business_id long, i int, n int, net long").selectExpr("business_id", "date_add(date'2000-02-27', i) date", "date_add(date'2000-02-26', n) window_end", "net")
+    got = {r.business_id: (r.changes, r.days_held, r.longest) for r in adapter.held_days(df).collect()}
+    assert got == {1: (2, 10, 5), 2: (0, 7, 7), 3: (1, 3, 3), 4: (1, 1, 1)}
+
+
+def test_held_days_cover_the_ledger(spark):
+    days = {r.business_id: r["count"] for r in ledger.daily(spark, SF).groupBy("business_id").count().collect()}
+    assert {r.business_id: r.days_held for r in plans.queries()["balance_held_days"](spark, SF).collect()} == days
+
+
 def test_references_as_typed(spark):
     h = "ab12cd34" + "0" * 56
     rows = [(7, h, "M-7-AB12CD34"), (7, h, " m-7-ab12cd34 "), (8, h, "M-7-AB12CD34"), (7, h, "M-7-AB12CD35"), (7, h, "M-7-AB12CD3"), (7, h, "x M-7-AB12CD34"), (7, h, None), (7, h, "")]
