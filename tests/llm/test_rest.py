@@ -108,6 +108,21 @@ def test_ids_are_not_shuffled(spark, tmp_path):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_op10_reads_in_one_python_step(spark):
+    """A second step beside the decoder would give each task a second Python worker, and each of them may hold a table of words."""
+    plan = queries.op10_token_files(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+
+
+def test_further_columns_of_token_files(spark, monkeypatch):
+    """Functions of the decoded ids see each document whole and once, however documents fall into chunks and batches."""
+    monkeypatch.setattr(token_files, "CHUNK_IDS", 50)
+    monkeypatch.setattr(token_files, "TEXTS", 2)
+    more = {"last one": ("int", lambda ids, ends: pa.array(ids[ends[1:] - 1])), "total": ("long", lambda ids, ends: pa.array(np.diff(np.cumsum(np.r_[0, ids])[ends])))}
+    out = token_files.store(awkward(spark), BYTES, 2, more).collect()
+    assert len(out) == len(ROWS) and all((r["last one"], r.total) == (2, sum(r.ids)) for r in out)
+
+
 def test_token_files(spark, monkeypatch):
     tok = Tokenizer.from_file(BYTES)
     monkeypatch.setattr(token_files, "CHUNK_IDS", 50)

@@ -23,7 +23,7 @@ import functools
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -447,8 +447,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     rows.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").mapInArrow(coded, CHUNK).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids): every document's ids, read back from the blocks after their checksums; start: the ids of all documents before it."""
+def read(spark: SparkSession, path: str, more: dict[str, tuple[str, Callable]] | None = None) -> DataFrame:
+    """(doc_id, start, ids): every document's ids, read back from the blocks after their checksums; start: the ids of all documents before it.
+
+    more: further columns by name, each a type and a function that gives an Arrow array for many documents: of their ids, one
+    document's behind the other's, and where each begins and the last one ends. It runs in the worker that decodes.
+    """
+    more = more or {}
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -460,17 +465,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 flat, ends = np.concatenate(ids).astype(np.int32, copy=False), np.concatenate([[0], np.cumsum(r["lengths"])])
                 for at in range(0, len(ends) - 1, TEXTS):
                     cut = ends[at : at + TEXTS + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"][at : at + TEXTS], pa.int64()), pa.array(r["before"] + r["ids_before"] + cut[:-1]), pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(flat[cut[0] : cut[-1]]))], ["doc_id", "start", "ids"])
+                    some, own = flat[cut[0] : cut[-1]], (cut - cut[0]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"][at : at + TEXTS], pa.int64()), pa.array(r["before"] + r["ids_before"] + cut[:-1]), pa.ListArray.from_arrays(pa.array(own), pa.array(some)), *(f(some, own) for _, f in more.values())], ["doc_id", "start", "ids", *more])
 
     bounded_batches(spark)
     chunks = spark.read.parquet(path)
     sums = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each written partition, so few that they are broadcast
     before = sums.select(F.col("part").alias("part_"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return chunks.join(F.broadcast(before), F.col("part") == F.col("part_")).drop("part_").mapInArrow(decoded, "doc_id long, start long, ids array<int>")
+    return chunks.join(F.broadcast(before), F.col("part") == F.col("part_")).drop("part_").mapInArrow(decoded, "doc_id long, start long, ids array<int>" + "".join(f", `{k}` {t}" for k, (t, _) in more.items()))
 
 
-def store(docs: DataFrame, tokenizer: str, end_id: int, **names) -> DataFrame:
+def store(docs: DataFrame, tokenizer: str, end_id: int, more: dict[str, tuple[str, Callable]] | None = None, **names) -> DataFrame:
     """write() to a new shared folder and read() from it."""
     path = scratch(docs.sparkSession, "token-files")
     write(docs, path, tokenizer, end_id, **names)
-    return read(docs.sparkSession, path)
+    return read(docs.sparkSession, path, more)
